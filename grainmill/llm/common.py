@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill.sources.package import ship
+
 #: Where a domain stands in a source path; the same pattern serves the SQL.
 PATH_DOMAIN = r"(?:train|valid)/([A-Za-z0-9_]+?)(?:_shard|[-/.]|$)"
 
@@ -19,6 +21,7 @@ _own: dict[str, str] = {}
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """Read one table of a scale directory, pruned to ``columns`` at the scan."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
 

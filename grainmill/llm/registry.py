@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("percentiles", "ranking", "cutoff", "sampling", "encoding", "mixing")
+MODULES = ("readability", "percentiles", "ranking", "cutoff", "prose", "sampling", "encoding", "mixing", "residue")
 
 
 def queries() -> dict:
