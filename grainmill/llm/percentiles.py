@@ -6,8 +6,9 @@ holds the rank, and shrinks it to the least and greatest value seen in it. It en
 the result is exact, error bound 0; with fewer passes the interval's width is the stated bound.
 
 What adds up: the input is first summed to (group, value, rows). Such tables of different files or days combine by union;
-the counts of the days are the counts of the whole, so ``percentiles`` of combined tables are those of all rows. Here each
-(domain, day) counts towards its day and, with day NULL, towards the domain over all days.
+the counts of the days are the counts of the whole, so ``percentiles`` of combined tables are those of all rows. Here the
+table of each file and day counts towards that file's day, its sums over the files towards the day, and the sums of
+the days towards the domain over all days.
 
 Scale: rows meet the state by a join on the group that shuffles neither a hot group whole nor the raw rows: counts are
 combined map-side, and only rows inside an unresolved interval go on. The state is one row per group and percentile and
@@ -81,34 +82,42 @@ def _part(v: Column, lo: Column, hi: Column) -> Column:
     return F.when(v >= hi, F.lit(WAYS - 1)).otherwise(F.least(F.floor(at * (WAYS - 1)), F.lit(WAYS - 2))).cast("int")
 
 
-def domain_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Value counts of the valid word counts (finite, not negative) by q1's domain and day of crawling, every delivery counting.
+def file_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value counts of the valid word counts (finite, not negative) by q1's domain, file and day of crawling, every delivery counting.
 
     A NULL domain is taken from the path; rows with neither stay, under the NULL domain.
     """
     q1 = read(spark, sf_dir, "q1", "_source_domain", "_source_path", "crawled_at", "rps_doc_word_count")
     domain = F.coalesce(clean_domain(F.col("_source_domain")), path_domain(F.col("_source_path")))
-    rows = q1.select(domain.alias("domain"), F.to_date("crawled_at").alias("day"), F.col("rps_doc_word_count").alias("w")).where("w >= 0")
-    return value_counts(rows, ["domain", "day"], "w")
+    rows = q1.select(domain.alias("domain"), F.col("_source_path").alias("file"), F.to_date("crawled_at").alias("day"), F.col("rps_doc_word_count").alias("w")).where("w >= 0")
+    return value_counts(rows, ["domain", "file", "day"], "w")
 
 
-def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = cut(domain_days(spark, sf_dir))
+def levels(files: DataFrame) -> DataFrame:
+    """The counts of files' days, days and domains together, each level summed from the finer one. A level's own columns tell what it is of."""
+    files = cut(files)
+    days = cut(files.groupBy("domain", "day", "v").agg(F.sum("n").alias("n")))
     whole = days.groupBy("domain", "v").agg(F.sum("n").alias("n"))
-    levels = days.withColumn("level", F.lit("day")).unionByName(whole.withColumn("level", F.lit("all")).withColumn("day", F.lit(None).cast("date")))
-    out = percentiles(levels, ["level", "domain", "day"])
-    return out.select("level", "domain", F.date_format("day", "yyyy-MM-dd").alias("day"), "permille", "n", "value", "error_bound")
+    no_file, no_day = F.lit(None).cast("string").alias("file"), F.lit(None).cast("date").alias("day")
+    out = files.select(F.lit("file").alias("level"), "domain", "file", "day", "v", "n")
+    out = out.unionByName(days.select(F.lit("day").alias("level"), "domain", no_file, "day", "v", "n"))
+    return out.unionByName(whole.select(F.lit("all").alias("level"), "domain", no_file, no_day, "v", "n"))
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = percentiles(levels(file_days(spark, sf_dir)), ["level", "domain", "file", "day"])
+    return out.select("level", "domain", "file", F.date_format("day", "yyyy-MM-dd").alias("day"), "permille", "n", "value", "error_bound")
 
 
 ORACLE = {
     "p2_percentiles": f"""
 WITH v AS (SELECT coalesce(nullif(lower(trim(_source_domain)), ''), nullif(lower(regexp_extract(_source_path, '{PATH_DOMAIN}', 1)), '')) AS domain,
-                  CAST(crawled_at AS DATE) AS day, rps_doc_word_count AS w
+                  _source_path AS file, CAST(crawled_at AS DATE) AS day, rps_doc_word_count AS w
            FROM q1 WHERE rps_doc_word_count >= 0 AND NOT isnan(rps_doc_word_count) AND NOT isinf(rps_doc_word_count)),
-l AS (SELECT 'day' AS level, domain, day, w FROM v UNION ALL SELECT 'all', domain, NULL, w FROM v),
-r AS (SELECT level, domain, day, w, row_number() OVER (PARTITION BY level, domain, day ORDER BY w) AS k,
-             count(*) OVER (PARTITION BY level, domain, day) AS n FROM l)
-SELECT r.level, r.domain, strftime(r.day, '%Y-%m-%d') AS day, p.permille, r.n, r.w AS value, 0::DOUBLE AS error_bound
+l AS (SELECT 'file' AS level, domain, file, day, w FROM v UNION ALL SELECT 'day', domain, NULL, day, w FROM v UNION ALL SELECT 'all', domain, NULL, NULL, w FROM v),
+r AS (SELECT level, domain, file, day, w, row_number() OVER (PARTITION BY level, domain, file, day ORDER BY w) AS k,
+             count(*) OVER (PARTITION BY level, domain, file, day) AS n FROM l)
+SELECT r.level, r.domain, r.file, strftime(r.day, '%Y-%m-%d') AS day, p.permille, r.n, r.w AS value, 0::DOUBLE AS error_bound
 FROM r JOIN (SELECT unnest({list(PERMILLES)})::INTEGER AS permille) p ON r.k = greatest(1, (p.permille * r.n + 999) // 1000)"""
 }
 QUERIES = {"p2_percentiles": p2_percentiles}
