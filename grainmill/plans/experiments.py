@@ -95,7 +95,9 @@ def scheme_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extension_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean shift and distribution distance of the new records of the extensions against the reference."""
-    s = cut(_scored(spark, sf_dir, ["row_key", "domain", "membership", "a1"]).select("row_key", "domain", "a1", F.col("q_primary").alias("q"), F.element_at(F.array_compact(F.array(*[F.when(F.array_contains(F.split("membership", ";"), x), F.lit(x)) for x in ("A2", "A3")])), 1).alias("ext"))).where("domain IN ('arxiv', 'github') AND (a1 OR ext IS NOT NULL)"))
+    labels = F.split("membership", ";")
+    s = _scored(spark, sf_dir, ["row_key", "domain", "membership", "a1"]).where(F.col("domain").isin("arxiv", "github") & (F.col("a1") | F.array_contains(labels, "A2") | F.array_contains(labels, "A3")))
+    s = cut(s.select("row_key", "domain", "a1", F.col("q_primary").alias("q")))
     ks = ks_distance(s.withColumn("q", F.round("q", 9)), ["domain"], "q", F.col("a1"), "row_key")
     m = s.groupBy("domain").agg((F.avg(F.when(~F.col("a1"), F.col("q"))) - F.avg(F.when(F.col("a1"), F.col("q")))).alias("mean_shift"))
     return rounded(ks.join(m, "domain"), 5)
@@ -213,8 +215,8 @@ SELECT domain, na::BIGINT AS n_a, nb::BIGINT AS n_b, round(max(abs(ca / nullif(n
     "rank_map": f"""WITH {parts.RECORDS}, a AS (SELECT row_key, dsir_wiki AS x, 1::DOUBLE / ((SELECT count(DISTINCT coalesce(domain, '')) FROM r WHERE a1) * count(*) OVER (PARTITION BY domain)) AS w, dsir_wiki FROM r WHERE a1),
 c AS (SELECT x, (sum(w) OVER (ORDER BY x, row_key ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER () AS pos, row_number() OVER (ORDER BY x, row_key) AS k FROM a WHERE x IS NOT NULL),
 n AS (SELECT *, lead(pos) OVER (ORDER BY k) AS pos2, lead(x) OVER (ORDER BY k) AS x2 FROM c), g AS (SELECT unnest(range(0, {KNOTS})) / {KNOTS - 1}::DOUBLE AS p),
-q AS (SELECT p, CASE WHEN k = 1 AND pos > p THEN x WHEN pos2 IS NULL THEN x ELSE x + (x2 - x) * (p - pos) / (pos2 - pos) END AS v FROM n JOIN g ON (pos <= p AND (pos2 > p OR pos2 IS NULL)) OR (k = 1 AND pos > p)),
-kn AS (SELECT v, avg(p) AS p, lead(v) OVER (ORDER BY v) AS v2, lead(avg(p)) OVER (ORDER BY v) AS p2 FROM q GROUP BY v)
+qk AS (SELECT p, CASE WHEN k = 1 AND pos > p THEN x WHEN pos2 IS NULL THEN x ELSE x + (x2 - x) * (p - pos) / (pos2 - pos) END AS v FROM n JOIN g ON (pos <= p AND (pos2 > p OR pos2 IS NULL)) OR (k = 1 AND pos > p)),
+kn AS (SELECT v, avg(p) AS p, lead(v) OVER (ORDER BY v) AS v2, lead(avg(p)) OVER (ORDER BY v) AS p2 FROM qk GROUP BY v)
 SELECT row_key, round(CASE WHEN r.dsir_wiki < (SELECT min(v) FROM kn) THEN 0 WHEN r.dsir_wiki > (SELECT max(v) FROM kn) THEN 1 ELSE coalesce(kn.p + (kn.p2 - kn.p) * (r.dsir_wiki - kn.v) / (kn.v2 - kn.v), kn.p) END, 5) AS percentile
 FROM r LEFT JOIN kn ON r.dsir_wiki >= kn.v AND (r.dsir_wiki < kn.v2 OR kn.v2 IS NULL) WHERE r.dsir_wiki IS NOT NULL""",
     "scheme_comparison": f"""WITH {parts.UTILITIES}, {_INNER}, qs AS (SELECT row_key, coalesce(domain, '(none)') AS domain, round({_A22}, 12) AS a,
@@ -238,7 +240,7 @@ ns AS (SELECT stratum, count(*) AS n FROM st WHERE a1 GROUP BY 1), hs AS (SELECT
 ex AS (SELECT a.f AS high_field, b.f AS low_field, sum(a.h * b.l / ns.n::DOUBLE) AS e, sum(ns.n) AS n, sum(a.h) AS hn, sum(b.l) AS ln FROM hs a JOIN hs b ON a.stratum = b.stratum AND a.f <> b.f JOIN ns ON ns.stratum = a.stratum GROUP BY 1, 2),
 ob AS (SELECT a.f AS high_field, b.f AS low_field, count(*) AS c FROM pl a JOIN pl b ON a.row_key = b.row_key AND a.v > 0.75 AND b.v < 0.25 GROUP BY 1, 2),
 t AS (SELECT ex.*, coalesce(c, 0) AS count FROM ex LEFT JOIN ob ON ob.high_field = ex.high_field AND ob.low_field = ex.low_field)
-SELECT high_field, low_field, n::BIGINT AS n, count, round(count / n, 5) AS rate, round(e, 5) AS expected, round(count / CASE WHEN e > 0 THEN e END, 5) AS conditional_lift, round(count * n / nullif(hn * ln, 0)::DOUBLE, 5) AS unconditional_lift, round((count - e) / n, 5) AS excess_rate, e >= 5 AS adequate FROM t""",
+SELECT high_field, low_field, n::BIGINT AS n, count, round(count / n, 5) AS rate, round(e, 5) AS expected, round(count / CASE WHEN e > 0 THEN e END, 5) AS conditional_lift, round(count * n / nullif(hn * ln, 0)::DOUBLE, 5) AS unconditional_lift, round((count - e) / n, 5) + 0 AS excess_rate, e >= 5 AS adequate FROM t""",
     "bh_values": "WITH r AS (SELECT recipe, source, target_share / 4 AS p, row_number() OVER (PARTITION BY recipe ORDER BY target_share, source) AS k, count(*) OVER (PARTITION BY recipe) AS m FROM mix_targets) SELECT recipe, source, round(p, 9) AS p, round(least(1, min(p * m / k) OVER (PARTITION BY recipe ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q FROM r",
     "correlation_matrix": f"""WITH {parts.UTILITIES}, l3 AS (SELECT row_key, unnest(range(22)) AS k, unnest([{', '.join(repr(f) for f in FIELDS)}]) AS f, unnest([{', '.join(Z)}]) AS v FROM z WHERE a1)
 SELECT a.f AS field_a, b.f AS field_b, round(CASE WHEN stddev_pop(a.v) > 1e-9 AND stddev_pop(b.v) > 1e-9 THEN covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) ELSE 0 END, 5) AS r FROM l3 a JOIN l3 b ON a.row_key = b.row_key AND a.k < b.k GROUP BY 1, 2""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("quality",)
+MODULES: tuple[str, ...] = ("quality", "experiments", "corpora", "mixtures", "streams")
 FLAGSHIP = "domain_summary"
 
 
