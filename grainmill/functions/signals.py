@@ -37,19 +37,9 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
 
 
-def list_ok(c: Column, n: int) -> Column:
-    return (F.size(c) == n) & ~F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-
-
-def expected_level(c: Column) -> Column:
-    """Expected level of six logits over 5: the weights are shared, so one pass over the array suffices."""
-    top = F.array_max(c)
-    sums = F.aggregate(
-        F.arrays_zip(c.alias("v"), F.array(*[F.lit(i / 5) for i in range(6)]).alias("level")),
-        F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("s")),
-        lambda a, x: F.struct((a["w"] + F.exp(x["v"] - top)).alias("w"), (a["s"] + F.exp(x["v"] - top) * x["level"]).alias("s")),
-    )
-    return sums["s"] / sums["w"]
+def list_ok(f: str, n: int) -> str:
+    """SQL: a list of exactly n finite numbers."""
+    return f"(size({f}) = {n} AND NOT exists({f}, v -> v IS NULL OR isnan(v) OR abs(v) = double('infinity')))"
 
 
 def first_maximum(c: Column) -> Column:
@@ -57,37 +47,38 @@ def first_maximum(c: Column) -> Column:
     return (F.array_position(c, F.array_max(c)) - 1) / F.lit(5.0)
 
 
+def scalar_sql(f: str) -> dict[str, str]:
+    """The scalars of one field as Spark SQL expressions, NULL where the field doesn't decode: one parse each, not a call per node."""
+    n = LENGTHS.get(f)
+    if n:
+        ok = list_ok(f, n)
+        if f == "qurater":
+            return {name: f"CASE WHEN {ok} THEN {f}[{i}] END" for i, name in enumerate(QURATER)}
+        if n == 1:
+            return {f: f"CASE WHEN {ok} THEN {f}[0] END"}
+        if n == 2:
+            return {f: f"CASE WHEN {ok} THEN round(1D / (1D + exp({f}[0] - {f}[1])), 12) END"}
+        # shifted by the first logit, so that only their differences count
+        e = [f"exp({f}[{i}] - {f}[0])" for i in range(6)]
+        return {f: f"CASE WHEN {ok} THEN round(({' + '.join(f'{x} * {i / 5}D' for i, x in enumerate(e))}) / ({' + '.join(e)}), 12) END"}
+    finite_ = f"{f} IS NOT NULL AND NOT isnan({f}) AND abs({f}) <> double('infinity')"
+    if f in PERCENT:
+        return {f: f"CASE WHEN {finite_} AND {f} BETWEEN 0 AND 100 THEN {f} / 100D END"}
+    if f.startswith("rps_"):
+        return {f: f"CASE WHEN {finite_} AND {f} >= 0 THEN {f} END"}
+    return {f: f"CASE WHEN {finite_} THEN {f} END"}
+
+
 def scalars() -> dict[str, Column]:
-    """The 25 scalars by name, NULL where the field doesn't decode."""
-    out: dict[str, Column] = {}
-    for f in FIELDS:
-        c, n = F.col(f), LENGTHS.get(f)
-        if n:
-            ok = list_ok(c, n)
-            if f == "qurater":
-                out |= {name: F.when(ok, F.element_at(c, i + 1)) for i, name in enumerate(QURATER)}
-            elif n == 1:
-                out[f] = F.when(ok, F.element_at(c, 1))
-            elif n == 2:
-                out[f] = F.when(ok, F.round(1 / (1 + F.exp(F.element_at(c, 1) - F.element_at(c, 2))), 12))
-            else:
-                out[f] = F.when(ok, F.round(expected_level(c), 12))
-        elif f in PERCENT:
-            x = finite(c)
-            out[f] = F.when(x.between(0, 100), x / 100)
-        elif f.startswith("rps_"):
-            x = finite(c)
-            out[f] = F.when(x >= 0, x)
-        else:
-            out[f] = finite(c)
-    return out
+    """The 25 scalars by name."""
+    return {name: F.expr(e) for f in FIELDS for name, e in scalar_sql(f).items()}
 
 
 def issue(f: str) -> Column:
     """Reason code of one field, NULL where it decodes."""
     c, n = F.col(f), LENGTHS.get(f)
     if n:
-        reason = F.when(c.isNull() | (F.size(c) != n), "shape").when(~list_ok(c, n), "nonfinite")
+        reason = F.when(c.isNull() | (F.size(c) != n), "shape").when(~F.expr(list_ok(f, n)), "nonfinite")
     else:
         reason = F.when(c.isNull(), "type").when(finite(c).isNull(), "nonfinite")
         if f in PERCENT:
@@ -101,7 +92,7 @@ def decode(df: DataFrame, keep: list[str], with_ordinal: bool = False, with_issu
     """``keep`` and the 25 scalars; ``o_*`` the alternative ordinal ratings, ``issues`` the reason codes."""
     cols = [c.alias(n) for n, c in scalars().items()]
     if with_ordinal:
-        cols += [F.when(list_ok(F.col(f), 6), first_maximum(F.col(f))).alias(f"o_{f}") for f in ORDINAL]
+        cols += [F.when(F.expr(list_ok(f, 6)), first_maximum(F.col(f))).alias(f"o_{f}") for f in ORDINAL]
     if with_issues:
         cols.append(F.array_compact(F.array(*[issue(f) for f in FIELDS])).alias("issues"))
     return df.select(*keep, *cols)

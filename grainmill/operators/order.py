@@ -58,8 +58,8 @@ def weighted_quantiles(df: DataFrame, group: list[str], value: str, weight: str,
     NULL values and weights that aren't positive are left out; a group without any row gives no row. Ties keep the order of ``unique``.
     """
     rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*group, F.col(value).alias("x"), F.col(weight).alias("w"), unique)
-    r = cut(running(rows, group, [F.col("x"), F.col(unique)], F.col("w"), "c"))
-    total = r.groupBy(*group).agg(F.max("c").alias("t"))
+    r = running(rows, group, [F.col("x"), F.col(unique)], F.col("w"), "c")
+    total = rows.groupBy(*group).agg(F.sum("w").alias("t"))
     j = r.join(F.broadcast(total), group) if group else r.crossJoin(F.broadcast(total))
     pos = (F.col("c") - F.col("w") / 2) / F.col("t")
     # slot k holds the rows between the probabilities k - 1 and k, so at most len(probs) + 1 rows per group go on

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.signals import ATOMIC, FIELDS, QURATER
 from grainmill.operators.order import weighted_quantiles
+from grainmill.sources.shared import cut
 
 # The kind of utility of each field and its parameters.
 SPECS: dict[str, dict] = {
@@ -89,17 +90,20 @@ def fit(reference: DataFrame, domain: str, unique: str, specs: dict[str, dict] |
 
     Columns without any value get median 0, bounds (0, 0) and are unavailable. Driver-held: 25 columns times the domains.
     """
-    weighted = balanced_weights(reference, domain)
-    long = unpivot(weighted, [domain, unique, "w"], list(ATOMIC))
+    rows = cut(balanced_weights(reference, domain).select(F.coalesce(F.col(domain), F.lit("")).alias("d"), F.col(unique).alias("k"), "w", *ATOMIC))
     probs = sorted({0.5, *REFERENCE_QUANTILES, *(q for s in (specs or SPECS).values() for q in s.get("quantiles", ()))})
     logs = [c for c in ATOMIC if spec_of(c, specs).get("log1p")]
-    if logs:
-        long = long.unionByName(long.where(F.col("column").isin(logs)).withColumn("column", F.concat(F.lit("log1p "), "column")).withColumn("x", F.log1p(F.greatest("x", F.lit(0.0)))))
-    found = {(r.column, r.p): r.value for r in weighted_quantiles(long, ["column"], "x", "w", unique, probs).collect()}
-    plain = long.where(~F.col("column").startswith("log1p ")).withColumn("w", F.lit(1.0)).withColumn("d", F.coalesce(F.col(domain), F.lit("")))
+    wide = rows.select("*", *[F.log1p(F.greatest(c, F.lit(0.0))).alias(f"log1p {c}") for c in logs])
+    long = unpivot(wide, ["d", "k", "w"], [*ATOMIC, *[f"log1p {c}" for c in logs]]).where("x IS NOT NULL")
+    # every value counts in its column over all domains, by weight, and in its domain's column, evenly: one pass for both
+    both = long.selectExpr("column", "x", "k", "explode(array(named_struct('whole', true, 'g', '*', 'w', w), named_struct('whole', false, 'g', d, 'w', 1D))) AS s").selectExpr("s.whole", "s.g", "s.w", "column", "x", "k")
+    found: dict[tuple[str, float], float] = {}
     by: dict[str, dict[str, float]] = {}
-    for r in weighted_quantiles(plain, ["d", "column"], "x", "w", unique, [0.5]).collect():
-        by.setdefault(r.d, {})[r.column] = r.value
+    for r in weighted_quantiles(both, ["whole", "g", "column"], "x", "w", "k", probs).collect():
+        if r.whole:
+            found[r.column, r.p] = r.value
+        elif r.p == 0.5 and not r.column.startswith("log1p "):
+            by.setdefault(r.g, {})[r.column] = r.value
     medians = {c: found.get((c, 0.5), 0.0) for c in ATOMIC}
     bounds = {}
     for c in ATOMIC:
@@ -110,14 +114,16 @@ def fit(reference: DataFrame, domain: str, unique: str, specs: dict[str, dict] |
     return Fitted(medians, by, bounds, {c for c in ATOMIC if (c, 0.5) not in found})
 
 
-def imputed(c: str, domain: Column, fitted: Fitted, global_only: bool = False) -> Column:
+def with_medians(df: DataFrame, domain: str, fitted: Fitted) -> DataFrame:
+    """Adds m_*, the medians of the row's domain (NULL for unknown domains), from a table of one row per reference domain."""
+    rows = [(d, *[float(m[c]) if c in m else None for c in ATOMIC]) for d, m in sorted(fitted.domain_medians.items())]
+    table = df.sparkSession.createDataFrame(rows, "_d string, " + ", ".join(f"m_{c} double" for c in ATOMIC))
+    return df.join(F.broadcast(table), F.coalesce(F.col(domain), F.lit("")) == F.col("_d"), "left").drop("_d")
+
+
+def imputed(c: str, fitted: Fitted, global_only: bool = False) -> Column:
     """The value, else the median of its domain, else the global one."""
-    fallback = F.lit(fitted.medians[c])
-    if not global_only:
-        for d, m in sorted(fitted.domain_medians.items()):
-            if c in m:
-                fallback = F.when(F.coalesce(domain, F.lit("")) == d, F.lit(m[c])).otherwise(fallback)
-    return F.coalesce(F.col(c), fallback)
+    return F.expr(f"coalesce({c}, {float(fitted.medians[c])!r}D)" if global_only else f"coalesce({c}, m_{c}, {float(fitted.medians[c])!r}D)")
 
 
 def utility(c: str, x: Column, domain: Column, fitted: Fitted, specs: dict[str, dict] | None = None, allowance: bool = True) -> Column:
@@ -148,9 +154,11 @@ def utility(c: str, x: Column, domain: Column, fitted: Fitted, specs: dict[str,
 
 
 def apply_utilities(df: DataFrame, domain: str, fitted: Fitted, keep: list[str], specs: dict[str, dict] | None = None, allowance: bool = True, global_only: bool = False) -> DataFrame:
-    """``keep``, the 25 atomic utilities u_*, the 22 rolled-up z_*, and the shares of fields that were valid and applicable. A projection."""
+    """``keep``, the 25 atomic utilities u_*, the 22 rolled-up z_*, and the shares of fields that were valid and applicable. A projection after a broadcast of the medians."""
     d = F.col(domain)
-    u = df.select(*keep, *[utility(c, imputed(c, d, fitted, global_only), d, fitted, specs, allowance).alias(f"u_{c}") for c in ATOMIC], *[F.col(c).isNotNull().alias(f"v_{c}") for c in ATOMIC])
+    df = df if global_only else with_medians(df, domain, fitted)
+    u = df.select(*keep, *[utility(c, imputed(c, fitted, global_only), d, fitted, specs, allowance).alias(f"u_{c}") for c in ATOMIC], *[F.col(c).isNotNull().alias(f"v_{c}") for c in ATOMIC], d.alias("_domain"))
+    d = F.col("_domain")
     z = [sum((F.col(f"u_{q}") * w for q, w in zip(QURATER, QURATER_WEIGHTS)), F.lit(0.0)).alias("z_qurater") if f == "qurater" else F.col(f"u_{f}").alias(f"z_{f}") for f in FIELDS]
     valid = [F.col("v_qurater_0") & F.col("v_qurater_1") & F.col("v_qurater_2") & F.col("v_qurater_3") if f == "qurater" else F.col(f"v_{f}") for f in FIELDS]
     neutral = [F.when(d.isin(*spec_of(f, specs)["neutral"]), 0.0).otherwise(1.0) if allowance and spec_of(f, specs).get("neutral") else F.lit(1.0) for f in FIELDS]
