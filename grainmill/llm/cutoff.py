@@ -57,7 +57,7 @@ def cutoffs(records: DataFrame, targets: DataFrame, group: str = "domain", score
             done[r.g] = (r.n, None)
         else:
             state[r.g] = Bracket(r.n, k, r.lo, r.hi, r.s)
-            done[r.g] = (r.n, None)
+            done[r.g] = (r.n, state[r.g].value)  # known at once where all scores are equal
     for _ in range(MAX_PASSES):
         state = {g: b for g, b in state.items() if not b.resolved}
         if not state:

@@ -46,29 +46,31 @@ def percentiles(counts: DataFrame, groups: list[str], permilles: tuple[int, ...]
     """
     if not permilles or any(not 0 <= p <= 1000 for p in permilles):
         raise ValueError("permilles must be between 0 and 1000")
+    if clash := {"v", "n", "permille", "value", "error_bound"} & {c.lower() for c in groups}:
+        raise ValueError(f"groups clash with columns of the result: {sorted(clash)}")
     packed = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}) if groups else F.lit("")  # an exact key that NULLs can join on
-    rows = cut(counts.select(packed.alias("g"), "v", "n"))
-    names = counts.select(packed.alias("g"), *groups).distinct() if groups else None
-    state = rows.groupBy("g").agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    state = state.select("g", "total", "lo", "hi", F.explode(F.array(*map(F.lit, permilles))).alias("p"))
+    rows = cut(counts.select(packed.alias("_g"), "v", "n"))
+    names = counts.select(packed.alias("_g"), *groups).distinct() if groups else None
+    state = rows.groupBy("_g").agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    state = state.select("_g", "total", "lo", "hi", F.explode(F.array(*map(F.lit, permilles))).alias("p"))
     state = cut(state.withColumn("rank", F.expr("greatest(1L, (p * total + 999) div 1000)")))
     for _ in range(max_passes):
         open_ = state.where("lo < hi")
         if open_.isEmpty():
             break
-        wanted = open_.select("g", "p", "lo", "hi", "rank")
+        wanted = open_.select("_g", "p", "lo", "hi", "rank")
         part = _part(F.col("v"), F.col("lo"), F.col("hi")).alias("part")
-        inside = rows.join(wanted, "g").where("v >= lo AND v <= hi")
-        tally = inside.groupBy("g", "p", "rank", part).agg(F.sum("n").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        inside = rows.join(wanted, "_g").where("v >= lo AND v <= hi")
+        tally = inside.groupBy("_g", "p", "rank", part).agg(F.sum("n").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
         # the parts of one interval are at most WAYS rows
         parts = F.sort_array(F.collect_list(F.struct("part", "c", "a", "b"))).alias("parts")
-        step = tally.groupBy("g", "p", "rank").agg(parts)
+        step = tally.groupBy("_g", "p", "rank").agg(parts)
         start = F.struct(F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("rank"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
         pick = F.aggregate("parts", start, lambda s, x: F.when(s["rank"].isNull() & (s["below"] + x["c"] >= F.col("rank")), F.struct(s["below"].alias("below"), (F.col("rank") - s["below"]).alias("rank"), x["a"].alias("lo"), x["b"].alias("hi"))).otherwise(F.struct((s["below"] + F.when(s["rank"].isNull(), x["c"]).otherwise(F.lit(0))).alias("below"), s["rank"].alias("rank"), s["lo"].alias("lo"), s["hi"].alias("hi"))))
-        next_ = step.select("g", "p", pick.alias("s")).select("g", "p", F.col("s.rank").alias("r2"), F.col("s.lo").alias("lo2"), F.col("s.hi").alias("hi2"))
-        state = cut(state.join(next_, ["g", "p"], "left").select("g", "total", F.coalesce("lo2", "lo").alias("lo"), F.coalesce("hi2", "hi").alias("hi"), "p", F.coalesce("r2", "rank").alias("rank")))
-    out = state.select("g", F.col("p").alias("permille"), F.col("total").alias("n"), F.col("lo").alias("value"), (F.col("hi") - F.col("lo")).alias("error_bound"))
-    return (out.join(names, "g") if names is not None else out).select(*groups, "permille", "n", "value", "error_bound")
+        next_ = step.select("_g", "p", pick.alias("s")).select("_g", "p", F.col("s.rank").alias("r2"), F.col("s.lo").alias("lo2"), F.col("s.hi").alias("hi2"))
+        state = cut(state.join(next_, ["_g", "p"], "left").select("_g", "total", F.coalesce("lo2", "lo").alias("lo"), F.coalesce("hi2", "hi").alias("hi"), "p", F.coalesce("r2", "rank").alias("rank")))
+    out = state.select("_g", F.col("p").alias("permille"), F.col("total").alias("n"), F.col("lo").alias("value"), (F.col("hi") - F.col("lo")).alias("error_bound"))
+    return (out.join(names, "_g") if names is not None else out).select(*groups, "permille", "n", "value", "error_bound")
 
 
 def _part(v: Column, lo: Column, hi: Column) -> Column:
