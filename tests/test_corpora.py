@@ -108,3 +108,16 @@ def test_runs(spark, name):
     from tests.conftest import SF
 
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+def test_scorers_keep_results(spark, tmp_path):
+    from grainmill.functions import scorers
+
+    scorers.register("length", lambda texts: [[float(len(t))] for t in texts])
+    df = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, None), (4, "")], "k long, t string")
+    cache = str(tmp_path / "cache")
+    for _ in range(2):
+        assert {r.k: r.scores for r in scorers.score_texts(df, "k", "t", "length", cache).collect()} == {1: [2.0], 2: [2.0], 3: None, 4: [0.0]}
+        assert spark.read.parquet(cache).count() == 2
+    with pytest.raises(KeyError):
+        scorers.score_texts(df, "k", "t", "none", cache)
