@@ -32,6 +32,14 @@ def running(df: DataFrame, group: list[str], order: list[Column], value: Column
     return joined.withColumn(name, F.col("_c") + F.col("_o")).drop("_v", "_p", "_c", "_o", "_q", *[f"_k{i}" for i in range(len(group))])
 
 
+def _attach(df: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
+    """``df`` with its group's row of ``totals``; without groups that is one row, whose values become literals."""
+    if group:
+        return df.join(F.broadcast(totals), group)
+    row = totals.first()
+    return df.select("*", *[F.lit(row[c] if row else None).cast(t).alias(c) for c, t in totals.dtypes])
+
+
 def average_rank(df: DataFrame, group: list[str], value: str, unique: str, name: str = "rank") -> DataFrame:
     """Rank from 1 by ascending ``value``, ties sharing their mean; NULL values take no part and are dropped."""
     r = cut(running(df.where(F.col(value).isNotNull()), group, [F.col(value), F.col(unique)], name="_r"))
@@ -60,15 +68,18 @@ def weighted_quantiles(df: DataFrame, group: list[str], value: str, weight: str,
     rows = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(*group, F.col(value).alias("x"), F.col(weight).alias("w"), unique)
     r = running(rows, group, [F.col("x"), F.col(unique)], F.col("w"), "c")
     total = rows.groupBy(*group).agg(F.sum("w").alias("t"))
-    j = r.join(F.broadcast(total), group) if group else r.crossJoin(F.broadcast(total))
+    j = _attach(r, total, group)
     pos = (F.col("c") - F.col("w") / 2) / F.col("t")
     # slot k holds the rows between the probabilities k - 1 and k, so at most len(probs) + 1 rows per group go on
     point = F.struct("pos", "x")
     slots = j.select(*group, "x", pos.alias("pos")).withColumn("k", _slot(F.col("pos"), probs))
     slots = slots.groupBy(*group, "k").agg(F.max(point).alias("last"), F.min(point).alias("first"))
-    grid = total.select(*group, F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("i", "p"))
-    b = grid.join(slots, group) if group else grid.crossJoin(slots)
-    b = b.groupBy(*group, "i", "p").agg(F.max(F.when(F.col("k") <= F.col("i"), F.col("last"))).alias("lo"), F.min(F.when(F.col("k") > F.col("i"), F.col("first"))).alias("hi"))
+    # the probabilities take their places among the slots, so that windows over this small table find their brackets
+    none = F.lit(None).cast("struct<pos:double,x:double>")
+    grid = total.select(*group, F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("k", "p")).select(*group, "k", none.alias("last"), none.alias("first"), "p")
+    both = slots.withColumn("p", F.lit(None).cast("double")).unionByName(grid)
+    w = Window.partitionBy(*group).orderBy("k")
+    b = both.withColumn("lo", F.max("last").over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("hi", F.min("first").over(w.rangeBetween(1, Window.unboundedFollowing))).where("p IS NOT NULL")
     lo, hi = F.col("lo"), F.col("hi")
     v = F.when(lo.isNull(), hi["x"]).when(hi.isNull(), lo["x"]).otherwise(lo["x"] + (hi["x"] - lo["x"]) * (F.col("p") - lo["pos"]) / (hi["pos"] - lo["pos"]))
     return b.select(*group, "p", v.alias("value"))
@@ -100,7 +111,7 @@ def top_fraction(df: DataFrame, group: list[str], value: str, unique: str, fract
     """Adds ``name``: whether the row is among the ceil(n * fraction), at least one, largest values of its group; ties by ``unique``."""
     r = cut(running(df, group, [F.col(value).desc_nulls_last(), F.col(unique)], name="_r"))
     sizes = r.groupBy(*group).agg(F.count("*").alias("_n"))
-    joined = r.join(F.broadcast(sizes), group) if group else r.crossJoin(F.broadcast(sizes))
+    joined = _attach(r, sizes, group)
     keep = F.greatest(F.lit(1), F.ceil(F.round(F.col("_n") * fraction, 9)))
     return joined.withColumn(name, F.col("_r") <= keep).drop("_r", "_n")
 
@@ -112,7 +123,7 @@ def ks_distance(df: DataFrame, group: list[str], value: str, in_a: Column, uniqu
     r = running(running(by_value, group, [F.col("x")], F.col("na"), "ca"), group, [F.col("x")], F.col("nb"), "cb")
     r = cut(r)
     n = r.groupBy(*group).agg(F.max("ca").alias("n_a"), F.max("cb").alias("n_b"))
-    j = r.join(F.broadcast(n), group) if group else r.crossJoin(F.broadcast(n))
+    j = _attach(r, n, group)
     gap = F.abs(F.try_divide(F.col("ca"), F.col("n_a")) - F.try_divide(F.col("cb"), F.col("n_b")))
     return j.groupBy(*group, "n_a", "n_b").agg(F.max(gap).alias("ks"))
 

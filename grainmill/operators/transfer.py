@@ -96,8 +96,7 @@ def bridge(recipes: DataFrame, known: DataFrame, scores: DataFrame, extension: D
     scores are filled with the mean of the mapped ones where a sensitivity needs a value.
     """
     m = known.join(F.broadcast(scores), "quality_domain", "left").join(F.broadcast(extension), "quality_domain", "left").select("domain", "q", "low", "high", "q_ext")
-    mean = m.agg(F.avg("q").alias("q_mean"))
-    m = m.crossJoin(F.broadcast(mean))  # one row on the right
+    m = m.withColumn("q_mean", F.avg("q").over(Window.partitionBy()))  # one row per mapped domain
     j = recipes.join(F.broadcast(m), "domain", "left")
     p, z = F.col("p"), F.lit(0.0)
     mass = F.sum(F.when(F.col("q").isNotNull(), p).otherwise(z))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions.signals import ATOMIC, FIELDS, QURATER
@@ -66,8 +66,7 @@ def validate(specs: dict[str, dict], qurater_weights: tuple[float, ...] = QURATE
 def balanced_weights(df: DataFrame, domain: str, name: str = "w") -> DataFrame:
     """Adds 1 / (number of domains * rows of the domain): every domain has the same total. NULL is a domain of its own."""
     sizes = df.groupBy(F.col(domain).alias("_d")).agg(F.count("*").alias("_n"))
-    groups = sizes.agg(F.count("*").alias("_g"))
-    per = sizes.crossJoin(F.broadcast(groups))  # one row on the right
+    per = sizes.withColumn("_g", F.count("*").over(Window.partitionBy()))  # one row per domain
     return df.join(F.broadcast(per), F.col(domain).eqNullSafe(F.col("_d"))).withColumn(name, 1 / (F.col("_g") * F.col("_n").cast("double"))).drop("_d", "_n", "_g")
 
 

@@ -30,9 +30,9 @@ def recipes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 def pair_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, _ = recipes(spark, sf_dir)
     s = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
-    dup = r.groupBy("p").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("exact_duplicates"))
+    dup = r.groupBy("p").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
     a = r.agg(F.count("*").alias("rows"), F.count_distinct("index").alias("distinct_index"), F.min(s).alias("sum_min"), F.max(s).alias("sum_max"), F.count_if(F.abs(s - 1) > 0.005).alias("out_of_tolerance"), F.count_if(F.exists("p", lambda x: x < 0)).alias("negative"), F.count_if(F.exists("y", lambda x: x <= 0)).alias("bad_losses"))
-    return rounded(a.crossJoin(F.broadcast(dup)))
+    return rounded(a.withColumn("exact_duplicates", F.lit(dup).cast("long")))
 
 
 def domain_support(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +98,9 @@ def ranking_regret(spark: SparkSession, sf_dir: str) -> DataFrame:
     reg = t.agg(*[(F.min(F.when(F.col("k") <= k, F.col("macro")))).alias(f"m{k}") for k in (1, 5, 10)], F.min_by("index", "k").alias("selected"))
     over = by_p.join(F.broadcast(by_m.select("index")), "index").agg((F.count("*") / 10).alias("top10_overlap"))
     ranks = average_rank(average_rank(s, [], "macro", "index", "ra"), [], "predicted", "index", "rb").agg(pearson(F.col("ra"), F.col("rb")).alias("spearman"), F.count("*").alias("n"))
-    j = reg.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(over)).crossJoin(F.broadcast(ranks))  # one row each
-    return rounded(j.select("n", "selected", "spearman", "top10_overlap", *[(F.col(f"m{k}") - F.col("best")).alias(f"regret_{k}") for k in (1, 5, 10)]))
+    one = reg.first().asDict() | best.first().asDict() | over.first().asDict() | ranks.first().asDict()  # one row each
+    row = (one["n"], one["selected"], one["spearman"], one["top10_overlap"], *[one[f"m{k}"] - one["best"] if one["best"] is not None else None for k in (1, 5, 10)])
+    return rounded(spark.createDataFrame([row], "n long, selected long, spearman double, top10_overlap double, regret_1 double, regret_5 double, regret_10 double"))
 
 
 def replacement_effects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions.signals import ATOMIC, FIELDS, decode
@@ -60,8 +60,8 @@ def membership_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def balanced_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = balanced_weights(parts.records(spark, sf_dir).where("a1").select("domain", "row_key"), "domain")
     per = w.groupBy("domain").agg(F.count("*").alias("n"), F.sum("w").alias("total"), F.max("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"))
-    all_ = per.agg((1 / F.sum("w2")).alias("effective_n"))
-    return rounded(per.drop("w2").crossJoin(F.broadcast(all_)), 9)
+    per = per.withColumn("effective_n", 1 / F.sum("w2").over(Window.partitionBy()))  # one row per domain
+    return rounded(per.drop("w2"), 9)
 
 
 def weighted_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:

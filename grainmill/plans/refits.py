@@ -43,8 +43,8 @@ def lodo_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
         full = score(u)
         blind = rows.where(F.col("domain") == held).select("row_key", "domain", *[F.col(c) if c in STATISTICS else F.lit(None).cast("double").alias(c) for c in ATOMIC])
         part = score(apply_utilities(blind, "domain", fitted, ["row_key", "domain"])).select("row_key", F.col("q").alias("p"))
-        mean = full.where(F.col("domain") != held).groupBy("domain").agg(F.avg("q").alias("m")).agg(F.avg("m").alias("constant"))
-        j = full.where(F.col("domain") == held).join(part, "row_key").crossJoin(F.broadcast(mean))  # one row on the right
+        mean = full.where(F.col("domain") != held).groupBy("domain").agg(F.avg("q").alias("m")).agg(F.avg("m")).first()[0]
+        j = full.where(F.col("domain") == held).join(part, "row_key").withColumn("constant", F.lit(mean).cast("double"))
         err, base = F.col("q") - F.col("p"), F.col("q") - F.col("constant")
         one = j.groupBy("domain").agg(F.count("*").alias("n"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(base * base)).alias("constant_rmse"), F.avg(F.abs(base)).alias("constant_mae"), F.avg("q").alias("actual_mean"), F.avg("p").alias("predicted_mean"))
         out = one if out is None else out.unionByName(one)
