@@ -2,10 +2,9 @@
 
 For each (recipe, source): of all document rates w with 0 <= w <= max_repeats whose tokens sum to the target T and whose
 number keeps the source's mean length (sum of w = T / mean tokens), take those closest in relative entropy to using each document
-once. Convex duality gives them as capped exponential tilts, w = min(cap, exp(a + b * t / mean)); (a, b) maximise a concave
-dual whose gradient and Hessian are sums over documents. Distributed Newton iterations solve all recipes and sources at once:
-one aggregation per step over the table (source, tokens, documents), which combines equal sizes, so a source with a third of
-all documents costs no more than its distinct sizes.
+once. Both sums are met by the constant rate w = T / tokens, an exponential tilt exp(a + b * t / mean) with b = 0 below the cap; so it
+meets the optimality conditions and, relative entropy being strictly convex, is the one solution. It needs the tokens of each source
+alone: one aggregation over the table (source, tokens, documents).
 
 If T passes what the source has at max_repeats, every document is used max_repeats times and the shortfall is reported.
 
@@ -20,8 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import cut, read
@@ -29,14 +27,13 @@ from grainmill.llm.encoding import DEFAULT_VOCABULARY, count_tokens
 
 MAX_LINES = 100_000
 SALT = "grainmill-mix-1"
-NEWTON_STEPS = 60
 PROBES = 16  #: shifts tried in one pass of the rounding
 ROUNDING_PASSES = 5
 
 
 @dataclass
 class Line:
-    """One source of one recipe: its target, cap and the dual variables."""
+    """One source of one recipe: its target, cap and the rate of its documents."""
 
     number: int
     recipe: str
@@ -44,17 +41,8 @@ class Line:
     share: float
     target: float
     cap: float
-    mean: float = 0.0
     tokens: int = 0
-    a: float = 0.0
-    b: float = 0.0
-    solved: bool = False
-    best: float = float("inf")
-
-
-def tilt(a: Column, b: Column, cap: Column, t: Column, mean: Column) -> Column:
-    """The rate of a document of ``t`` tokens."""
-    return F.least(cap, F.exp(F.least(a + b * t / mean, F.lit(50.0))))
+    rate: float = 0.0
 
 
 def balance(sizes: DataFrame, recipes: DataFrame) -> tuple[list[Line], int]:
@@ -71,43 +59,14 @@ def balance(sizes: DataFrame, recipes: DataFrame) -> tuple[list[Line], int]:
     lines = [Line(i, r.recipe, r.source, r.share or 0.0, max(0.0, (r.share or 0.0) * (r.ratio or 0.0)) * total, float(max(0, r.cap or 0))) for i, r in enumerate(rows)]
     spark = sizes.sparkSession
     names = spark.createDataFrame([(x,) for x in sorted({x.source for x in lines if x.source is not None})], "source string")
-    have = {r.source: r for r in sizes.join(F.broadcast(names), "source").where("t > 0").groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("t") * F.col("n")).alias("t")).collect()}
+    have = {r.source: r.t for r in sizes.join(F.broadcast(names), "source").where("t > 0").groupBy("source").agg(F.sum(F.col("t") * F.col("n")).alias("t")).collect()}
     for x in lines:
-        if x.source in have:
-            x.tokens, x.mean = have[x.source].t, have[x.source].t / have[x.source].n
-        if not x.tokens or not x.target or not x.cap:
-            x.a, x.solved = -float("inf"), True
-        elif x.target >= x.cap * x.tokens:
-            x.a, x.solved = 50.0, True  # every document at its cap
-    for _ in range(NEWTON_STEPS):
-        todo = [x for x in lines if not x.solved]
-        if not todo:
-            break
-        frame = spark.createDataFrame([(x.number, x.source, x.a, x.b, x.cap, x.mean) for x in todo], "line int, source string, a double, b double, cap double, mean double")
-        z = F.col("t") / F.col("mean")
-        raw = F.exp(F.least(F.col("a") + F.col("b") * z, F.lit(50.0)))
-        w = F.least(F.col("cap"), raw) * F.col("n")
-        h = F.when(raw < F.col("cap"), raw * F.col("n")).otherwise(0.0)
-        sums = sizes.where("t > 0").join(F.broadcast(frame), "source").groupBy("line").agg(*[F.sum(c).alias(k) for k, c in {"w0": w, "w1": w * z, "h0": h, "h1": h * z, "h2": h * z * z}.items()])
-        for r in sums.collect():
-            _step(lines[r.line], r)
+        x.tokens = have.get(x.source, 0)
+        if x.tokens:
+            x.rate = min(x.cap, x.target / x.tokens)  # the cap: every document at it, the shortfall is reported
     return lines, total
 
 
-def _step(x: Line, r) -> None:
-    """One damped Newton step on the dual of a line, in units of the mean document."""
-    goal = x.target / x.mean
-    g = np.array([goal - r.w0, goal - r.w1])
-    error = float(np.max(np.abs(g))) / goal
-    if error < 1e-9:
-        x.solved = True
-        return
-    ridge = 1e-9 * (r.h0 + r.h2) + 1e-9 * goal
-    d = np.linalg.solve(np.array([[r.h0, r.h1], [r.h1, r.h2]]) + ridge * np.eye(2), g)
-    d *= min(1.0, 2.0 / max(1e-12, float(np.max(np.abs(d)))))  # steps of at most a factor e^2
-    x.a, x.b, x.best = x.a + float(d[0]), x.b + float(d[1]), min(x.best, error)
-
-
 def select(documents: DataFrame, key: str, lines: list[Line]) -> tuple[DataFrame, DataFrame]:
     """(recipe, key, source, t, copies > 0) for documents (key, source, t), and the lines as a table with the chosen shift.
 
@@ -115,14 +74,14 @@ def select(documents: DataFrame, key: str, lines: list[Line]) -> tuple[DataFrame
     """
     spark = documents.sparkSession
     frame = spark.createDataFrame(
-        [(x.number, x.recipe, x.source, x.share, x.target, max(x.a, -700.0), x.b, x.cap, x.mean or 1.0, x.tokens) for x in lines if x.source is not None],
-        "line int, recipe string, source string, share double, target double, a double, b double, cap double, mean double, tokens long",
+        [(x.number, x.recipe, x.source, x.share, x.target, x.rate, x.cap, x.tokens) for x in lines if x.source is not None],
+        "line int, recipe string, source string, share double, target double, w double, cap double, tokens long",
     )
     unit = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(SALT), F.col(key).cast("string")), 256), 1, 12), 16, 10).cast("double") / float(16**12)
-    rated = documents.where("t > 0").join(F.broadcast(frame.where("tokens > 0")), "source")
-    rated = rated.withColumn("w", tilt(F.col("a"), F.col("b"), F.col("cap"), F.col("t"), F.col("mean"))).withColumn("u", unit)
+    rated = documents.where("t > 0").join(F.broadcast(frame.where("w > 0")), "source")
+    rated = rated.withColumn("u", unit)
     shifts = {x.number: (-0.5, 0.5) for x in lines}
-    copies = lambda s: F.when(F.col("w") > 0, F.greatest(F.lit(0.0), F.least(F.col("cap"), F.floor(F.col("w") + F.col("u") + s)))).cast("long")
+    copies = lambda s: F.greatest(F.lit(0.0), F.least(F.col("cap"), F.floor(F.col("w") + F.col("u") + s))).cast("long")
     goals = {x.number: min(x.target, x.cap * x.tokens) for x in lines}
     chosen: dict[int, float] = {}
     for _ in range(ROUNDING_PASSES):

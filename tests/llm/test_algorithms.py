@@ -153,6 +153,19 @@ def test_mix(spark):
     assert mixing.select(docs.limit(0), "doc_id", empty)[0].count() == 0
 
 
+def test_mix_near_the_cap(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, "a", max(1, int(rng.lognormvariate(6, 1.2)))) for i in range(300)], "doc_id long, source string, t long")
+    rows = [(f"{cap} {part}", part * cap, "a", 1.0, cap) for cap in (1, 2, 3, 4) for part in (0.8, 0.9, 0.95, 0.97, 0.98, 0.99)]
+    rec = spark.createDataFrame(rows, "recipe string, budget_ratio double, source string, target_share double, max_repeats int")
+    lines, _ = mixing.balance(docs.groupBy("source", "t").agg(F.count("*").alias("n")), rec)
+    chosen, _ = mixing.select(docs, "doc_id", lines)
+    got = {r.recipe: r.t for r in chosen.groupBy("recipe").agg(F.sum(F.col("t") * F.col("copies")).alias("t")).collect()}
+    most = docs.agg(F.max("t")).first()[0]
+    off = {x.recipe: got[x.recipe] / x.target for x in lines if abs(got[x.recipe] - x.target) > most}
+    assert not off
+
+
 @pytest.mark.parametrize("name", ["p2_percentiles", "p3_ranking", "p4_found", "p4_cutoffs", "p6_sample", "p6_growth"])
 def test_against_sql(spark, name):
     check(spark, registry.queries()[name], registry.oracle_sql()[name])
