@@ -1,7 +1,7 @@
 """Mixtures and losses: features, ridge and kernel models, grouped cross-validation, effects and ranking measures.
 
-Recipe tables are designs of experiments: hundreds to a few thousand rows. What needs a dense solve takes at most ``MAX_RECIPES`` recipes on the driver, checked;
-feature sums (Gram matrices) and predictions for any number of recipes run on the executors.
+What needs a dense solve takes at most ``MAX_RECIPES`` recipes on the driver, checked; feature sums (Gram matrices), predictions and all that
+compares recipes in pairs run on the executors for any number of recipes, the pairs in squares of two blocks.
 """
 
 from __future__ import annotations
@@ -13,7 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.sources.shared import cut
+
 MAX_RECIPES = 4096
+BLOCK = 1024  #: recipes of a block, about
+BINS = 4096  #: intervals that a quantile's bracket is cut into in one pass
 
 
 def validate_pair(p: np.ndarray, y: np.ndarray, tolerance: float = 0.005) -> None:
@@ -181,21 +185,134 @@ def linear_prediction(x: Column, beta: list[float]) -> Column:
     return sum((F.get(x, F.lit(i)) * float(b) for i, b in enumerate(beta)), F.lit(0.0))
 
 
+def blocks(df: DataFrame) -> DataFrame:
+    """block, keys, flat: recipes (index, p array) packed into rows of about BLOCK recipes, in order of the index."""
+    count = max(1, -(-df.count() // BLOCK))
+    packed = df.groupBy(F.pmod(F.xxhash64("index"), F.lit(count)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("index", "p"))).alias("r"))
+    return cut(packed.select("block", F.transform("r", lambda x: x["index"]).alias("keys"), F.flatten(F.transform("r", lambda x: x["p"])).alias("flat")))
+
+
+def squares(a: DataFrame, b: DataFrame, upper: bool = False) -> DataFrame:
+    """Every block of ``a`` with every one of ``b``; ``upper``: each unordered pair of blocks of one table once."""
+    left = a.toDF("block_a", "keys_a", "flat_a").repartition(a.sparkSession.sparkContext.defaultParallelism, "block_a")
+    j = left.crossJoin(b.toDF("block_b", "keys_b", "flat_b"))
+    return j.where("block_a <= block_b") if upper else j
+
+
+def _square(b: pa.RecordBatch, i: int) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whether both blocks are the same, and keys and shares of both."""
+    ka, fa, kb, fb = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("keys_a", "flat_a", "keys_b", "flat_b"))
+    return b.column("block_a")[i].as_py() == b.column("block_b")[i].as_py(), ka, fa.reshape(len(ka), -1), kb, fb.reshape(len(kb), -1)
+
+
 def nearest(queries: DataFrame, train: DataFrame) -> DataFrame:
-    """index, nearest, l1, exact for recipes (index, p array): the bounded training table is broadcast once, distances go in blocks."""
-    t = train.limit(MAX_RECIPES + 1).orderBy("index").collect()
-    if len(t) > MAX_RECIPES:
-        raise ValueError(f"more than {MAX_RECIPES} recipes")
-    shared = queries.sparkSession.sparkContext.broadcast((np.array([r["index"] for r in t]), np.array([r.p for r in t], float)))
+    """index, nearest, l1, exact for recipes (index, p array): each square of blocks gives its least distances, of which the least counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                _, ka, at, kb, m = _square(b, i)
+                d = np.round(np.array([np.abs(m - x).sum(1) for x in at]), 12)  # equal distances tie towards the least index
+                k = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(ka), pa.array(kb[k]), pa.array(d[np.arange(len(at)), k])], ["index", "nearest", "l1"])
+
+    found = squares(blocks(queries.select("index", "p")), blocks(train.select("index", "p"))).mapInArrow(run, "index bigint, nearest bigint, l1 double")
+    best = found.groupBy("index").agg(F.min(F.struct("l1", "nearest")).alias("r"))
+    return best.select("index", "r.nearest", "r.l1", (F.col("r.l1") < 1e-12).alias("exact"))
+
+
+class Sets:
+    """Disjoint sets, each known by its least member."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (u := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(u, u)
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+
+
+def groups(df: DataFrame, threshold: float) -> DataFrame:
+    """index, group_index: the least index that steps of at most ``threshold`` in L1 lead to. The driver holds one number per recipe.
+
+    Each task joins the recipes of its squares and gives (member, least member) alone, so no list of all near pairs is made.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, m = shared.value
+        sets = Sets()
+        for b in batches:
+            for i in range(b.num_rows):
+                same, ka, p, kb, q = _square(b, i)
+                for k, x in enumerate(p):
+                    first = k + 1 if same else 0
+                    for j in kb[first:][np.abs(q[first:] - x).sum(1) <= threshold]:
+                        sets.join(int(ka[k]), int(j))
+        low = [(x, sets.find(x)) for x in list(sets.up)]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in low], pa.int64()), pa.array([y for _, y in low], pa.int64())], ["a", "b"])
+
+    table = blocks(df)
+    sets = Sets()
+    for r in squares(table, table, True).mapInArrow(run, "a bigint, b bigint").toLocalIterator():
+        sets.join(r.a, r.b)
+    linked = df.sparkSession.createDataFrame([(x, sets.find(x)) for x in list(sets.up)], "index long, group_index long")
+    return df.select("index").join(linked, "index", "left").select("index", F.coalesce("group_index", "index").alias("group_index"))
+
+
+def squared_pairs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances summed column by column, the same in every pass."""
+    return sum(((p[:, k, None] - q[None, :, k]) ** 2 for k in range(p.shape[1])), np.zeros((len(p), len(q))))
+
+
+def pair_summary(table: DataFrame, value, probs: list[float]) -> dict | None:
+    """pairs, mean, min, max and interpolated quantiles of ``value(p, q)`` (a matrix) over all unordered pairs of recipes in ``table`` (blocks).
+
+    Each pass counts all pairs in the brackets of the wanted ranks and narrows them BINS-fold, to less than 1e-13 of the values' range. None without a pair.
+    """
+    pairs = squares(table, table, True)
+
+    def values(batches):
         for b in batches:
-            at = np.array(b.column(1).to_pylist(), float).reshape(-1, m.shape[1] if len(m) else 0)
-            d = np.array([np.abs(m - x).sum(1) for x in at]) if len(at) else np.zeros((0, len(m)))
-            d = np.round(d, 12)  # equal distances tie towards the least index
-            k = d.argmin(1) if len(at) else np.zeros(0, int)
-            best = d[np.arange(len(at)), k]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys[k]), pa.array(best), pa.array(best < 1e-12)], ["index", "nearest", "l1", "exact"])
-
-    return queries.select("index", "p").mapInArrow(run, "index bigint, nearest bigint, l1 double, exact boolean")
+            for i in range(b.num_rows):
+                same, _, p, _, q = _square(b, i)
+                v = value(p, q)
+                yield v[np.triu_indices(len(p), 1)] if same else v.ravel()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(len(v), float(v.sum()), float(v.min()), float(v.max())) for v in values(batches) if len(v)]
+        yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["n", "s", "low", "high"])
+
+    one = pairs.mapInArrow(first, "n bigint, s double, low double, high double").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+    if not one.n:
+        return None
+    at = [(one.n - 1) * p for p in probs]
+    brackets = {r: (one.low, one.high) for x in at for r in (int(np.floor(x)), int(np.ceil(x)))}
+    fine = max(1e-13 * (one.high - one.low), 1e-15 * max(abs(one.low), abs(one.high)))
+    while any(hi - lo > fine for lo, hi in brackets.values()):
+        spans = sorted(set(brackets.values()))
+        edges = [np.linspace(lo, hi, BINS + 1) for lo, hi in spans]
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(edges), BINS + 1), np.int64)  # noqa: B023  at or below each edge
+            for v in values(batches):
+                v = np.sort(v)
+                for k, e in enumerate(edges):  # noqa: B023
+                    total[k] += np.searchsorted(v, e, "right")
+            k, i = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (k, i, total)], ["k", "i", "n"])
+
+        below = np.zeros((len(spans), BINS + 1), np.int64)
+        for r in pairs.mapInArrow(count, "k bigint, i bigint, n bigint").groupBy("k", "i").agg(F.sum("n").alias("n")).collect():
+            below[r.k, r.i] = r.n
+        for rank, span in brackets.items():
+            k = spans.index(span)
+            i = min(BINS, int(np.searchsorted(below[k], rank, "right")))  # the first edge with more than ``rank`` pairs at or below it
+            brackets[rank] = (float(edges[k][max(0, i - 1)]), float(edges[k][i])) if i else (span[0], span[0])
+    at_rank = {r: hi for r, (_, hi) in brackets.items()}
+    q = [float(at_rank[int(np.floor(x))] + (at_rank[int(np.ceil(x))] - at_rank[int(np.floor(x))]) * (x - np.floor(x))) for x in at]
+    return {"pairs": one.n, "mean": one.s / one.n, "low": one.low, "high": one.high, "q": q}

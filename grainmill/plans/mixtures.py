@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.operators import mixture
-from grainmill.operators.order import average_rank, pearson, quantiles
+from grainmill.operators.order import average_rank, pearson, quantiles, running
 from grainmill.plans.quality import rounded
 from grainmill.sources.shared import cut
 from grainmill.sources.tables import table
@@ -74,10 +74,8 @@ def extrapolation_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group (least index) of each recipe, joined through steps of at most 0.03 in L1."""
-    r = recipes(spark, sf_dir)[0].orderBy("index")
-    index, p = mixture.collect(r, "index", "p")
-    label = mixture.components(np.round(p, 12), 0.03)
-    return spark.createDataFrame([(int(i), int(index[k])) for i, k in zip(index, label)], "index long, group_index long")
+    r = recipes(spark, sf_dir)[0]
+    return mixture.groups(r.select("index", F.transform("p", lambda v: F.round(v, 12)).alias("p")), 0.03)
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,14 +116,10 @@ def replacement_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def combination_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Midpoint against the mean of the ends, for the pairs of neighbours in order of the index, with extremes."""
-    from pyspark.sql import Window
-
     r, names = recipes(spark, sf_dir)
     d = len(names)
-    if r.count() > mixture.MAX_RECIPES:
-        raise ValueError(f"more than {mixture.MAX_RECIPES} recipes")
-    w = Window.orderBy("index")  # the table is bounded; each recipe is paired with the next
-    pairs = r.select("index", "p", F.lead("index").over(w).alias("other"), F.lead("p").over(w).alias("q")).where("other IS NOT NULL")
+    at = cut(running(r.select("index", "p"), [], [F.col("index")], name="_r"))  # each recipe is paired with the next
+    pairs = at.join(at.select((F.col("_r") - 1).alias("_r"), F.col("index").alias("other"), F.col("p").alias("q")), "_r").drop("_r")
     value = lambda c: mixture.linear_prediction(mixture.features(c, d), list(BETA))
     mid = F.zip_with("p", "q", lambda a, b: (a + b) / 2)
     return rounded(pairs.select(F.col("index").alias("index_a"), F.col("other").alias("index_b"), (value(mid) - (value(F.col("p")) + value(F.col("q"))) / 2).alias("h")), 8)
@@ -142,9 +136,8 @@ def quality_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def median_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = mixture.collect(recipes(spark, sf_dir)[0].orderBy("index"), "p")[0]
-    d = mixture.squared(p, p)[np.triu_indices(len(p), 1)]
-    return rounded(spark.createDataFrame([(len(d), float(np.median(d)), float(d.max()))], "pairs long, median double, largest double"))
+    s = mixture.pair_summary(mixture.blocks(recipes(spark, sf_dir)[0].select("index", "p")), mixture.squared_pairs, [0.5])
+    return rounded(spark.createDataFrame([(s["pairs"], s["q"][0], s["high"]) if s else (0, None, None)], "pairs long, median double, largest double"))
 
 
 def grid_cv(spark: SparkSession, sf_dir: str) -> DataFrame:

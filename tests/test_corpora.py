@@ -77,6 +77,27 @@ def test_mixture_models(spark):
     assert g.tolist() == [0, 0, 2, 3] and len(set(mixture.folds(g, 2, 1)[:2])) == 1
 
 
+def test_pairs_beyond_the_dense_limit(spark):
+    rng = np.random.default_rng(7)
+    p = rng.dirichlet(np.ones(3), mixture.MAX_RECIPES + 904)
+    p[::50] = p[0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(p)], "index long, p array<double>")
+    got = {r["index"]: r.nearest for r in mixture.nearest(df.where("index < 20"), df.where("index >= 20")).collect()}
+    want = np.round(np.abs(p[:20, None] - p[None, 20:]).sum(2), 12).argmin(1) + 20
+    assert [got[i] for i in range(20)] == want.tolist()
+    label = {r["index"]: r.group_index for r in mixture.groups(df, 0.01).collect()}
+    assert [label[i] for i in range(len(p))] == mixture.components(p, 0.01).tolist()
+    d = mixture.squared_pairs(p, p)[np.triu_indices(len(p), 1)]
+    s = mixture.pair_summary(mixture.blocks(df), mixture.squared_pairs, [0.001, 0.5, 0.9])
+    assert s["pairs"] == len(d) and np.allclose(s["q"], np.quantile(d, [0.001, 0.5, 0.9]), atol=1e-11) and s["mean"] == pytest.approx(d.mean())
+    assert mixture.pair_summary(mixture.blocks(df.limit(1)), mixture.squared_pairs, [0.5]) is None
+
+
+@pytest.mark.parametrize("name", ["combination_effects", "median_bandwidth", "extrapolation_ratios"])
+def test_pairs_against_sql(spark, name):
+    check(spark, registry.queries()[name], registry.oracle_sql()[name])
+
+
 def test_gram(spark):
     x = np.arange(12.0).reshape(4, 3)
     df = spark.createDataFrame([(r.tolist(), [float(i)]) for i, r in enumerate(x)], "x array<double>, y array<double>").repartition(3)
