@@ -316,3 +316,22 @@ def pair_summary(table: DataFrame, value, probs: list[float]) -> dict | None:
     at_rank = {r: hi for r, (_, hi) in brackets.items()}
     q = [float(at_rank[int(np.floor(x))] + (at_rank[int(np.ceil(x))] - at_rank[int(np.floor(x))]) * (x - np.floor(x))) for x in at]
     return {"pairs": one.n, "mean": one.s / one.n, "low": one.low, "high": one.high, "q": q}
+
+
+def pair_extremes(table: DataFrame, value, count: int) -> DataFrame:
+    """end, index_a < index_b, value: the ``count`` lowest and the ``count`` highest of all unordered pairs, ties by the indices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                same, ka, p, kb, q = _square(b, i)
+                u, v = np.triu_indices(len(p), 1) if same else (x.ravel() for x in np.indices((len(p), len(q))))
+                x = np.round(value(p, q)[u, v], 12) + 0.0
+                one, two = np.minimum(ka[u], kb[v]), np.maximum(ka[u], kb[v])
+                for end, sign in (("lowest", 1), ("highest", -1)):
+                    k = np.lexsort((two, one, sign * x))[:count]
+                    yield pa.RecordBatch.from_arrays([pa.array([end] * len(k), pa.string()), pa.array(one[k]), pa.array(two[k]), pa.array(x[k])], ["end", "index_a", "index_b", "value"])
+
+    found = cut(squares(table, table, True).mapInArrow(run, "end string, index_a bigint, index_b bigint, value double"))
+    low, high = (found.where(F.col("end") == e).orderBy(o, "index_a", "index_b").limit(count) for e, o in (("lowest", F.col("value").asc()), ("highest", F.col("value").desc())))
+    return low.unionByName(high)
