@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.functions.signals import FIELDS, QURATER
-from grainmill.operators import conflict, scoring
+from grainmill.operators import conflict, identity, scoring
 from grainmill.operators.order import ks_distance, pearson, quantiles, spearman, top_fraction, weighted_quantiles
 from grainmill.operators.utility import balanced_weights
 from grainmill.plans import parts
@@ -135,6 +137,14 @@ def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(conflict.pair_table(_strata(spark, sf_dir).where("a1"), Z, "stratum"), 5)
 
 
+def conflict_pairs_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair table of A1, A2, A3 and their union, in the strata of A1's length bounds."""
+    each = identity.masks(F.col("membership"))
+    u = cut(_strata(spark, sf_dir).select("stratum", *Z, F.explode(each).alias("dataset")).where(F.col("dataset").isin(*identity.LABELS, "union")))
+    tables = [conflict.pair_table(u.where(F.col("dataset") == d), Z, "stratum").withColumn("dataset", F.lit(d)) for d in (*identity.LABELS, "union")]
+    return rounded(reduce(DataFrame.unionByName, tables), 5)
+
+
 def bh_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step-up values of a table of p values: per group of permilles, the retention shares as stand-ins for p."""
     from grainmill.operators.order import bh_adjust
@@ -245,4 +255,4 @@ SELECT high_field, low_field, n::BIGINT AS n, count, round(count / n, 5) AS rate
     "correlation_matrix": f"""WITH {parts.UTILITIES}, l3 AS (SELECT row_key, unnest(range(22)) AS k, unnest([{', '.join(repr(f) for f in FIELDS)}]) AS f, unnest([{', '.join(Z)}]) AS v FROM z WHERE a1)
 SELECT a.f AS field_a, b.f AS field_b, round(CASE WHEN stddev_pop(a.v) > 1e-9 AND stddev_pop(b.v) > 1e-9 THEN covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) ELSE 0 END, 5) AS r FROM l3 a JOIN l3 b ON a.row_key = b.row_key AND a.k < b.k GROUP BY 1, 2""",
 }
-QUERIES = {f.__name__: f for f in (spearman_by_domain, top_fraction_overlap, ks_by_domain, score_quantiles, rank_map, scheme_comparison, extension_stability, group_redundancy, baseline_comparison, length_strata, conflict_pairs, bh_values, permutation_pairs, correlation_matrix, factor_analysis, critic_bootstrap)}
+QUERIES = {f.__name__: f for f in (spearman_by_domain, top_fraction_overlap, ks_by_domain, score_quantiles, rank_map, scheme_comparison, extension_stability, group_redundancy, baseline_comparison, length_strata, conflict_pairs, conflict_pairs_datasets, bh_values, permutation_pairs, correlation_matrix, factor_analysis, critic_bootstrap)}

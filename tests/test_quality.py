@@ -88,6 +88,22 @@ def test_against_sql(spark, name):
     check(spark, registry.queries()[name], registry.oracle_sql()[name])
 
 
+def test_conflicts_of_every_dataset(spark):
+    from grainmill.plans import experiments
+
+    u = experiments._strata(spark, SF).select("membership", "stratum", *experiments.Z).toPandas()
+    got = experiments.conflict_pairs_datasets(spark, SF).toPandas()
+    assert set(got.dataset) == {"A1", "A2", "A3", "union"}
+    for d, t in got.groupby("dataset"):
+        part = u if d == "union" else u[[d in m.split(";") for m in u.membership]]
+        z = part[experiments.Z].to_numpy(float)
+        h, low = (z > 0.75).astype(float), (z < 0.25).astype(float)
+        want = sum(np.outer(h[g].sum(0), low[g].sum(0)) / len(g) for g in ((part.stratum == s).to_numpy().nonzero()[0] for s in part.stratum.unique()))
+        at = [(FIELDS.index(a), FIELDS.index(b)) for a, b in zip(t.high_field, t.low_field)]
+        assert len(t) == 22 * 21 and set(t.n) == {len(part)}
+        assert [int((h.T @ low)[k]) for k in at] == t["count"].tolist() and np.allclose([want[k] for k in at], t.expected, atol=1e-4)
+
+
 def test_every_sql_has_its_query():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and registry.FLAGSHIP in registry.queries()
     assert parts.UTILITIES and SF
