@@ -1,25 +1,29 @@
 """Problem 8: mix sources to target token shares by entropy balancing.
 
-For each (recipe, source): of all document rates w with 0 <= w <= max_repeats whose tokens sum to the target T and whose
-number keeps the source's mean length (sum of w = T / mean tokens), take those closest in relative entropy to using each document
-once. Both sums are met by the constant rate w = T / tokens, an exponential tilt exp(a + b * t / mean) with b = 0 below the cap; so it
-meets the optimality conditions and, relative entropy being strictly convex, is the one solution. It needs the tokens of each source
-alone: one aggregation over the table (source, tokens, documents).
+For each (recipe, source): of all document rates w with 0 <= w <= max_repeats whose tokens sum to the target T, take those closest in
+relative entropy to using each document once. They are exponential tilts w = min(max_repeats, exp(lambda * t / mean)), t the document's
+tokens and mean the source's average; lambda solves the one equation of the convex dual, sum(w * t) = T. So a target below what the
+source holds is met by fewer long documents rather than by dropping documents at random, one above it by repeating the longer ones.
+
+Newton iterations solve the dual of all lines at once: each is one aggregation over the table (source, tokens, documents) that gives
+gradient and curvature at the lines' multipliers. Every line keeps a bracket of its multiplier; a step that leaves it, or a curvature that
+the cap has flattened, is replaced by the bracket's middle, so the iterations always end. A line that isn't solved after ``MAX_STEPS`` is an error.
 
 If T passes what the source has at max_repeats, every document is used max_repeats times and the shortfall is reported.
 
-Rates become whole copies by floor(w + u - 1/2 + shift), u the document's hash: in expectation w, equal sizes not favoured. One
-``shift`` per (recipe, source) is bisected on the documents' exact tokens, so the reached total meets the target to about one
-document. Everything hangs on document and parameters only; reruns give the same copies.
+Rates become whole copies by floor(w + u - 1/2 + shift), u the document's hash: in expectation w. One ``shift`` per (recipe, source) is
+bisected on the documents' exact tokens, so the reached total meets the target to about one document. Everything hangs on document and
+parameters only; reruns give the same copies.
 
 Bounds: the driver and broadcasts hold one row per line of the recipe table (``MAX_LINES``); documents stay on the executors.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import cut, read
@@ -29,11 +33,13 @@ MAX_LINES = 100_000
 SALT = "grainmill-mix-1"
 PROBES = 16  #: shifts tried in one pass of the rounding
 ROUNDING_PASSES = 5
+MAX_STEPS = 200  #: Newton steps of a line, most take under ten
+TOLERANCE = 1e-10  #: relative, of a line's tokens
 
 
 @dataclass
 class Line:
-    """One source of one recipe: its target, cap and the rate of its documents."""
+    """One source of one recipe: its target, cap and the multiplier of its documents' tilt."""
 
     number: int
     recipe: str
@@ -42,7 +48,35 @@ class Line:
     target: float
     cap: float
     tokens: int = 0
-    rate: float = 0.0
+    mean: float = 1.0
+    multiplier: float = 0.0
+    low: float = -math.inf
+    high: float = math.inf
+    solved: bool = True  # also where nothing is to be selected, or all is at the cap
+
+    @property
+    def exhausted(self) -> bool:
+        return self.target >= self.cap * self.tokens
+
+    def step(self, gradient: float, curvature: float) -> None:
+        """One Newton step on log(tokens at the rates) = log(target), kept within the bracket."""
+        if abs(gradient / self.target - 1) <= TOLERANCE:
+            self.solved = True
+            return
+        if gradient < self.target:
+            self.low = self.multiplier
+        else:
+            self.high = self.multiplier
+        new = self.multiplier + gradient / curvature * math.log(self.target / gradient) if curvature > 0 and gradient > 0 else math.nan
+        if not self.low < new < self.high:  # also where it isn't a number
+            if math.isinf(self.low) or math.isinf(self.high):
+                end = self.high if math.isinf(self.low) else self.low
+                new = end + math.copysign(max(1.0, abs(end)), 1 if math.isinf(self.high) else -1)
+            else:
+                new = (self.low + self.high) / 2
+        # neighbouring numbers: no multiplier comes closer
+        self.solved = new in (self.low, self.high)
+        self.multiplier = new
 
 
 def balance(sizes: DataFrame, recipes: DataFrame) -> tuple[list[Line], int]:
@@ -59,12 +93,29 @@ def balance(sizes: DataFrame, recipes: DataFrame) -> tuple[list[Line], int]:
     lines = [Line(i, r.recipe, r.source, r.share or 0.0, max(0.0, (r.share or 0.0) * (r.ratio or 0.0)) * total, float(max(0, r.cap or 0))) for i, r in enumerate(rows)]
     spark = sizes.sparkSession
     names = spark.createDataFrame([(x,) for x in sorted({x.source for x in lines if x.source is not None})], "source string")
-    have = {r.source: r.t for r in sizes.join(F.broadcast(names), "source").where("t > 0").groupBy("source").agg(F.sum(F.col("t") * F.col("n")).alias("t")).collect()}
+    own = sizes.join(F.broadcast(names), "source").where("t > 0")
+    have = {r.source: r for r in own.groupBy("source").agg(F.sum(F.col("t") * F.col("n")).alias("t"), F.sum("n").alias("n")).collect()}
     for x in lines:
-        x.tokens = have.get(x.source, 0)
-        if x.tokens:
-            x.rate = min(x.cap, x.target / x.tokens)  # the cap: every document at it, the shortfall is reported
-    return lines, total
+        if x.source in have:
+            x.tokens, x.mean = have[x.source].t, have[x.source].t / have[x.source].n
+        x.solved = not (x.tokens and x.target > 0 and not x.exhausted)
+    for _ in range(MAX_STEPS):
+        open_ = [x for x in lines if not x.solved]
+        if not open_:
+            return lines, total
+        probe = spark.createDataFrame([(x.number, x.source, x.multiplier / x.mean, x.cap) for x in open_], "line int, source string, m double, cap double")
+        rate = tilt(F.col("m"), F.col("cap"), F.col("t"))
+        tokens = F.col("n") * F.col("t")
+        free = F.when(F.col("m") * F.col("t") < F.log("cap"), tokens * F.col("t") * rate).otherwise(0.0)
+        got = own.join(F.broadcast(probe), "source").groupBy("line").agg(F.sum(tokens * rate).alias("g"), F.sum(free).alias("h")).collect()
+        for r in got:
+            lines[r.line].step(r.g, r.h / lines[r.line].mean)
+    raise RuntimeError(f"entropy balancing did not converge for {[(x.recipe, x.source) for x in lines if not x.solved][:5]}")
+
+
+def tilt(m: Column, cap: Column, t: Column) -> Column:
+    """min(cap, exp(m * t)), without overflow."""
+    return F.exp(F.least(m * t, F.log(cap)))
 
 
 def select(documents: DataFrame, key: str, lines: list[Line]) -> tuple[DataFrame, DataFrame]:
@@ -74,12 +125,14 @@ def select(documents: DataFrame, key: str, lines: list[Line]) -> tuple[DataFrame
     """
     spark = documents.sparkSession
     frame = spark.createDataFrame(
-        [(x.number, x.recipe, x.source, x.share, x.target, x.rate, x.cap, x.tokens) for x in lines if x.source is not None],
-        "line int, recipe string, source string, share double, target double, w double, cap double, tokens long",
+        [(x.number, x.recipe, x.source, x.share, x.target, x.multiplier / x.mean, x.cap, x.tokens, x.exhausted) for x in lines if x.source is not None],
+        "line int, recipe string, source string, share double, target double, m double, cap double, tokens long, exhausted boolean",
     )
     unit = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(SALT), F.col(key).cast("string")), 256), 1, 12), 16, 10).cast("double") / float(16**12)
-    rated = documents.where("t > 0").join(F.broadcast(frame.where("w > 0")), "source")
-    rated = rated.withColumn("u", unit)
+    wanted = frame.where("target > 0 AND cap > 0 AND tokens > 0").select("line", "recipe", "source", "cap", "m", "exhausted")
+    rate = F.when(F.col("exhausted"), F.col("cap")).otherwise(tilt(F.col("m"), F.col("cap"), F.col("t")))
+    # written once: the passes below read rates and hashes, they don't make them anew
+    rated = cut(documents.where("t > 0").join(F.broadcast(wanted), "source").select("line", "recipe", key, "source", "t", "cap", rate.alias("w"), unit.alias("u")))
     shifts = {x.number: (-0.5, 0.5) for x in lines}
     copies = lambda s: F.greatest(F.lit(0.0), F.least(F.col("cap"), F.floor(F.col("w") + F.col("u") + s))).cast("long")
     goals = {x.number: min(x.target, x.cap * x.tokens) for x in lines}

@@ -166,6 +166,22 @@ def test_mix_near_the_cap(spark):
     assert not off
 
 
+def test_tilt_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    t = np.maximum(1, rng.lognormal(5, 1, 400).astype(int))
+    docs = spark.createDataFrame([(i, "a", int(x)) for i, x in enumerate(t)], "doc_id long, source string, t long")
+    rec = spark.createDataFrame([(str(p), p, "a", 1.0, 3) for p in (0.1, 0.7, 1.0, 1.9, 2.8)], "recipe string, budget_ratio double, source string, target_share double, max_repeats int")
+    lines, total = mixing.balance(docs.groupBy("source", "t").agg(F.count("*").alias("n")), rec)
+    assert total == t.sum()
+    for x in lines:
+        rate = lambda m: np.exp(np.minimum(m * t / t.mean(), np.log(3)))
+        lo, hi = -50.0, 50.0
+        for _ in range(100):
+            lo, hi = ((lo + hi) / 2, hi) if (rate((lo + hi) / 2) * t).sum() < x.target else (lo, (lo + hi) / 2)
+        assert abs(x.multiplier - hi) < 1e-6 and abs((rate(x.multiplier) * t).sum() / x.target - 1) < 1e-9
+    assert lines[0].multiplier < 0 < lines[-1].multiplier  # short documents first below what is there, long ones beyond
+
+
 @pytest.mark.parametrize("name", ["p2_percentiles", "p3_ranking", "p4_found", "p4_cutoffs", "p6_sample", "p6_growth"])
 def test_against_sql(spark, name):
     check(spark, registry.queries()[name], registry.oracle_sql()[name])
