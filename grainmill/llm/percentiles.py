@@ -5,14 +5,13 @@ of every interval (``WAYS`` - 1 of them at once, so one pass narrows as much as
 holds the rank, and shrinks it to the least and greatest value seen in it. It ends when every interval is a single value:
 the result is exact, error bound 0; with fewer passes the interval's width is the stated bound.
 
-What adds up: the input is first summed to (group, value, rows). Such tables of different files or days combine by union;
-the counts of the days are the counts of the whole, so ``percentiles`` of combined tables are those of all rows. Here the
-table of each file and day counts towards that file's day, its sums over the files towards the day, and the sums of
-the days towards the domain over all days.
-
-Scale: rows meet the state by a join on the group that shuffles neither a hot group whole nor the raw rows: counts are
-combined map-side, and only rows inside an unresolved interval go on. The state is one row per group and percentile and
-stays a table; the driver sees one number per pass.
+What adds up: all that a pass takes from the rows are counts, sums over any split of the rows. So files, days or partitions combine
+by adding their counts, and the percentiles of (group, value, rows) tables that were merged are those of all rows together.
+
+Scale: no rows are shuffled. They meet the intervals by a broadcast join, are counted in the scan's own stage, and at most
+WAYS counts per interval and task go on. What is broadcast is bounded: where there are more than ``MAX_SPANS`` intervals, only those of
+groups with at least a ``HEAVY``-th of all rows are, at most HEAVY groups by definition; the rows of the other groups, each of them
+small, are joined by shuffle. Once few rows are left inside open intervals, they alone are written and read on.
 """
 
 from __future__ import annotations
@@ -25,6 +24,9 @@ from grainmill.llm.common import PATH_DOMAIN, clean_domain, cut, finite, path_do
 PERMILLES = (50, 250, 500, 750, 950, 990)
 WAYS = 32
 MAX_PASSES = 400
+MAX_SPANS = 100_000  #: intervals that are broadcast, some 10 MB
+HEAVY = 1000
+SHRINK = 4  #: rows are written anew when no more than one in so many is still inside an interval
 
 
 def value_counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -48,29 +50,63 @@ def percentiles(counts: DataFrame, groups: list[str], permilles: tuple[int, ...]
         raise ValueError("permilles must be between 0 and 1000")
     if clash := {"v", "n", "permille", "value", "error_bound"} & {c.lower() for c in groups}:
         raise ValueError(f"groups clash with columns of the result: {sorted(clash)}")
-    packed = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}) if groups else F.lit("")  # an exact key that NULLs can join on
-    rows = cut(counts.select(packed.alias("_g"), "v", "n"))
-    names = counts.select(packed.alias("_g"), *groups).distinct() if groups else None
-    state = rows.groupBy("_g").agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    state = state.select("_g", "total", "lo", "hi", F.explode(F.array(*map(F.lit, permilles))).alias("p"))
-    state = cut(state.withColumn("rank", F.expr("greatest(1L, (p * total + 999) div 1000)")))
+    keys = [f"_k{i}" for i in range(len(groups))]
+    rows, on = counts.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], "v", "n"), keys
+    names = cut(rows.groupBy(*keys).agg(F.sum("n").alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("total > 0").withColumn("_g", F.monotonically_increasing_id()))
+    state = names.select("_g", "lo", "hi", F.explode(F.array(*map(F.lit, permilles))).alias("p"), F.col("total").alias("inside"), "total")
+    state = cut(state.withColumn("rank", F.expr("greatest(1L, (p * total + 999) div 1000)")).drop("total"))
+    everything = held = names.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     for _ in range(max_passes):
-        open_ = state.where("lo < hi")
-        if open_.isEmpty():
+        spans = state.where("lo < hi").groupBy("_g", "lo", "hi").agg(F.first("inside").alias("inside"))
+        left = spans.agg(F.count("*").alias("n"), F.coalesce(F.sum("inside"), F.lit(0)).alias("rows")).first()
+        if not left.n:
             break
-        wanted = open_.select("_g", "p", "lo", "hi", "rank")
-        part = _part(F.col("v"), F.col("lo"), F.col("hi")).alias("part")
-        inside = rows.join(wanted, "_g").where("v >= lo AND v <= hi")
-        tally = inside.groupBy("_g", "p", "rank", part).agg(F.sum("n").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        spans = spans.drop("inside").join(names.select("_g", "total", *keys), "_g")
+        if left.rows * SHRINK <= held:
+            rows, on, held = cut(_inside(rows, on, spans, left.n, everything).select("_g", "v", "n")), ["_g"], left.rows
+        tally = _inside(rows, on, spans, left.n, everything).groupBy("_g", "lo", "hi", _part(F.col("v"), F.col("lo"), F.col("hi")).alias("part")).agg(F.sum("n").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
         # the parts of one interval are at most WAYS rows
-        parts = F.sort_array(F.collect_list(F.struct("part", "c", "a", "b"))).alias("parts")
-        step = tally.groupBy("_g", "p", "rank").agg(parts)
-        start = F.struct(F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("rank"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
-        pick = F.aggregate("parts", start, lambda s, x: F.when(s["rank"].isNull() & (s["below"] + x["c"] >= F.col("rank")), F.struct(s["below"].alias("below"), (F.col("rank") - s["below"]).alias("rank"), x["a"].alias("lo"), x["b"].alias("hi"))).otherwise(F.struct((s["below"] + F.when(s["rank"].isNull(), x["c"]).otherwise(F.lit(0))).alias("below"), s["rank"].alias("rank"), s["lo"].alias("lo"), s["hi"].alias("hi"))))
-        next_ = step.select("_g", "p", pick.alias("s")).select("_g", "p", F.col("s.rank").alias("r2"), F.col("s.lo").alias("lo2"), F.col("s.hi").alias("hi2"))
-        state = cut(state.join(next_, ["_g", "p"], "left").select("_g", "total", F.coalesce("lo2", "lo").alias("lo"), F.coalesce("hi2", "hi").alias("hi"), "p", F.coalesce("r2", "rank").alias("rank")))
-    out = state.select("_g", F.col("p").alias("permille"), F.col("total").alias("n"), F.col("lo").alias("value"), (F.col("hi") - F.col("lo")).alias("error_bound"))
-    return (out.join(names, "_g") if names is not None else out).select(*groups, "permille", "n", "value", "error_bound")
+        parts = tally.groupBy("_g", "lo", "hi").agg(F.sort_array(F.collect_list(F.struct("part", "c", "a", "b"))).alias("parts"))
+        state = cut(state.join(parts, ["_g", "lo", "hi"], "left").select("_g", "p", F.when(F.col("parts").isNull(), F.struct("lo", "hi", "inside", "rank")).otherwise(_pick()).alias("s")).select("_g", "p", "s.*"))
+    out = state.join(names.select("_g", "total", *keys), "_g")
+    return out.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], F.col("p").alias("permille"), F.col("total").alias("n"), F.col("lo").alias("value"), (F.col("hi") - F.col("lo")).alias("error_bound"))
+
+
+def _inside(rows: DataFrame, on: list[str], spans: DataFrame, count: int, everything: int) -> DataFrame:
+    """Rows within the open intervals of their group: _g, lo, hi, v, n. Intervals of one group don't overlap, so a row is there at most once."""
+    right = spans.select("_g", "lo", "hi", "total", *[F.col(k).alias(f"{k}_") for k in on])
+
+    def join(left: DataFrame, part: DataFrame) -> DataFrame:
+        match = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
+        for k in on:
+            match = match & F.col(k).eqNullSafe(F.col(f"{k}_"))
+        left = left.drop("_g") if on != ["_g"] else left.withColumnRenamed("_g", "_r")
+        match = match if on != ["_g"] else (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")) & (F.col("_r") == F.col("_g"))
+        return left.join(part, match).select("_g", "lo", "hi", "v", "n")
+
+    if count <= MAX_SPANS:
+        return join(rows, F.broadcast(right))
+    is_heavy = F.col("total") * HEAVY >= everything  # at most HEAVY groups
+    heavy = F.broadcast(right.where(is_heavy))
+    known = heavy.select(*[f"{k}_" for k in on]).distinct()
+    match = F.lit(True)
+    for k in on:
+        match = match & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    light = rows.join(F.broadcast(known), match, "left_anti")
+    return join(rows, heavy).unionByName(join(light, right.where(~is_heavy)))
+
+
+def _pick() -> Column:
+    """lo, hi, inside and rank of the part that holds the rank, from the counted parts in order."""
+    none = lambda t: F.lit(None).cast(t)
+    start = F.struct(F.lit(0).cast("long").alias("below"), none("double").alias("lo"), none("double").alias("hi"), none("long").alias("inside"), none("long").alias("rank"))
+
+    def step(s: Column, x: Column) -> Column:
+        here = s["rank"].isNull() & (s["below"] + x["c"] >= F.col("rank"))
+        found = F.struct(s["below"].alias("below"), x["a"].alias("lo"), x["b"].alias("hi"), x["c"].alias("inside"), (F.col("rank") - s["below"]).alias("rank"))
+        return F.when(here, found).otherwise(F.struct((s["below"] + x["c"]).alias("below"), s["lo"].alias("lo"), s["hi"].alias("hi"), s["inside"].alias("inside"), s["rank"].alias("rank")))
+
+    return F.aggregate("parts", start, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"), s["inside"].alias("inside"), s["rank"].alias("rank")))
 
 
 def _part(v: Column, lo: Column, hi: Column) -> Column:
@@ -84,30 +120,27 @@ def _part(v: Column, lo: Column, hi: Column) -> Column:
     return F.when(v >= hi, F.lit(WAYS - 1)).otherwise(F.least(F.floor(at * (WAYS - 1)), F.lit(WAYS - 2))).cast("int")
 
 
-def file_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Value counts of the valid word counts (finite, not negative) by q1's domain, file and day of crawling, every delivery counting.
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid word counts (finite, not negative) with q1's domain, file and day of crawling, every delivery counting: domain, file, day, v, n.
 
     A NULL domain is taken from the path; rows with neither stay, under the NULL domain.
     """
     q1 = read(spark, sf_dir, "q1", "_source_domain", "_source_path", "crawled_at", "rps_doc_word_count")
     domain = F.coalesce(clean_domain(F.col("_source_domain")), path_domain(F.col("_source_path")))
-    rows = q1.select(domain.alias("domain"), F.col("_source_path").alias("file"), F.to_date("crawled_at").alias("day"), F.col("rps_doc_word_count").alias("w")).where("w >= 0")
-    return value_counts(rows, ["domain", "file", "day"], "w")
+    rows = q1.select(domain.alias("domain"), F.col("_source_path").alias("file"), F.to_date("crawled_at").alias("day"), finite(F.col("rps_doc_word_count")).alias("v"))
+    return rows.where("v >= 0").withColumn("n", F.lit(1).cast("long"))
 
 
-def levels(files: DataFrame) -> DataFrame:
-    """The counts of files' days, days and domains together, each level summed from the finer one. A level's own columns tell what it is of."""
-    files = cut(files)
-    days = cut(files.groupBy("domain", "day", "v").agg(F.sum("n").alias("n")))
-    whole = days.groupBy("domain", "v").agg(F.sum("n").alias("n"))
+def levels(rows: DataFrame) -> DataFrame:
+    """Each row in its file, in its day and in its domain as a whole; a level's own columns tell what it is of. No shuffle."""
     no_file, no_day = F.lit(None).cast("string").alias("file"), F.lit(None).cast("date").alias("day")
-    out = files.select(F.lit("file").alias("level"), "domain", "file", "day", "v", "n")
-    out = out.unionByName(days.select(F.lit("day").alias("level"), "domain", no_file, "day", "v", "n"))
-    return out.unionByName(whole.select(F.lit("all").alias("level"), "domain", no_file, no_day, "v", "n"))
+    of = [F.struct(F.lit(name).alias("level"), "domain", f, d) for name, f, d in (("file", F.col("file"), no_day), ("day", no_file, F.col("day")), ("all", no_file, no_day))]
+    return rows.select(F.explode(F.array(*of)).alias("g"), "v", "n").select("g.*", "v", "n")
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = percentiles(levels(file_days(spark, sf_dir)), ["level", "domain", "file", "day"])
+    """Per domain, domain and day, domain and file."""
+    out = percentiles(levels(cut(word_counts(spark, sf_dir))), ["level", "domain", "file", "day"])
     return out.select("level", "domain", "file", F.date_format("day", "yyyy-MM-dd").alias("day"), "permille", "n", "value", "error_bound")
 
 
@@ -116,7 +149,7 @@ ORACLE = {
 WITH v AS (SELECT coalesce(nullif(lower(trim(_source_domain)), ''), nullif(lower(regexp_extract(_source_path, '{PATH_DOMAIN}', 1)), '')) AS domain,
                   _source_path AS file, CAST(crawled_at AS DATE) AS day, rps_doc_word_count AS w
            FROM q1 WHERE rps_doc_word_count >= 0 AND NOT isnan(rps_doc_word_count) AND NOT isinf(rps_doc_word_count)),
-l AS (SELECT 'file' AS level, domain, file, day, w FROM v UNION ALL SELECT 'day', domain, NULL, day, w FROM v UNION ALL SELECT 'all', domain, NULL, NULL, w FROM v),
+l AS (SELECT 'file' AS level, domain, file, NULL AS day, w FROM v UNION ALL SELECT 'day', domain, NULL, day, w FROM v UNION ALL SELECT 'all', domain, NULL, NULL, w FROM v),
 r AS (SELECT level, domain, file, day, w, row_number() OVER (PARTITION BY level, domain, file, day ORDER BY w) AS k,
              count(*) OVER (PARTITION BY level, domain, file, day) AS n FROM l)
 SELECT r.level, r.domain, r.file, strftime(r.day, '%Y-%m-%d') AS day, p.permille, r.n, r.w AS value, 0::DOUBLE AS error_bound

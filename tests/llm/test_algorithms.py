@@ -24,6 +24,20 @@ def test_percentiles_by_brute_force(spark):
             assert got[g, p].value == x[max(1, -(-p * len(x) // 1000)) - 1] and got[g, p].error_bound == 0 and got[g, p].n == len(x)
 
 
+def test_percentiles_of_a_hot_group(spark, monkeypatch):
+    """Half of all rows in one group, most of them one value; more intervals than may be broadcast."""
+    monkeypatch.setattr(percentiles, "MAX_SPANS", 3)
+    monkeypatch.setattr(percentiles, "HEAVY", 3)
+    rng = random.Random(7)
+    rows = [("hot", 5.0 if i % 2 else rng.random() * 1e6) for i in range(2000)] + [(f"g{i % 40}" if i % 50 else None, rng.gauss(0, 100)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r.g, r.permille): r.value for r in percentiles.percentiles(percentiles.value_counts(df, ["g"], "v"), ["g"]).collect()}
+    for g in {g for g, _ in rows}:
+        x = sorted(v for k, v in rows if k == g)
+        for p in percentiles.PERMILLES:
+            assert got[g, p] == x[max(1, -(-p * len(x) // 1000)) - 1]
+
+
 def test_percentiles_merge_and_bounds(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(100)], "g string, v double")
     parts = [percentiles.value_counts(df.where(f"v % 2 = {i}"), ["g"], "v") for i in (0, 1)]
