@@ -5,10 +5,10 @@ rank in each score, as a share of the items that have that score, (rank - 1/2) /
 their shares, then by the mean share, then by identifier.
 
 Ranks over all rows without a window in one task: all (score, value, item) rows are range-partitioned in one shuffle, sorted
-within the partitions, and numbered there; the partitions' row counts and the values at their borders (two per partition and
-score, so bounded by the number of partitions) are all that is put together to turn local numbers into ranks, also for values
-that tie across partitions. The item breaks ties in the sort key, so a value that a third of all items share is split over
-partitions like any other.
+within the partitions, and numbered there batch by batch, of which a task holds no more than the rows of one value; the partitions' row counts
+and the values at their borders (two per partition and score, so bounded by the number of partitions) are all that is put together to turn
+local numbers into ranks, also for values that tie across partitions. The item breaks ties in the sort key, so a value that a third of all
+items share is split over partitions like any other; the partitions grow in number with the rows (``PART_ROWS``).
 """
 
 from __future__ import annotations
@@ -16,25 +16,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import cut, finite, read
 
+PART_ROWS = 1_000_000  #: rows of a range partition at most, about
 WEIGHTS = {"qurater_writing_style": 1.0, "dsir_books": 1.0, "q_primary": 1.0}
 
 
-def rank_shares(long: DataFrame) -> DataFrame:
+def _parts(spark: SparkSession, rows: int) -> int:
+    """Range partitions for so many rows: those of the session, more where they would get too large."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+
+def rank_shares(long: DataFrame, rows: int = 0) -> DataFrame:
     """(item, score, share) from rows (item, score int, value double), 0 for the largest value to 1; ties share their mean rank.
 
-    NULL and NaN values take no part. Repeated (item, score) rows each count.
+    NULL and NaN values take no part. Repeated (item, score) rows each count. ``rows``: how many there are about, which sets the partitions.
     """
-    rows = long.where("value IS NOT NULL AND NOT isnan(value)").select("score", (-F.col("value")).alias("v"), "item")
-    parts = max(2, int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = rows.repartitionByRange(parts, "score", "v", "item").sortWithinPartitions("score", "v", "item")
-    local = cut(placed.mapInPandas(_number, "part int, score int, v double, item string, first long, ties long, rows long, edge boolean"))
-    sizes = local.groupBy("part", "score").agg(F.max("rows").alias("rows"))
+    valid = long.where("value IS NOT NULL AND NOT isnan(value)").select("score", (-F.col("value")).alias("v"), "item")
+    placed = valid.repartitionByRange(_parts(long.sparkSession, rows), "score", "v", "item").sortWithinPartitions("score", "v", "item")
+    local = cut(placed.mapInArrow(_number, "part int, score int, v double, item string, first long, ties long, edge boolean"))
+    sizes = local.groupBy("part", "score").agg(F.count("*").alias("rows"))
     earlier = Window.partitionBy("score").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     before = sizes.select("score", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
     totals = sizes.groupBy("score").agg(F.sum("rows").alias("n"))
@@ -46,23 +51,58 @@ def rank_shares(long: DataFrame) -> DataFrame:
     return out.select("item", "score", ((rank + 0.5) / F.col("n")).alias("share"))
 
 
-def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Numbers the sorted rows of one range partition per score: ``first`` row of the tie group from 0, and its size."""
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the sorted rows of one range partition per score: ``first`` row of the tie group from 0, its size, and whether it is at a border.
+
+    All groups of a batch but the last are complete, so they go out at once; only the rows of the last one wait for the next batch.
+    """
     from pyspark import TaskContext
 
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    all_ = pd.concat(frames, ignore_index=True)
-    for score, part in all_.groupby("score", sort=False):
-        v = part["v"].to_numpy() + 0.0  # -0.0 ties with 0.0
-        starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-        sizes = np.diff(np.r_[starts, len(v)])
-        group = np.repeat(np.arange(len(starts)), sizes)
-        yield pd.DataFrame({
-            "part": np.int32(TaskContext.get().partitionId()), "score": np.int32(score), "v": v, "item": part["item"],
-            "first": starts[group], "ties": sizes[group], "rows": len(v), "edge": (group == 0) | (group == len(starts) - 1),
-        })
+    part = TaskContext.get().partitionId()
+
+    def emit(b: pa.RecordBatch, first, ties, edge) -> pa.RecordBatch:
+        n = b.num_rows
+        v = b.column(1).to_numpy() + 0.0  # -0.0 ties with 0.0
+        full = lambda x, t: pa.array(np.broadcast_to(np.asarray(x, t), n))
+        return pa.RecordBatch.from_arrays([full(part, np.int32), b.column(0), pa.array(v), b.column(2), full(first, np.int64), full(ties, np.int64), full(edge, bool)], ["part", "score", "v", "item", "first", "ties", "edge"])
+
+    held: list[pa.RecordBatch] = []  # the rows of the value that may go on
+    key, start, lowest = None, 0, True  # its (score, v), its first row, and whether it is the first value of its score
+
+    def release(border: bool) -> Iterator[pa.RecordBatch]:
+        ties = sum(h.num_rows for h in held)
+        for h in held:
+            yield emit(h, start, ties, lowest or border)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        score, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+        starts = np.flatnonzero(np.r_[True, (score[1:] != score[:-1]) | (v[1:] != v[:-1])])
+        if key == (score[0], v[0]):
+            if len(starts) == 1:
+                held.append(b)
+                continue
+            held.append(b.slice(0, starts[1]))
+            b, score, v, starts = b.slice(starts[1]), score[starts[1] :], v[starts[1] :], starts[1:] - starts[1]
+        if held:
+            yield from release(key[0] != score[0])
+            start = start + sum(h.num_rows for h in held) if key[0] == score[0] else 0
+            lowest = key[0] != score[0]
+        # row numbers within the score: those of the first score go on from before, others start at 0
+        of = np.flatnonzero(np.r_[True, score[starts[1:]] != score[starts[:-1]]])  # the first group of each score
+        base = np.repeat(np.where(of == 0, -start, starts[of]), np.diff(np.r_[of, len(starts)]))
+        firsts, low = starts - base, np.zeros(len(starts), bool)
+        low[of] = True
+        low[0] = lowest
+        last = len(starts) - 1
+        if last:
+            sizes = np.diff(starts)
+            edge = low[:last] | (score[starts[:last]] != score[starts[1:]])
+            yield emit(b.slice(0, starts[last]), np.repeat(firsts[:last], sizes), np.repeat(sizes, sizes), np.repeat(edge, sizes))
+        held, key, start, lowest = [b.slice(starts[last])], (score[starts[last]], v[starts[last]]), int(firsts[last]), bool(low[last])
+    if held:
+        yield from release(True)
 
 
 def aggregate_ranks(shares: DataFrame, weights: list[float]) -> DataFrame:
@@ -89,12 +129,11 @@ def aggregate_ranks(shares: DataFrame, weights: list[float]) -> DataFrame:
     return m.select("item", "n_scores", F.round((F.col("m.lo") + F.col("m.hi")) / 2, 12).alias("median_share"), F.round("mean", 12).alias("mean_share"))
 
 
-def place(df: DataFrame, *order: str) -> DataFrame:
+def place(df: DataFrame, *order: str, rows: int = 0) -> DataFrame:
     """Adds ``place`` 1..n by ascending ``order`` (NULLs last), which must end in a unique key: range partitions, no global window."""
     spark = df.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(c).asc_nulls_last() for c in order]
-    ordered = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    ordered = df.repartitionByRange(_parts(spark, rows), *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
     ordered = cut(ordered)
     sizes = ordered.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("rows"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
@@ -114,10 +153,11 @@ def rank_items(wide: DataFrame, key: str, weights: dict[str, float]) -> DataFram
     pairs = F.array(*[F.struct(F.lit(i).alias("score"), finite(F.col(c)).alias("value")) for i, c in enumerate(names)])
     items = wide.where(F.col(key).isNotNull())
     # the items without a score keep a row with a NULL value, so one pass over the ranks yields every item
+    n = items.count()
     long = items.select(F.col(key).alias("item"), F.explode(pairs).alias("x")).select("item", "x.score", "x.value")
-    ranked = aggregate_ranks(rank_shares(long), [weights[c] for c in names])
+    ranked = aggregate_ranks(rank_shares(long, n * len(names)), [weights[c] for c in names])
     empty = items.where(F.coalesce(*[finite(F.col(c)) for c in names]).isNull()).select(F.col(key).alias("item"), F.lit(0).cast("bigint").alias("n_scores"), F.lit(None).cast("double").alias("median_share"), F.lit(None).cast("double").alias("mean_share"))
-    out = place(ranked.unionByName(empty), "median_share", "mean_share", "item")
+    out = place(ranked.unionByName(empty), "median_share", "mean_share", "item", rows=n)
     return out.select(F.col("item").alias(key), "place", "n_scores", "median_share", "mean_share")
 
 

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,21 @@ def test_encode_column(spark):
     assert {r.doc_id: r.text for r in back.collect()} == {1: "", 2: "", 3: "a b"}
 
 
+def test_ranks_of_long_ties(spark):
+    """A value of a third of all rows and runs that go over many batches and partitions."""
+    rng = random.Random(8)
+    rows = [(f"i{i}", s, (0.5 if rng.random() < 0.4 else round(rng.random(), 2)) if s else -0.0 if i % 2 else 0.0) for i in range(3000) for s in (0, 1, 2)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r["item"], r.score): r.share for r in ranking.rank_shares(spark.createDataFrame(rows, "item string, score int, value double")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    for s in (0, 1, 2):
+        mine = pd.Series({k: -v for k, t, v in rows if t == s})
+        want = (mine.rank() - 0.5) / len(mine)
+        assert all(abs(got[k, s] - w) < 1e-12 for k, w in want.items())
+
+
 # 8 mixing
 def test_mix(spark):
     rng = random.Random(4)
