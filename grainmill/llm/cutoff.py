@@ -3,7 +3,8 @@
 The k-th largest of n scores minimises the convex pinball loss L(c) = sum(s * max(x - c, 0)) + sum((1 - s) * max(c - x, 0)).
 A minimum of a convex piecewise linear loss needs no sort: each pass aggregates, for every group at once, the loss and its
 one-sided subgradients at one point, which give a tangent on each side of the minimum; the next point is where the two
-tangents meet. What the bracket excludes is never read again, the rows outside count through running totals. When the
+tangents meet. The rows outside a bracket count through running totals; as soon as no more than one row in ``SHRINK`` is undecided, the
+undecided ones are written anew and the later passes read them alone, so all passes together read a small multiple of the rows. When the
 subgradients straddle zero, or no score is left inside the bracket, the cutoff snaps to the exact neighbouring score.
 
 Bounds: the state on the driver is one row per target (``MAX_TARGETS``); scores never leave the executors. Every pass is
@@ -22,6 +23,7 @@ MAX_TARGETS = 100_000  #: rows of the target table that the driver holds
 MAX_PASSES = 200
 #: After so many tangent steps a pass takes the middle of the bracket instead: bounds the passes for heavy tails.
 TANGENT_STEPS = 3
+SHRINK = 4
 
 
 def latest_scores(scores: DataFrame) -> DataFrame:
@@ -43,6 +45,7 @@ def cutoffs(records: DataFrame, targets: DataFrame, group: str = "domain", score
     """
     spark = records.sparkSession
     x = records.select(F.col(group).alias("g"), F.col(score).cast("double").alias("x")).where("g IS NOT NULL AND x IS NOT NULL AND NOT isnan(x)")
+    every = x
     wanted = targets.select(F.col(group).alias("g"), F.col("permille").cast("long").alias("t")).where("g IS NOT NULL AND t IS NOT NULL")
     rows = wanted.groupBy("g").agg(F.max("t").alias("t")).limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
@@ -58,12 +61,17 @@ def cutoffs(records: DataFrame, targets: DataFrame, group: str = "domain", score
         else:
             state[r.g] = Bracket(r.n, k, r.lo, r.hi, r.s)
             done[r.g] = (r.n, state[r.g].value)  # known at once where all scores are equal
+    held = sum(b.n for b in state.values())
     for _ in range(MAX_PASSES):
         state = {g: b for g, b in state.items() if not b.resolved}
         if not state:
             break
         probes = [(g, b.lo, b.hi, b.probe()) for g, b in state.items()]
         near = x.join(F.broadcast(_frame(spark, "g string, lo double, hi double, c double", probes)), "g").where("x >= lo AND x <= hi")
+        left = sum(b.n - b.higher - b.lower for b in state.values())
+        if left * SHRINK <= held:
+            near, held = cut(near.select("g", "x", "lo", "hi", "c")), left
+            x = near.select("g", "x")
         above, at, below = F.col("x") > F.col("c"), F.col("x") == F.col("c"), F.col("x") < F.col("c")
         seen = near.groupBy("g").agg(
             F.count_if(above).alias("above"), F.count_if(at).alias("at"), F.count_if(below).alias("below"),
@@ -77,7 +85,7 @@ def cutoffs(records: DataFrame, targets: DataFrame, group: str = "domain", score
     else:
         raise RuntimeError("cutoffs did not converge")
     found = _frame(spark, "g string, t long, n long, cutoff double", [(g, target[g], n, c) for g, (n, c) in done.items()])
-    kept = x.join(F.broadcast(found.select("g", "cutoff")), "g").where("x >= cutoff").groupBy("g").agg(F.count("*").alias("kept"))
+    kept = every.join(F.broadcast(found.select("g", "cutoff")), "g").where("x >= cutoff").groupBy("g").agg(F.count("*").alias("kept"))
     out = found.join(kept, "g", "left").select("g", F.col("t").alias("permille"), "n", "cutoff", F.coalesce("kept", F.lit(0)).alias("kept"))
     return out.withColumnRenamed("g", group)
 
