@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.sources.package import ship
+from grainmill.sources.shared import cut, shared_dir  # noqa: F401  one place for tables in the shared folder
 
 #: Where a domain stands in a source path; the same pattern serves the SQL.
 PATH_DOMAIN = r"(?:train|valid)/([A-Za-z0-9_]+?)(?:_shard|[-/.]|$)"
 
-_own: dict[str, str] = {}
-
-
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """Read one table of a scale directory, pruned to ``columns`` at the scan."""
     ship(spark)
@@ -26,36 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a temporary one only where that is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="grainmill-")
-        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-    return Path(_own[app]).as_uri()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: ends its lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session is gone; the cluster's own cleaning of the folder applies
-        pass
-
-
 def clean_domain(c: Column) -> Column:
     """Trimmed, lower-case domain; NULL where nothing is left."""
     d = F.lower(F.trim(c))

@@ -18,6 +18,7 @@ SALT = "grainmill-sample-1"
 RATE = 0.2
 #: Small strata are kept at higher rates. A rate that later rises only adds records; it must not fall.
 RATES = {"book": 0.5, "arxiv": 0.5, "ubuntu_irc": 0.5, "philpapers": 0.5}
+MAX_BATCHES = 10_000
 _HEX = 13  #: hexadecimal digits of the hash that make the unit interval, 52 bits
 
 
@@ -40,16 +41,19 @@ def identity_of(stratum: Column, id_: Column, path: Column, body: Column) -> Col
     return F.when(has, F.concat(F.lit("i|"), part(stratum), part(id_))).otherwise(F.concat(F.lit("p|"), part(stratum), part(path), F.coalesce(F.sha2(body, 256), F.lit("-"))))
 
 
-def stable_sample(df: DataFrame, stratum: str, identity: str, order: list[str], rate: float = RATE, rates: dict[str, float] | None = None, salt: str = SALT) -> DataFrame:
+def stable_sample(df: DataFrame, stratum: str, identity: str, order: list[str], rate: float = RATE, rates: dict[str, float] | None = None, salt: str = SALT, every: bool = False) -> DataFrame:
     """The rows of ``df`` whose record is sampled, one per identity: the first by ``order``, which should be unique.
 
     ``rates`` holds by stratum; other strata, NULL among them, have ``rate``. NULL identities are never sampled. Adds ``unit``.
+    ``every``: all rows of the sampled records.
     """
     limit = F.lit(threshold(rate))
     for name, r in (rates or {}).items():
         limit = F.when(F.col(stratum).eqNullSafe(name), F.lit(threshold(r))).otherwise(limit)
     unit = "unit" if "unit" not in df.columns else "unit_hash"
     inside = df.withColumn(unit, unit_hash(F.col(identity), salt)).where(F.col(unit) < limit)
+    if every:
+        return inside
     # a record that is repeated very often is reduced map-side
     first = inside.groupBy(identity).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in inside.columns if c != identity]), F.struct(*order)).alias("row"))
     return first.select(identity, "row.*")
@@ -69,14 +73,30 @@ def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("domain", F.sha2("identity", 256).alias("identity_hash"), "record_key", "load_batch", "unit")
 
 
+def growth(rows: DataFrame, batch: str, stratum: str, identity: str, order: list[str], rate: float = RATE, rates: dict[str, float] | None = None) -> DataFrame:
+    """batch, members, lost, replaced: the sample of the rows up to each batch, drawn from those rows alone, against the sample of all rows.
+
+    ``lost`` members are missing from the sample of all rows, ``replaced`` ones have another row there; both must be 0 where ``order`` begins with
+    the batch. Rows of a NULL batch belong to no prefix. Only sampled rows are repeated, once per later batch.
+    """
+    batches = rows.where(F.col(batch).isNotNull()).select(F.col(batch).alias("upto")).distinct()
+    known = [r.upto for r in batches.limit(MAX_BATCHES + 1).collect()]
+    if len(known) > MAX_BATCHES:
+        raise ValueError(f"more than {MAX_BATCHES} batches")
+    later = F.explode(F.filter(F.array(*map(F.lit, sorted(known))).cast(f"array<{rows.schema[batch].dataType.simpleString()}>"), lambda b: b >= F.col(batch)))
+    inside = stable_sample(rows.withColumn("_key", F.col(identity)), stratum, "_key", order, rate, rates, every=True)
+    each = inside.select("*", later.alias("upto"))
+    drawn = each.groupBy("upto", "_key").agg(F.min(F.struct(*order)).alias("_then"))
+    final = stable_sample(rows, stratum, identity, order, rate, rates).select(F.col(identity).alias("_key"), F.struct(*order).alias("_final"))
+    j = drawn.join(final, "_key", "left")
+    n = j.groupBy("upto").agg(F.count("*").alias("members"), F.count_if(F.col("_final").isNull()).alias("lost"), F.count_if(F.col("_final") != F.col("_then")).alias("replaced"))
+    out = batches.join(n, "upto", "left").na.fill(0, ["members", "lost", "replaced"])
+    return out.withColumnRenamed("upto", batch)
+
+
 def p6_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per load batch: members of the sample of all batches up to it, and how many of them are missing from the sample of all batches."""
-    rows = text_records(spark, sf_dir)
-    final = stable_sample(rows, "domain", "identity", ["load_batch", "record_key"], RATE, RATES)
-    n = final.groupBy("load_batch").agg(F.count("*").alias("joined"))
-    batches = rows.select("load_batch").distinct()
-    upto = batches.alias("b").join(n.alias("n"), F.col("n.load_batch") <= F.col("b.load_batch"), "left")
-    return upto.groupBy(F.col("b.load_batch").alias("load_batch")).agg(F.coalesce(F.sum("joined"), F.lit(0)).alias("members"))
+    """Per load batch: the sample of the batches up to it, and how many of its members the sample of all batches lost or replaced."""
+    return growth(text_records(spark, sf_dir), "load_batch", "domain", "identity", ["load_batch", "record_key"], RATE, RATES)
 
 
 _THRESHOLDS = " ".join(f"WHEN '{k}' THEN '{threshold(v)}'" for k, v in RATES.items())
@@ -93,6 +113,9 @@ s AS (SELECT * FROM u WHERE unit < CASE domain {_THRESHOLDS} ELSE '{threshold(RA
 """
 ORACLE = {
     "p6_sample": _SQL + "SELECT domain, sha256(identity) AS identity_hash, record_key, load_batch, unit FROM s",
-    "p6_growth": _SQL + "SELECT b.load_batch, count(s.record_key) AS members FROM (SELECT DISTINCT load_batch FROM r) b LEFT JOIN s ON s.load_batch <= b.load_batch GROUP BY 1",
+    "p6_growth": _SQL.rstrip() + f""",
+pre AS (SELECT b.load_batch AS upto, u.* FROM u JOIN (SELECT DISTINCT load_batch FROM r WHERE load_batch IS NOT NULL) b ON u.load_batch <= b.load_batch),
+ps AS (SELECT * FROM pre WHERE unit < CASE domain {_THRESHOLDS} ELSE '{threshold(RATE)}' END QUALIFY row_number() OVER (PARTITION BY upto, identity ORDER BY load_batch, record_key) = 1)
+SELECT ps.upto AS load_batch, count(*) AS members, count(*) FILTER (WHERE s.identity IS NULL) AS lost, count(*) FILTER (WHERE s.record_key <> ps.record_key) AS replaced FROM ps LEFT JOIN s ON s.identity = ps.identity GROUP BY 1""",
 }
 QUERIES = {"p6_sample": p6_sample, "p6_growth": p6_growth}

@@ -117,6 +117,17 @@ def test_identity_tells_nulls_from_texts(spark):
     assert len(set(got)) == 5 and None not in got
 
 
+def test_growth_sees_lost_members(spark):
+    """A sample whose order doesn't begin with the batch replaces members, which the report must show."""
+    rows = [(b, f"k{i}", "s", 1000 * (9 - b) + i) for b in (1, 2, 3) for i in range(200) if (i + b) % 3]
+    df = spark.createDataFrame(rows, "b int, k string, s string, row long")
+    good = sampling.growth(df, "b", "s", "k", ["b", "row"], 0.3).collect()
+    bad = sampling.growth(df, "b", "s", "k", ["row"], 0.3).collect()
+    for r in good:
+        assert r.members == len({k for b, k, s, row in rows if b <= r.b} & {x.k for x in sampling.stable_sample(df, "s", "k", ["row"], 0.3).collect()}) and r.lost == r.replaced == 0
+    assert sum(r.replaced for r in bad) > 0 and sampling.growth(df.limit(0), "b", "s", "k", ["row"]).count() == 0
+
+
 # 7 encoding
 def test_tree_equals_one_pass():
     c = encoding.codec(encoding.DEFAULT_VOCABULARY)
