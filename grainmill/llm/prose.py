@@ -1,6 +1,6 @@
 """Problem 5: per-document text statistics, and the rules that separate natural prose from lists, tables, code and junk.
 
-Two narrow passes over the whole texts, no shuffle of texts:
+Two narrow passes, no shuffle of texts (``p5_found`` reads the texts once and keeps the numbers of the word classes for the second):
 
 1. Word order of the corpus. For every text of a known language the pairs of neighbouring word classes (function words one
    by one, other words by shape) are counted over all documents; the table has at most languages * CLASSES^2 rows by construction, whatever the corpus.
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm import textkit as tk
-from grainmill.llm.common import read
+from grainmill.llm.common import cut, read
 
 # Thresholds of the combined rules.
 MIN_PROSE_SHARE = 0.5
@@ -43,14 +43,14 @@ FIELDS = (
     ("prose_share", "double"), ("order", "double"), ("order_pairs", "bigint"), ("lang", "string"), ("kind", "string"), ("is_prose", "boolean"),
 )
 
-_BULLET = re.compile(r"^(?:[-*•·–—▪‣>+#o]|\[[ xX]?\]|\(?\d{1,3}[.)]|\[\d+\]|[a-z][.)])\s+")
+_BULLET = re.compile(r"^(?:[-*•·–—▪‣>+#]|\[[ xX]?\]|\(?\d{1,3}[.)]|\[\d+\]|[a-z][.)])\s+")
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.\w+")
 _LOG = re.compile(r"^\W?(?:\d{4}[-/.]\d\d[-/.]\d\d|\d\d[:.]\d\d[:.]\d\d|\w{3}\s+\d+ \d\d:\d\d)\S*[ T].*\b(?:DEBUG|INFO|WARN\w*|ERROR|FATAL|TRACE)\b|^(?:\d+\.){3}\d+ - ")
 _FIELD = re.compile(r"^[^\W\d_][\w /()-]{0,24}(?:\s*[:=]\s*|\s+-\s+|\s*\.{3,}\s*)\S.{0,40}$")
 _REFERENCE = re.compile(r"\bpp?\.\s*\d+|\bvol\.\s*\d+|\bdoi\b|\bet al\.|\bISBN\b|\b(?:Press|Verlag|Journal|Proc\.)[^.]{0,40}\b(?:1[5-9]|20)\d\d\b", re.I)
 _CODE = re.compile(
     r"[{};]\s*$|^\s*(?:def|class|import|from|export|return|for|while|if|else|elif|try|func|fn|var|let|const|static|public|private|void|int|struct|package|using|echo|printf)\b.*[(){}=;:.\[\]<_]"
-    r"|^\s*#\s*(?:define|include|ifdef|endif|keeps|!)|</?\w+[^<>]*>|&&|\|\||==|!=|=>|->|::|\w\(\)|^\s*\./|--\w+[= ]|^\s*(?:SELECT|INSERT|UPDATE|DELETE|WHERE|GROUP BY|ORDER BY|CREATE TABLE|FROM)\b.*[\w_=;*(]|^\w+(?:_\w+)*\s*[:=]\s*[\[{\d\"'\w]|^\s*throw\b|^```|^\s*[}\])]"
+    r"|^\s*#\s*(?:define|include|ifdef|endif|!)|</?\w+[^<>]*>|&&|\|\||==|!=|=>|->|::|\w\(\)|^\s*\./|--\w+[= ]|^\s*(?:SELECT|INSERT|UPDATE|DELETE|WHERE|GROUP BY|ORDER BY|CREATE TABLE|FROM)\b.*[\w_=;*(]|^\w+(?:_\w+)*\s*[:=]\s*[\[{\d\"'\w]|^\s*throw\b|^```|^\s*[}\])]"
 )
 _STRONG = re.compile(r"[{}\[\]<>=;_#$\\|&^~*+@%`]")
 _SYMBOL = re.compile(r"[{}\[\]<>=;_#$\\|&^~*+@%`]|[^\w\s.,;:!?'\"’“”‘()\-–—«»¿¡…/\u0300-\u036f\u0900-\u0dff]")
@@ -58,86 +58,125 @@ _ALNUM = re.compile(r"\w+")
 _VOWEL = re.compile(r"[aeiouy]")
 _SEPARATOR = re.compile(r"\s[|·•>»]\s|[#@+]\w+\s+[#@+]\w+")
 _ENTRY = re.compile(r"\d|\t| {2,}|[|;]")
-_END = re.compile(r"[.!?…。！？।:;][\"'”’)\]»]*$")
+_COMMENT = re.compile(r"#|//|--|/?\*|;|%")
+_WIDE_GAP = re.compile(r"\S(?: {3,}\S+){2,}")
+_HIGH = re.compile("[\x81-\u024f]")
+_BEYOND = re.compile("[\u0300-\U0010ffff]")
+# What may close a line behind its last mark, and the marks.
+_CLOSERS, _MARKS = "\"'”’)]»", ".!?…。！？।:;"
+
+
+def _ascii(keep) -> bytes:
+    """The ASCII characters that aren't ``keep``, to be deleted before counting."""
+    return bytes(i for i in range(128) if not keep(chr(i)))
+
+
+_NO_LETTERS, _NO_DIGITS, _NO_STRONG, _NO_SYMBOLS = (_ascii(f) for f in (str.isalpha, str.isdigit, _STRONG.match, _SYMBOL.match))
+
+
+def _count(s: str, others: bytes) -> int:
+    """Characters of an ASCII text that aren't ``others``."""
+    return len(s.encode("ascii").translate(None, others))
+
+
+def letter_count(s: str) -> int:
+    return _count(s, _NO_LETTERS) if s.isascii() else sum(map(str.isalpha, s))
+
+
+def ends(s: str) -> bool:
+    """Whether a line ends with a mark, perhaps behind closing quotes and brackets."""
+    return s.rstrip(_CLOSERS)[-1:] in _MARKS if s.rstrip(_CLOSERS) else False
 
 
 def symbol_share(s: str) -> float:
     """Share of characters that aren't letters, digits, blanks or plain punctuation."""
-    return len(_SYMBOL.findall(s)) / len(s) if s else 0.0
+    return (_count(s, _NO_SYMBOLS) if s.isascii() else len(_SYMBOL.findall(s))) / len(s) if s else 0.0
 
 
 def line_kind(line: str, lang: str | None) -> str:
     """What one line is, by itself: code, log, link, reference, field, cells, fragment, junk, foreign, text."""
     s = line.strip()
-    bare = _BULLET.sub("", s)
+    bullet = _BULLET.match(s)
+    bare = s[bullet.end() :] if bullet else s
     toks = tk.words(bare)
     share = tk.function_share(toks, lang)
-    links = sum(len(m) for m in _URL.findall(s))
-    if links * 2 > len(s):
+    if ("http" in s or "www." in s or "@" in s) and sum(map(len, _URL.findall(s))) * 2 > len(s):
         return "link"
-    if _LOG.search(s):
+    if _LOG.match(s):
         return "log"
-    if s.count("|") > 1 or s.count("\t") > 2 or re.search(r"\S(?: {3,}\S+){2,}", s):
-        if share < 0.25:
-            return "cells"
-    letters = sum(map(str.isalpha, s))
-    wide = sum(c > "\u02ff" and c.isalpha() for c in s)
-    if wide * 2 > letters > 0:
+    if share < 0.25 and (s.count("|") > 1 or s.count("\t") > 2 or "   " in s and _WIDE_GAP.search(s)):
+        return "cells"
+    letters = letter_count(s)
+    if not s.isascii() and max(s) > "\u02ff" and sum(map(str.isalpha, _BEYOND.findall(s))) * 2 > letters > 0:
         return "foreign"
-    strong = len(_STRONG.findall(s))
-    sentence = bool(_END.search(s)) and len(toks) >= MIN_WORDS
-    if _CODE.search(line) and (share < 0.2 or strong * 12 > len(s)) and (strong or share < 0.2 and not sentence):
+    strong = _count(s, _NO_STRONG) if s.isascii() else len(_STRONG.findall(s))
+    sentence = len(toks) >= MIN_WORDS and ends(s)
+    if (share < 0.2 or strong * 12 > len(s)) and (strong or share < 0.2 and not sentence) and _CODE.search(line):
         return "code"
     if strong * 8 > len(s):
         return "code" if letters * 3 > len(s) else "junk"
     if letters * 2 < len(s) or garbled(s, toks):
         return "junk"
-    if _REFERENCE.search(s) and share < 0.3:
+    if share < 0.3 and _REFERENCE.search(s):
         return "reference"
-    if _FIELD.match(s) and len(toks) < 8 and share < 0.2 and not sentence:
+    if len(toks) < 8 and share < 0.2 and not sentence and _FIELD.match(s):
         return "field"
-    if symbol_share(s) > 0.06 and share < 0.12:
+    if share < 0.12 and symbol_share(s) > 0.06:
         return "junk"
     if len(toks) < MIN_WORDS:
         # a heading, a short sentence or a menu entry; entries that are marked, numbered or spaced out belong to lists and tables
-        return "fragment" if (share > 0.3 and _END.search(s)) or not (_BULLET.match(s) or _ENTRY.search(s)) else "items"
+        return "fragment" if (share > 0.3 and ends(s)) or not (bullet or _ENTRY.search(s)) else "items"
     if share >= MIN_FUNCTION_SHARE:
         return "text"
     return "bare" if reads(bare, toks) else "items"
 
 
+_vowelless = tk.Memo(lambda w: not _VOWEL.search(w))
+
+
 def garbled(s: str, toks: list[str]) -> bool:
     """Words without vowels, with marks inside, or of accented letters throughout: text that lost or swapped characters."""
-    if max(map(len, s.split()), default=0) > 45 and max(map(len, s.split())) * 2 > len(s):
+    longest = max(map(len, s.split()), default=0)
+    if longest > 45 and longest * 2 > len(s):
         return True
     long = [w for w in toks if len(w) > 2]
-    if len(long) > 3 and sum(not _VOWEL.search(w) for w in long) * 4 > len(long):
+    if len(long) > 3 and sum(map(_vowelless.__getitem__, long)) * 4 > len(long):
         return True
-    latin = sum(c.isalpha() and c < "\u0250" for c in s)
-    return sum("\x80" < c < "\u0250" for c in s) * 3 > latin > 8 or max(map(len, toks), default=0) > 60
+    if not s.isascii():
+        high = len(_HIGH.findall(s))
+        plain = len(s.encode("ascii", "ignore").translate(None, _NO_LETTERS))
+        if high * 3 > plain and high * 3 > plain + sum(map(str.isalpha, re.findall("[\x80-\u024f]", s))) > 8:
+            return True
+    return max(map(len, toks), default=0) > 60
 
 
 def reads(s: str, toks: list[str]) -> bool:
     """Few function words, but a sentence by its shape: not capitalised throughout, few commas, numbers and separators."""
-    raw = s.split()
-    title = 0 if s.isupper() else sum(w[:1].isupper() for w in raw[1:])
-    return title * 2 <= len(raw) and s.count(",") * 3 <= len(toks) and sum(w[:1].isdigit() for w in raw) * 4 <= len(raw) and not _SEPARATOR.search(s)
+    if s.count(",") * 3 > len(toks):
+        return False
+    first = [w[0] for w in s.split()]
+    title = 0 if s.isupper() else sum(map(str.isupper, first[1:]))
+    return title * 2 <= len(first) and sum(map(str.isdigit, first)) * 4 <= len(first) and not _SEPARATOR.search(s)
 
 
 def line_kinds(text: str, lang: str | None) -> list[tuple[str, str]]:
     """(line, kind) of all lines that aren't blank. Lines that wrap running text count as text with their block."""
     out: list[tuple[str, str]] = []
     for block in tk.blocks(text):
+        if sum(x.startswith("o ") for x in block) * 2 > len(block):
+            block = ["•" + x[1:] if x.startswith("o ") else x for x in block]  # the letter that word processors give as a bullet, where most lines have it
         kinds = [line_kind(x, lang) for x in block]
+        if "code" in kinds and kinds.count("code") * 2 >= sum(not _COMMENT.match(x) for x in block):
+            kinds = ["code" if _COMMENT.match(x) else k for x, k in zip(block, kinds)]  # remarks between lines of code
         if len(block) > 1:
             # wrapped or broken text: few lines end a sentence or start anew, and the joined block reads as text
             loose = [k in ("text", "bare", "foreign") or k in ("items", "fragment") and not _BULLET.match(x) for x, k in zip(block, kinds)]
             joined = " ".join(x for x, ok in zip(block, loose) if ok)
             toks = tk.words(joined)
             if sum(loose) * 2 > len(block) and toks:
-                lower = sum(x[:1].islower() or not _END.search(y) for y, x in zip(block, block[1:]))
-                ends = len(tk.sentences(joined))
-                long = len(toks) >= 4.5 * sum(loose) or ends > 1 and len(toks) >= 4.5 * ends and len(joined) >= 20 * sum(loose)
+                lower = sum(x[:1].islower() or not ends(y) for y, x in zip(block, block[1:]))
+                parts = len(tk.sentences(joined))
+                long = len(toks) >= 4.5 * sum(loose) or parts > 1 and len(toks) >= 4.5 * parts and len(joined) >= 20 * sum(loose)
                 long = long and reads(joined, toks)
                 if long and lower * 3 >= len(block) - 1 and not garbled(joined, toks):
                     flows = "text" if tk.function_share(toks, lang) >= MIN_FUNCTION_SHARE else "bare"
@@ -151,8 +190,11 @@ def ngram_coverage(toks: list[str], n: int) -> float:
     if len(toks) < n:
         return 0.0
     grams = Counter(zip(*(toks[i:] for i in range(n))))
-    gram, count = max(grams.items(), key=lambda x: (x[1], sum(map(len, x[0]))))
-    return min(1.0, count * sum(map(len, gram)) / max(1, sum(map(len, toks)))) if count > 1 else 0.0
+    count = max(grams.values())
+    if count == 1:
+        return 0.0
+    size = max(sum(map(len, g)) for g, c in grams.items() if c == count)
+    return min(1.0, count * size / max(1, sum(map(len, toks))))
 
 
 def repeated_share(toks: list[str], n: int = 4) -> float:
@@ -179,7 +221,7 @@ def order_score(text: str, lang: str | None, table: np.ndarray | None) -> tuple[
     """Mean log ratio of the text's class pairs against chance, and their number."""
     if lang is None or table is None:
         return None, 0
-    pairs = np.fromiter(tk.class_pairs(text, lang), np.int64)
+    pairs = tk.class_pairs(text, lang)
     if not len(pairs):
         return None, 0
     return float(table[tk.LANGUAGES.index(lang)].ravel()[pairs].mean()), len(pairs)
@@ -209,15 +251,23 @@ def prose_kind(stats: dict) -> str:
     return "prose"
 
 
-def statistics(body: str | None, table: np.ndarray | None) -> dict:
-    """All FIELDS of one body."""
-    text = tk.clean(body or "")
-    if not text.strip():
-        return {k: (0 if t == "bigint" else 0.0) for k, t in FIELDS} | {"order": None, "lang": None, "kind": "empty", "is_prose": False}
+def repetition(toks: list[str], exact: bool = True) -> tuple[float, float]:
+    """Coverage of the commonest 2- or 3-gram, and the share of 4-grams seen before. Not ``exact``: 0 where a bound shows that no limit is passed."""
+    if not exact and toks:
+        single = Counter(toks)
+        total = sum(map(len, toks))
+        # an n-gram covers at most n times what the commonest of its words covers; n-grams are at least as many as words
+        few = 3 * max(c * len(w) for w, c in single.items()) <= MAX_TOP_NGRAM * total
+        if few and len(single) - 3 > (1 - MAX_REPEATED) * len(toks):
+            return 0.0, 0.0
+    return max(ngram_coverage(toks, 2), ngram_coverage(toks, 3)), repeated_share(toks)
+
+
+def judge(text: str, table: np.ndarray | None, exact: bool = False) -> tuple[dict, list[tuple[str, str]], list[str]]:
+    """What the rules need of a cleaned text that isn't blank, with the verdict; its lines and words."""
     toks = tk.words(text)
     lang = tk.language(toks)
     lines = line_kinds(text, lang)
-    size = sum(len(x) for x, _ in lines)
     mass = Counter()
     for x, k in lines:
         mass[k] += len(x)
@@ -227,20 +277,36 @@ def statistics(body: str | None, table: np.ndarray | None) -> dict:
     running = mass["text"] + (mass["bare"] if common >= MIN_DOCUMENT_FUNCTION_SHARE else 0) + foreign
     if running >= mass["fragment"]:
         running += mass["fragment"]
-    all_toks = [*map(str.lower, _ALNUM.findall(text))]
+    top, repeated = repetition(_ALNUM.findall(text.lower()) if text.isascii() else [*map(str.lower, _ALNUM.findall(text))], exact)
     order, pairs = order_score(text, lang, table)
-    letters = sum(map(len, toks))
-    paragraphs = [" ".join(b) for b in tk.blocks(text)]
-    s = {
-        "chars": len(body), "words": len(toks), "lines": len(lines), "sentences": len(tk.sentences(text)), "mean_word_length": letters / max(1, len(toks)),
-        "symbol_ratio": symbol_share(text), "digit_ratio": sum(map(str.isdigit, text)) / len(text), "punctuated_line_share": sum(bool(_END.search(x)) for x, _ in lines) / len(lines),
-        "common_word_share": common, "duplicate_line_share": duplicate_share([x for x, _ in lines]), "duplicate_paragraph_share": duplicate_share(paragraphs),
-        "top_ngram_share": max(ngram_coverage(all_toks, 2), ngram_coverage(all_toks, 3)), "repeated_share": repeated_share(all_toks), "bullet_line_share": sum(bool(_BULLET.match(x)) for x, _ in lines) / len(lines),
-        "prose_share": running / size, "order": order, "order_pairs": pairs, "lang": lang,
-    }
+    s = {"chars": len(text), "words": len(toks), "common_word_share": common, "top_ngram_share": top, "repeated_share": repeated, "prose_share": running / sum(mass.values()), "order": order, "order_pairs": pairs, "lang": lang}
     s["kind"] = prose_kind(s)
-    s["is_prose"] = s["kind"] == "prose"
-    return s
+    return s | {"is_prose": s["kind"] == "prose"}, lines, toks
+
+
+def kind_of(body: str | None, table: np.ndarray | None) -> tuple[str, str | None]:
+    """Kind and language of one body, without the statistics that the rules don't need."""
+    text = tk.clean(body or "")
+    if not text.strip():
+        return "empty", None
+    s, _, _ = judge(text, table)
+    return s["kind"], s["lang"]
+
+
+def statistics(body: str | None, table: np.ndarray | None) -> dict:
+    """All FIELDS of one body."""
+    text = tk.clean(body or "")
+    if not text.strip():
+        return {k: (0 if t == "bigint" else 0.0) for k, t in FIELDS} | {"order": None, "lang": None, "kind": "empty", "is_prose": False}
+    s, lines, toks = judge(text, table, True)
+    digits = _count(text, _NO_DIGITS) if text.isascii() else sum(map(str.isdigit, text))
+    more = {
+        "chars": len(body), "lines": len(lines), "sentences": len(tk.sentences(text)), "mean_word_length": sum(map(len, toks)) / max(1, len(toks)),
+        "symbol_ratio": symbol_share(text), "digit_ratio": digits / len(text), "punctuated_line_share": sum(ends(x) for x, _ in lines) / len(lines),
+        "duplicate_line_share": duplicate_share([x for x, _ in lines]), "duplicate_paragraph_share": duplicate_share([" ".join(b) for b in tk.blocks(text)]),
+        "bullet_line_share": sum(bool(_BULLET.match(x)) for x, _ in lines) / len(lines),
+    }
+    return s | more
 
 
 def pair_counts(df: DataFrame, text: str) -> dict[int, int]:
@@ -255,7 +321,7 @@ def pair_counts(df: DataFrame, text: str) -> dict[int, int]:
                     t = tk.clean(t)
                     lang = tk.language(tk.words(t))
                     if lang:
-                        np.add.at(n, np.fromiter(tk.class_pairs(t, lang), np.int64) + tk.LANGUAGES.index(lang) * k2, 1)
+                        np.add.at(n, tk.class_pairs(t, lang) + tk.LANGUAGES.index(lang) * k2, 1)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["pair", "n"])
 
@@ -296,10 +362,52 @@ def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+def evidence(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, the kind by all rules but that of word order, and the numbers of the class pairs, of every row: the one pass over whole texts, written."""
+    k2 = tk.CLASSES**2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds, pairs = [], []
+            for t in b.column(1).to_pylist():
+                kind, lang = kind_of(t, None)
+                kinds.append(kind)
+                pairs.append(tk.class_pairs(tk.clean(t), lang) + tk.LANGUAGES.index(lang) * k2 if lang else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds, pa.string()), pa.array(pairs, pa.list_(pa.int32()))], ["k", "kind", "pairs"])
+
+    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {df.schema[key].dataType.simpleString()}, kind string, pairs array<int>")
+    return cut(out.withColumnRenamed("k", key))
+
+
+def kinds(seen: DataFrame, key: str) -> DataFrame:
+    """``key`` and kind of every row of ``evidence``, with the word order of the whole corpus."""
+    size = len(tk.LANGUAGES) * tk.CLASSES**2
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for b in batches:
+            n += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False), minlength=size)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["pair", "n"])
+
+    rows = seen.select("pairs").mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # at most ``size``
+    shared = seen.sparkSession.sparkContext.broadcast(ratios({r.pair: r.n for r in rows}).ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            total = np.bincount(np.repeat(np.arange(len(n)), n), shared.value[lists.flatten().to_numpy(zero_copy_only=False)], len(n))
+            odd = (n >= MIN_ORDER_PAIRS) & (total < MIN_ORDER * n)
+            kind = ["words without sense" if k == "prose" and o else k for k, o in zip(b.column(1).to_pylist(), odd)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kind, pa.string())], ["k", "kind"])
+
+    schema = f"k {seen.schema[key].dataType.simpleString()}, kind string"
+    return seen.select(F.col(key).alias("k"), "kind", "pairs").mapInArrow(run, schema).withColumnRenamed("k", key)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bodies(spark, sf_dir)
-    out = text_statistics(df.select("record_key", "body"), "body", ratios(pair_counts(df, "body")))
-    return out.where("NOT is_prose AND kind <> 'empty'").select("record_key")
+    return kinds(evidence(bodies(spark, sf_dir), "record_key", "body"), "record_key").where("kind NOT IN ('prose', 'empty')").select("record_key")
 
 
 ORACLE: dict[str, str] = {}

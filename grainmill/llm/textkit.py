@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+
 # The closed-class words by which a language and running text show. Without accents, lower case.
 FUNCTION_WORDS = {
     "en": """the a an and or but nor so yet if of to in on at by for with from into over under about after before between through during
@@ -40,12 +41,12 @@ CLASSES = max(len(s) for s in _SETS.values()) + len(_SHAPES) + 1  # the last one
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)*|[.!?…。！？।]+")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？।])")
+_ASCII_WORD = re.compile(r"[a-z]+(?:'[a-z]+)*")
+_BREAK = re.compile(r"[.!?…][\"'”’)\]]*\s+|[。！？।]")
 _SOFT = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _BROKEN = re.compile(r"([^\W\d_])[-\u2010]\n\s*([a-z\u00df-\u00ff])")
 
 
-@lru_cache(maxsize=200_000)
 def plain_word(word: str) -> str:
     """Lower case without accents and compatibility forms."""
     w = word.lower()
@@ -56,55 +57,78 @@ def plain_word(word: str) -> str:
 
 def clean(text: str) -> str:
     """Line ends as \\n, invisible characters and soft hyphens gone, words that were broken at a line's end joined."""
-    t = _SOFT.sub("", text).replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\u2029", "\n\n").replace("\x85", "\n").replace("\x00", " ")
-    return _BROKEN.sub(r"\1\2", t)
+    t = text
+    if not t.isascii():
+        t = _SOFT.sub("", t).replace("\u2028", "\n").replace("\u2029", "\n\n").replace("\x85", "\n")
+    t = t.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", " ")
+    return _BROKEN.sub(r"\1\2", t) if "-\n" in t or "\u2010\n" in t else t
 
 
 def words(text: str) -> list[str]:
-    return [plain_word(w) for w in _WORD.findall(text)]
+    if text.isascii():
+        return _ASCII_WORD.findall(text.lower())
+    return [*map(_plain.__getitem__, _WORD.findall(text))]
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in (x.strip() for x in _SENTENCE.split(text)) if s]
+    """Cut behind marks that blanks follow; quotes and brackets that close there go with the blanks."""
+    out, at = [], 0
+    for m in _BREAK.finditer(text):
+        out.append(text[at : m.start() + 1])
+        at = m.end()
+    out.append(text[at:])
+    return [s for s in map(str.strip, out) if s]
+
+
+class Memo(dict):
+    """A bounded memory of a function of words, for ``map``."""
+
+    def __init__(self, function, most: int = 200_000):
+        self.function, self.most = function, most
+
+    def __missing__(self, word: str):
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = value = self.function(word)
+        return value
 
 
 def language(tokens: list[str]) -> str | None:
     """The language with most function words, at least one word in twelve; None if there is none."""
-    hits = {k: sum(w in s for w in tokens) for k, s in _SETS.items()}
+    hits = {k: sum(map(s.__contains__, tokens)) for k, s in _SETS.items()}
     best = max(hits, key=hits.get)
     return best if hits[best] * 12 >= len(tokens) > 0 else None
 
 
 def function_share(tokens: list[str], lang: str | None) -> float:
     s = _SETS.get(lang, _ANY)
-    return sum(w in s for w in tokens) / len(tokens) if tokens else 0.0
+    return sum(map(s.__contains__, tokens)) / len(tokens) if tokens else 0.0
 
 
-@lru_cache(maxsize=1)
-def _numbers() -> dict[str, dict[str, int]]:
-    return {k: {w: i for i, w in enumerate(sorted(s))} for k, s in _SETS.items()}
+_plain = Memo(plain_word)
 
 
-def class_pairs(text: str, lang: str) -> Iterator[int]:
-    """Numbers c1 * CLASSES + c2 of neighbouring word classes, sentence borders included."""
-    known, border = _numbers()[lang], CLASSES - 1
-    before = border
-    for token in _TOKEN.findall(text):
+@lru_cache(maxsize=len(LANGUAGES))
+def _classes(lang: str) -> Memo:
+    """Token to class."""
+    known = {w: i for i, w in enumerate(sorted(_SETS[lang]))}
+
+    def of(token: str) -> int:
         if token[0] in ".!?…。！？।":
-            c = border
-        else:
-            w = plain_word(token)
-            c = known.get(w)
-            if c is None:
-                c = CLASSES - 2 - _shape(w)
-        if before != border or c != border:
-            yield before * CLASSES + c
-        before = c
-    if before != border:
-        yield before * CLASSES + border
-
-
-@lru_cache(maxsize=200_000)
+            return CLASSES - 1
+        w = plain_word(token)
+        return known[w] if w in known else CLASSES - 2 - _shape(w)
+
+    return Memo(of)
+
+
+def class_pairs(text: str, lang: str) -> np.ndarray:
+    """Numbers c1 * CLASSES + c2 of neighbouring word classes, sentence borders included."""
+    border = CLASSES - 1
+    c = np.array([border, *map(_classes(lang).__getitem__, _TOKEN.findall(text)), border], np.int64)
+    return (c[:-1] * CLASSES + c[1:])[(c[:-1] != border) | (c[1:] != border)]
+
+
 def _shape(w: str) -> int:
     if w[0].isdigit():
         return 5
