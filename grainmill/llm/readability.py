@@ -1,26 +1,29 @@
 """Problem 1: how demanding the prose of each document is, as a grade level and a reading band.
 
-Grade: six classic formulas (Flesch-Kincaid, fog, SMOG, automated readability, Coleman-Liau, Linsear) from sentence length and syllables, the
-syllables by hyphenation-style rules; the level is the median of the six.
+Level: six classic formulas (Flesch-Kincaid, fog, SMOG, automated readability, Coleman-Liau, Linsear) from sentence length and syllables, the
+syllables by hyphenation-style rules; the level is the median of the six, over the sentences as they are punctuated. A block without any
+sentence mark has no sentences to measure; its words count as sentences of ``UNMARKED`` words each.
 
 Band: the formulas alone can't tell the bands here, because neither sentence length nor long words decide what a text demands of
-its reader (short-worded mathematics, children's texts that explain one long word). So the formulas' grades of each sentence and document enter,
-as features beside its words, word parts and word pairs, a naive Bayes classifier of sentences over the four bands. It is fitted on the rated records,
-a sample bounded by ``MAX_RATED`` records, by a few rounds of expectation-maximisation, since the raters judged documents and the sentences of
-one document may differ. The shares of words in sentences of each band then make the document's band. Everything but the fit covers all rows and whole texts.
+its reader (short-worded mathematics, children's texts that explain one long word); the README has the figures. So the grades of each sentence
+and document enter, as features beside its words, word parts and word pairs, a naive Bayes classifier of sentences over the four bands. It is fitted
+on the rated records, a sample bounded by ``MAX_RATED`` records, by a few rounds of expectation-maximisation, since the raters judged documents and
+the sentences of one document may differ. The shares of words in sentences of each band then make the document's band. No word list is built in: what
+a word tells comes from the ratings. Everything but the fit covers all rows and whole texts.
 
 Non-prose (by the rules of ``prose``), texts not in English and texts of fewer than three sentences get a level, but no band. NULL, empty and blank texts
 get neither. Without any rated record, the band follows the level alone.
+
+Speed: words are split by one pattern a sentence and numbered by a bounded memory of words; all else is array arithmetic over some hundred documents at once.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
-from statistics import median
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,33 +41,18 @@ ROUNDS = 6
 OWN = 0.8  #: prior share of a document's sentences that are of its rated band
 SMOOTHING = 0.3
 MIN_COUNT = 2  #: rarer features are no evidence
-LONG_SENTENCE = 45  #: words; longer runs are cut, as in texts without punctuation
-CUT = 16
+UNMARKED = 12  #: words that count as a sentence in blocks without a sentence mark
 MIN_SENTENCES = 3
-WORDS_OF_SENTENCE = 12  #: texts without punctuation have at least a sentence for so many words
 GRADE_BANDS = (3.0, 7.0, 12.0)  #: level limits of the bands where there are no ratings
+CHUNK = 256  #: documents that are assessed at once
+ESTIMATES = ("flesch_kincaid", "fog", "smog", "automated", "coleman_liau", "linsear")
 
-# Words of the bands' vocabularies that enter the fit like so many rated sentences, for bands with few ratings.
-SEED_WEIGHT = 3.0
-SEEDS = {
-    "elementary": "mom dad dog cat sun hat box toy bed fox pig hen run ran sat fun big red see look like play little happy",
-    "middle": "weekend ticket kitchen garden neighbour newsletter recipe weather coach festival grandmother parents tickets kit easier",
-    "secondary": "government parliament population economic economists historians industry institution regulation infrastructure administrative",
-    "advanced": """notwithstanding pursuant hereunder thereof herein whereby inter estoppel fiduciary indemnify plaintiff appellant respondent statutory
-        tribunal covenant rescission jurisdiction tort waiver insofar ontological epistemic hermeneutic dialectic teleological intentionality
-        phenomenology antecedent paradigmatic inference causal thesis premise theorem lemma corollary isomorphic homomorphism kernel quotient
-        ring ideal module sheaf fibre bundle manifold topology compact converges eigenvalue orbit norm dense prime finite dual trivial
-        heteroscedasticity covariate estimator asymptotic endogenous exogenous equilibrium elasticity regression multicollinearity likelihood
-        posterior bayesian frequentist kinase phosphorylation receptor assay homeostasis hepatic ligand knockout polymerase oracle polynomial
-        soundness affine semantics lambda tensor gauge hamiltonian lattice stratigraphic philological etymology ablaut hapax stratum""",
-}
-
+_MARK = re.compile(r"[.!?…。！？।]")
 _VOWELS = re.compile(r"[aeiouy]+")
 _HIATUS = re.compile(r"i[aou]|[aeo]u?e[ao]|eo|ua[lrt]|ui[nt]|ya|yo|io(?!u?s)")
 _CLOSED = re.compile(r"tio|sio|cia|tia|gio|cio")
 
 
-@lru_cache(maxsize=200_000)
 def syllables(word: str) -> int:
     """Syllables of an English word: vowel groups, less silent endings, more for vowels that part."""
     w = re.sub(r"[^a-z]", "", word)
@@ -79,53 +67,99 @@ def syllables(word: str) -> int:
     return max(1, n)
 
 
-def grades(sentences: list[list[str]]) -> dict[str, float]:
-    """The six grade estimates of sentences of words, and their median as ``level``; all 0 without words."""
-    toks = [w for s in sentences for w in s]
-    if not toks:
-        return dict.fromkeys(("flesch_kincaid", "fog", "smog", "automated", "coleman_liau", "linsear", "level"), 0.0)
-    n, k = len(toks), len(sentences)
-    syl = [syllables(w) for w in toks]
-    hard = sum(x > 2 for x in syl)
-    letters = sum(map(len, toks))
-    linsear = (n - hard + 3 * hard) / k
-    out = {
-        "flesch_kincaid": 0.39 * n / k + 11.8 * sum(syl) / n - 15.59,
-        "fog": 0.4 * (n / k + 100 * hard / n),
-        "smog": 1.043 * (30 * hard / k) ** 0.5 + 3.1291,
-        "automated": 4.71 * letters / n + 0.5 * n / k - 21.43,
-        "coleman_liau": 5.88 * letters / n - 29.6 * k / n - 15.8,
-        "linsear": linsear / 2 - (1 if linsear <= 20 else 0),
-    }
-    return out | {"level": float(median(out.values()))}
+def estimates(words: np.ndarray, sentences: np.ndarray, syl: np.ndarray, hard: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """The six grades as columns, for texts of so many words (at least one), sentences, syllables, words of three or more syllables, and letters."""
+    n, k = words.astype(float), sentences.astype(float)
+    linsear = (n + 2 * hard) / k
+    return np.column_stack([
+        0.39 * n / k + 11.8 * syl / n - 15.59, 0.4 * (n / k + 100 * hard / n), 1.043 * np.sqrt(30 * hard / k) + 3.1291,
+        4.71 * letters / n + 0.5 * n / k - 21.43, 5.88 * letters / n - 29.6 * k / n - 15.8, linsear / 2 - (linsear <= 20),
+    ])
 
 
 def split(text: str) -> list[list[str]]:
-    """Sentences as words; lines of a block belong together, very long runs are cut."""
+    """Sentences as words; the lines of a block belong together. A block without a sentence mark gives runs of UNMARKED words."""
     out = []
     for block in tk.blocks(tk.clean(text)):
-        for s in tk.sentences(" ".join(block)):
-            toks = tk.words(s)
-            if len(toks) > LONG_SENTENCE:
-                out += [toks[i : i + CUT] for i in range(0, len(toks), CUT)]
-            elif toks:
-                out.append(toks)
-    return out
-
-
-def features(toks: list[str], level: float) -> np.ndarray:
-    """Hashed features of one sentence: words, their beginnings and ends, neighbours, its own grade and the document's."""
-    own = grades([toks])["level"]
-    names = [f"g{int(own // 3)}", f"d{int(level // 2)}"]
-    names += toks
-    names += ["~" + w[-5:] for w in toks if len(w) > 6]
-    names += [w[:5] + "~" for w in toks if len(w) > 6]
-    names += map(" ".join, zip(toks, toks[1:]))
-    return _hashed(names)
-
-
-def _hashed(names: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in names), np.int64, len(names))
+        joined = " ".join(block)
+        if _MARK.search(joined):
+            out += map(tk.words, tk.sentences(joined))
+        else:
+            toks = tk.words(joined)
+            out += [toks[i : i + UNMARKED] for i in range(0, len(toks), UNMARKED)]
+    return [s for s in out if s]
+
+
+def _hash(x: str) -> int:
+    return zlib.crc32(x.encode())
+
+
+class Words:
+    """Numbers of words with what the features and formulas need of each; cleared when it is full."""
+
+    def __init__(self, most: int = 300_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: list[tuple[int, int, int, int, int]] = []
+        self.array = np.zeros((0, 5), np.int64)
+        self.number = tk.Memo(self._add, 1 << 60)
+
+    def _add(self, w: str) -> int:
+        long = len(w) > 6
+        self.rows.append((_hash(w), _hash("~" + w[-5:]) if long else -1, _hash(w[:5] + "~") if long else -1, syllables(w), len(w)))
+        return len(self.rows) - 1
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        """One row per token: hashes of the word, its end and its beginning (-1 for short words), syllables, letters."""
+        if len(self.rows) > self.most:
+            self.clear()
+        ids = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        if len(self.rows) > len(self.array):
+            self.array = np.concatenate([self.array, np.array(self.rows[len(self.array) :], np.int64)])
+        return self.array[ids]
+
+
+_words = Words()
+
+
+@dataclass
+class Measured:
+    """Formulas and features of some documents. Documents without words have no sentences and NaN grades."""
+
+    sentences: np.ndarray  # of each document
+    grades: np.ndarray  # documents x 6, and the median as ``level``
+    level: np.ndarray
+    doc: np.ndarray  # of each sentence
+    size: np.ndarray  # words of each sentence
+    feature: np.ndarray
+    owner: np.ndarray  # sentence of each feature
+
+
+def measure(texts: list[str | None]) -> Measured:
+    docs = [split(t or "") for t in texts]
+    sents = [s for d in docs for s in d]
+    count = np.array([len(d) for d in docs], np.int64)
+    size = np.array([len(s) for s in sents], np.int64)
+    doc = np.repeat(np.arange(len(docs)), count)
+    w = _words.of([*chain.from_iterable(sents)])
+    of = np.repeat(np.arange(len(sents)), size)  # the sentence of each word
+    sums = np.column_stack([np.bincount(of, x, len(sents)) for x in (w[:, 3], w[:, 3] > 2, w[:, 4])]) if len(sents) else np.zeros((0, 3))
+    grades = np.full((len(docs), len(ESTIMATES)), np.nan)
+    if full := np.flatnonzero(count).tolist():
+        per = np.column_stack([np.bincount(doc, x, len(docs)) for x in (size, *sums.T)])[full]
+        grades[full] = estimates(per[:, 0], count[full], *per[:, 1:].T)
+    level = np.median(grades, 1)
+    mask = (1 << BITS) - 1
+    own = np.median(estimates(size, np.ones(len(sents)), *sums.T), 1) if len(sents) else np.zeros(0)
+    graded = [np.array([_hash(f"{kind}{int(x)}") for x in v], np.int64) for kind, v in (("g", own // 3), ("d", level[doc] // 2))]
+    ends, starts = w[:, 1] >= 0, w[:, 2] >= 0
+    pairs = np.flatnonzero(of[1:] == of[:-1]) if len(of) else np.zeros(0, np.int64)
+    pair = (w[pairs, 0] * 0x9E3779B1 + w[pairs + 1, 0] * 0x85EBCA6B >> 7) if len(pairs) else np.zeros(0, np.int64)
+    every = np.arange(len(sents))
+    feature = np.concatenate([w[:, 0], w[ends, 1], w[starts, 2], pair, *graded]) & mask
+    return Measured(count, grades, level, doc, size, feature, np.concatenate([of, of[ends], of[starts], of[pairs], every, every]))
 
 
 class BandModel:
@@ -134,75 +168,74 @@ class BandModel:
     def __init__(self, table: np.ndarray, prior: np.ndarray):
         self.table, self.prior = table, prior
 
-    def posterior(self, sentence: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        x = self.table[sentence].sum(0) + np.log(prior)
-        e = np.exp(x - x.max())
-        return e / e.sum()
-
-    def shares(self, sents: list[list[str]], level: float) -> np.ndarray:
-        """Share of the words in sentences of each band; the document's own mix is the sentences' prior, found in a few rounds."""
-        sizes = np.array([len(s) for s in sents], float)
-        f = [features(s, level) for s in sents]
-        mix = self.prior.copy()
+    def scores(self, m: Measured) -> np.ndarray:
+        """Log likelihoods of each sentence."""
+        return np.column_stack([np.bincount(m.owner, self.table[m.feature, j], len(m.size)) for j in range(len(BANDS))])
+
+    def shares(self, m: Measured) -> np.ndarray:
+        """Per document, the share of its words in sentences of each band; the document's own mix is the sentences' prior, found in a few rounds."""
+        got, n = np.zeros((len(m.sentences), len(BANDS))), len(m.sentences)
+        if not len(m.size):
+            return got
+        x, mix = self.scores(m), np.tile(self.prior, (n, 1))
+        total = np.maximum(np.bincount(m.doc, m.size, n), 1)
         for _ in range(3):
-            p = np.array([self.posterior(x, mix) for x in f])
-            got = (sizes[:, None] * p).sum(0) / sizes.sum()
+            p = normalised(x + np.log(mix)[m.doc]) * m.size[:, None]
+            got = np.column_stack([np.bincount(m.doc, p[:, j], n) for j in range(len(BANDS))]) / total[:, None]
             mix = 0.85 * got + 0.15 * self.prior
         return got
 
 
+def normalised(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
 def fit(rated: list[tuple[str, dict[str, float]]]) -> BandModel | None:
     """From (text, weight by band) of rated records. None if there are none."""
-    docs = []
-    for text, weights in rated:
-        sents = split(text or "")
-        if sents:
-            level = grades(sents)["level"]
-            w = np.array([weights.get(b, 0.0) for b in BANDS])
-            docs.append(([features(s, level) for s in sents], w / w.sum()))
-    if not docs:
+    m = measure([t for t, _ in rated])
+    if not len(m.size):
         return None
-    overall = sum(w for _, w in docs) + 1
+    w = np.array([[weights.get(b, 0.0) for b in BANDS] for _, weights in rated])
+    w = w / w.sum(1, keepdims=True)
+    overall = w[m.sentences > 0].sum(0) + 1
     prior = overall / overall.sum()
     # the bands in a document besides its own share the rest of its prior
-    priors = [np.maximum(OWN * w + (1 - OWN) * prior, 1e-3) for _, w in docs]
-    resp = [np.tile(p / p.sum(), (len(f), 1)) for (f, _), p in zip(docs, priors)]
+    priors = np.maximum(OWN * w + (1 - OWN) * prior, 1e-3)[m.doc]
+    resp = priors / priors.sum(1, keepdims=True)
     size, model = 1 << BITS, None
-    index = np.concatenate([x for f, _ in docs for x in f])
-    lengths = np.array([len(x) for f, _ in docs for x in f])
-    seeds = np.zeros((size, len(BANDS)))
-    for j, band in enumerate(BANDS):
-        seeds[_hashed(SEEDS[band].split()), j] += SEED_WEIGHT
     for _ in range(ROUNDS):
-        weight = np.repeat(np.concatenate(resp), lengths, 0)
-        n = np.stack([np.bincount(index, weight[:, j], size) for j in range(len(BANDS))], 1) + seeds
+        n = np.stack([np.bincount(m.feature, resp[m.owner, j], size) for j in range(len(BANDS))], 1)
         enough = n.sum(1) >= MIN_COUNT - 1e-6
         rate = (n + SMOOTHING * prior) / (n.sum(0) + SMOOTHING * enough.sum() * prior)
         table = np.log(rate)
         table -= table.mean(1, keepdims=True)
         table[~enough] = 0
         model = BandModel(table.astype(np.float32), prior)
-        resp = [np.array([model.posterior(x, p) for x in f]) for (f, _), p in zip(docs, priors)]
+        resp = normalised(model.scores(m) + np.log(priors))
     return model
 
 
-def assess(text: str | None, model: BandModel | None, order: np.ndarray | None) -> dict:
-    """Level, estimates, band and word shares of one text."""
-    sents = split(text or "")
-    g = grades(sents)
-    out = {"sentences": len(sents), **g, "band": None, "advanced_share": None}
-    if not sents:
-        return out | dict.fromkeys(g)
-    stats = prose.statistics(text, order)
-    out["sentences"] = max(len(sents), len([w for s in sents for w in s]) // WORDS_OF_SENTENCE)
-    if not stats["is_prose"] or stats["lang"] not in ("en", None) or out["sentences"] < MIN_SENTENCES:
-        return out
+def bands(m: Measured, model: BandModel | None) -> tuple[np.ndarray, np.ndarray]:
+    """Band (-1 for documents of too few sentences) and share of advanced words, before it is known which documents are prose."""
+    enough = m.sentences >= MIN_SENTENCES
     if model is None:
-        return out | {"band": BANDS[sum(g["level"] > x for x in GRADE_BANDS)]}
-    shares = model.shares(sents, g["level"])
+        return np.where(enough, (np.nan_to_num(m.level)[:, None] > np.array(GRADE_BANDS)).sum(1), -1), np.full(len(enough), np.nan)
+    shares = model.shares(m)
     # the band that half of the words reach, so that one demanding passage doesn't lift a simple text
-    band = int(np.argmax(np.cumsum(shares) > 0.5))
-    return out | {"band": BANDS[band], "advanced_share": float(shares[-1])}
+    return np.where(enough, (np.cumsum(shares, 1) > 0.5).argmax(1), -1), shares[:, -1]
+
+
+def assess(texts: list[str | None], model: BandModel | None, order: np.ndarray | None, only: str | None = None) -> tuple[Measured, list[str | None], list[float | None]]:
+    """Formulas, band and advanced share of each text. ``only``: other bands needn't be told from no band, so fewer texts are tested for prose."""
+    m = measure(texts)
+    band, share = bands(m, model)
+    names: list[str | None] = [None] * len(texts)
+    for i in np.flatnonzero(band >= 0 if only is None else band == BANDS.index(only)):
+        kind, lang = prose.kind_of(texts[i], order)
+        if kind == "prose" and lang in ("en", None):
+            names[i] = BANDS[band[i]]
+    return m, names, [float(s) if n and s == s else None for n, s in zip(names, share)]
 
 
 def rated_records(records: DataFrame, labels: DataFrame, limit: int = MAX_RATED) -> list[tuple[str, dict[str, float]]]:
@@ -214,30 +247,31 @@ def rated_records(records: DataFrame, labels: DataFrame, limit: int = MAX_RATED)
     return [(r.content, r.votes) for r in sorted(rows, key=lambda r: r.record_key)]
 
 
-_ESTIMATES = ("flesch_kincaid", "fog", "smog", "automated", "coleman_liau", "linsear", "level")
-_SCHEMA = "record_key bigint, sentences bigint, " + ", ".join(f"{c} double" for c in _ESTIMATES) + ", band string, advanced_share double"
+_SCHEMA = "record_key bigint, sentences bigint, " + ", ".join(f"{c} double" for c in (*ESTIMATES, "level")) + ", band string, advanced_share double"
 
 
-def reading_levels(records: DataFrame, model: BandModel | None, order: np.ndarray) -> DataFrame:
+def reading_levels(records: DataFrame, model: BandModel | None, order: np.ndarray, only: str | None = None) -> DataFrame:
     """Assessment of every (record_key, content); one narrow Arrow pass over whole texts."""
     shared = records.sparkSession.sparkContext.broadcast((model and (model.table, model.prior), order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, table = shared.value
-        m = BandModel(*fitted) if fitted else None
-        for b in batches:
-            rows = [assess(t, m, table) for t in b.column(1).to_pylist()]
-            cols = [pa.array([r[c] for r in rows], pa.float64()) for c in _ESTIMATES]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r["sentences"] for r in rows], pa.int64()), *cols, pa.array([r["band"] for r in rows], pa.string()), pa.array([r["advanced_share"] for r in rows], pa.float64())], ["record_key", "sentences", *_ESTIMATES, "band", "advanced_share"])
+        model = BandModel(*fitted) if fitted else None
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                b = whole.slice(at, CHUNK)
+                m, names, share = assess(b.column(1).to_pylist(), model, table, only)
+                grades = [pa.array(x, pa.float64(), from_pandas=True) for x in (*m.grades.T, m.level)]  # NaN: no words, NULL
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.sentences), *grades, pa.array(names, pa.string()), pa.array(share, pa.float64())], ["record_key", "sentences", *ESTIMATES, "level", "band", "advanced_share"])
 
     return records.select("record_key", "content").mapInArrow(run, _SCHEMA)
 
 
-def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _levels(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
     records = read(spark, sf_dir, "quality_reconstruction", "record_key", "corpus", "content").where("corpus = 'A1'")
     model = fit(rated_records(records, read(spark, sf_dir, "reading_labels")))
     order = prose.ratios(prose.pair_counts(records, "content"))
-    return reading_levels(records, model, order)
+    return reading_levels(records, model, order, only)
 
 
 def p1_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +284,7 @@ def p1_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _levels(spark, sf_dir).where("band = 'advanced'").select("record_key")
+    return _levels(spark, sf_dir, "advanced").where("band = 'advanced'").select("record_key")
 
 
 ORACLE: dict[str, str] = {}
