@@ -6,6 +6,7 @@ reads no data but the row, so it is also safe on streams.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -125,31 +126,63 @@ def imputed(c: str, fitted: Fitted, global_only: bool = False) -> Column:
     return F.expr(f"coalesce({c}, {float(fitted.medians[c])!r}D)" if global_only else f"coalesce({c}, m_{c}, {float(fitted.medians[c])!r}D)")
 
 
+@dataclass(frozen=True)
+class Case:
+    """What a kind of utility may need: the value, the field's bounds, its specification and the row's domain."""
+
+    x: Column
+    low: float
+    high: float
+    spec: dict
+    domain: Column
+    allowance: bool
+
+    def scaled(self) -> Column:
+        """0 at the lower and 1 at the upper bound, clipped; one half where they coincide."""
+        return F.lit(0.5) if self.high - self.low < 1e-12 else unit((self.x - self.low) / (self.high - self.low))
+
+    def beyond_interval(self) -> Column:
+        """Distance to the interval in its half-widths."""
+        outside = F.greatest(self.low - self.x, self.x - self.high, F.lit(0.0))
+        return outside / max((self.high - self.low) / 2, 1e-6)
+
+    def beyond_tolerance(self) -> Column:
+        """Distance above the domain's tolerance, in halves of what is left to 1."""
+        by = self.spec.get("by_domain", {}) if self.allowance else {}
+        limit = F.coalesce(*[F.when(self.domain == d, F.lit(v)) for d, v in by.items()], F.lit(self.spec["tolerance"]))
+        return F.greatest(self.x - limit, F.lit(0.0)) / F.greatest((1 - limit) / 2, F.lit(1e-6))
+
+
+def unit(v: Column) -> Column:
+    return F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+
+
+def fading(distance: Column) -> Column:
+    return F.exp(-distance * distance)
+
+
+#: The column of each kind of utility. A new kind is one more entry here and in DIRECTIONS.
+KINDS: dict[str, Callable[[Case], Column]] = {
+    "identity": lambda c: unit(c.x),
+    "fixed_positive": Case.scaled,
+    "reference_positive": Case.scaled,
+    "reference_negative": lambda c: 1 - c.scaled(),
+    "reference_interval": lambda c: fading(c.beyond_interval()),
+    "upper_tolerance": lambda c: fading(c.beyond_tolerance()),
+}
+
+
 def utility(c: str, x: Column, domain: Column, fitted: Fitted, specs: dict[str, dict] | None = None, allowance: bool = True) -> Column:
-    """Utility in [0, 1] of one column's imputed value."""
-    s = spec_of(c, specs)
-    if s.get("log1p"):
-        x = F.log1p(F.greatest(x, F.lit(0.0)))
-    kind, (lo, hi) = s["kind"], fitted.bounds[c]
-    clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
-    if kind == "identity":
-        z = clip(x)
-    elif kind in ("fixed_positive", "reference_positive", "reference_negative"):
-        z = F.lit(0.5) if hi - lo < 1e-12 else clip((x - lo) / (hi - lo))
-        z = 1 - z if kind == "reference_negative" else z
-    elif kind == "reference_interval":
-        off = F.greatest(lo - x, F.lit(0.0)) + F.greatest(x - hi, F.lit(0.0))
-        z = F.exp(-F.pow(off / max((hi - lo) / 2, 1e-6), 2))
-    elif kind == "upper_tolerance":
-        t = F.lit(s["tolerance"])
-        for d, v in (s.get("by_domain", {}) if allowance else {}).items():
-            t = F.when(domain == d, F.lit(v)).otherwise(t)
-        z = F.exp(-F.pow(F.greatest(x - t, F.lit(0.0)) / F.greatest((1 - t) / 2, F.lit(1e-6)), 2))
-    else:
-        raise ValueError(f"unknown kind of utility: {kind}")
-    if allowance and s.get("neutral"):
-        z = F.when(domain.isin(*s["neutral"]), 0.5).otherwise(z)
-    return F.lit(0.5) if c in fitted.unavailable else z
+    """Utility in [0, 1] of one column's imputed value; one half for unavailable columns and in the field's neutral domains."""
+    spec = spec_of(c, specs)
+    if spec["kind"] not in KINDS:
+        raise ValueError(f"unknown kind of utility: {spec['kind']}")
+    if c in fitted.unavailable:
+        return F.lit(0.5)
+    value = F.log1p(F.greatest(x, F.lit(0.0))) if spec.get("log1p") else x
+    z = KINDS[spec["kind"]](Case(value, *fitted.bounds[c], spec, domain, allowance))
+    neutral = spec.get("neutral", ()) if allowance else ()
+    return F.when(domain.isin(*neutral), 0.5).otherwise(z) if neutral else z
 
 
 def apply_utilities(df: DataFrame, domain: str, fitted: Fitted, keep: list[str], specs: dict[str, dict] | None = None, allowance: bool = True, global_only: bool = False) -> DataFrame:

@@ -1,5 +1,9 @@
 import json
 import lzma
+import math
+import re
+import string
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -14,16 +18,36 @@ from grainmill.sources import tables
 from tests.oracle import check
 
 
-def test_text_statistics():
-    a, b = (dict(zip(text.STATISTICS, text.statistics(t))) for t in ("A b a b a b.", "A b c d e f."))
+TEXTS = ["A b a b a b.", "A b c d e f.", "A1!", None, "", "É", "Done.\n", "x y x y z z y x", " \n\n ", 'He said "yes." \nNO! (Really?)\n3 of 4', "one", "ÀB cd\r\nEF 12", "a.b.c... d", "Ends here.”", "tab\tend. \t"]
+
+
+def test_text_statistics(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "k long, t string")
+    got = {TEXTS[r.k]: r.asDict() for r in text.add_statistics(df, "t").collect()}
+    a, b = got["A b a b a b."], got["A b c d e f."]
     assert a["rps_doc_word_count"] == 6 and a["rps_doc_frac_chars_top_2gram"] > b["rps_doc_frac_chars_top_2gram"] == 0
-    assert text.statistics("A1!")[4] == pytest.approx(200 / 3)
-    assert text.statistics(None) == text.statistics("") and text.statistics("")[0] == 0 and text.statistics("")[2] is None
-    assert text.statistics("É")[10] == 2  # decomposed
-    words = "x y x y z z y x".split()
-    pairs = Counter(zip(words, words[1:]))
-    assert text.top_gram_share(words, 2) == pairs.most_common(1)[0][1] * 2 / 8
-    assert text.statistics("Done.\n")[8] == 50  # the end of the last line opens an empty one
+    assert got["A1!"]["rps_doc_frac_no_alph_words"] == pytest.approx(200 / 3)
+    assert {k: v for k, v in got[None].items() if k != "k"} == {k: v for k, v in got[""].items() if k != "k"} and got[""]["rps_doc_word_count"] == 0 and got[""]["rps_doc_unigram_entropy"] is None
+    assert got["É"]["rps_doc_mean_word_length"] == 2  # decomposed
+    assert got["x y x y z z y x"]["rps_doc_frac_chars_top_2gram"] == pytest.approx(50)  # x y twice, the first of the commonest
+    assert got["Done.\n"]["rps_lines_ending_with_terminal_punctution_mark"] == 50  # the end of the last line opens an empty one
+    for t, row in got.items():
+        for name, want in by_hand(t or "").items():
+            assert row[name] == (None if want is None else pytest.approx(want, abs=1e-6)), (t, name)
+
+
+def by_hand(t: str) -> dict:
+    """What can be said of a text line by line, without the package's code."""
+    lines = t.splitlines(keepends=True) if "\r" not in t else [x + "\n" for x in t.split("\n")[:-1]] + [t.split("\n")[-1]]
+    upper = [100 * len([c for c in x if c.isupper()]) / len(x) for x in lines if x]
+    ends = [x.strip() and x.rstrip().rstrip("}])\"' ”")[-1:] in list(".!?") for x in t.split("\n")]
+    words = re.sub(f"[{re.escape(string.punctuation)}]", "", t).lower().split()
+    n = Counter(unicodedata.normalize("NFD", w) for w in words)
+    return {
+        "rps_lines_uppercase_letter_fraction": sum(upper) / len(upper) if upper else None, "rps_lines_ending_with_terminal_punctution_mark": 100 * sum(map(bool, ends)) / len(ends),
+        "rps_doc_unigram_entropy": -sum(c / len(words) * math.log(c / len(words)) for c in n.values()) if words else None, "rps_doc_frac_unique_words": 100 * len(n) / len(words) if words else None,
+        "rps_doc_num_sentences": float(len(re.findall(r"\b[^.!?]+[.!?]*", t))),
+    }
 
 
 def test_text_pass_keeps_columns(spark):

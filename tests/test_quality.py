@@ -78,9 +78,29 @@ def test_identity(spark):
 
 def test_factor_rotation():
     load = np.array([[0.8, 0.1], [0.7, 0.0], [0.1, 0.9], [0.0, 0.6]])
-    assert np.allclose((conflict.varimax(load) ** 2).sum(1), (load**2).sum(1))
+    turned = conflict.varimax(load)
+    assert np.allclose((turned**2).sum(1), (load**2).sum(1))
+    spread = lambda m: (m**4).mean(0).sum() - ((m**2).mean(0) ** 2).sum()
+    turns = [load @ np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]]) for a in np.linspace(0, np.pi, 721)]
+    assert spread(turned) >= max(map(spread, turns)) - 1e-9  # no rotation of the plane does better
     pattern, phi = conflict.promax(load)
-    assert np.allclose(pattern @ phi @ pattern.T, load @ load.T, atol=1e-6)
+    assert np.allclose(pattern @ phi @ pattern.T, load @ load.T, atol=1e-6) and np.allclose(np.diag(phi), 1)
+    one, unit = conflict.promax(load[:, :1])
+    assert np.allclose(one, load[:, :1]) and unit.shape == (1, 1)
+
+
+def test_factors_of_a_known_structure():
+    """Two factors that were put in come out: their number, the communalities, and which field belongs to which."""
+    rng = np.random.default_rng(2)
+    f = rng.standard_normal((4000, 2))
+    truth = np.array([[0.8, 0], [0.7, 0], [0.75, 0], [0, 0.8], [0, 0.7], [0, 0.6]])
+    x = f @ truth.T + rng.standard_normal((4000, 6)) * np.sqrt(1 - (truth**2).sum(1))
+    count, values, bar = conflict.parallel_count(x, 30, 5, 1)
+    assert count == 2 and (np.diff(values) <= 0).all() and len(bar) == 6
+    load, settled = conflict.principal_axes(np.corrcoef(x, rowvar=False), 2)
+    assert settled and np.allclose((load**2).sum(1), (truth**2).sum(1), atol=0.06)
+    pattern, _ = conflict.promax(load)
+    assert len({int(k) for k in np.abs(pattern[:3]).argmax(1)}) == 1 and np.allclose(np.sort(np.abs(pattern), 1)[:, 1], truth.max(1), atol=0.06)
 
 
 @pytest.mark.parametrize("name", ["decode_issues", "dedup_first_seen", "weighted_bounds", "quality_scores", "domain_summary", "ks_by_domain", "group_redundancy", "conflict_pairs"])
