@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +148,7 @@ def garbled(s: str, toks: list[str]) -> bool:
         plain = len(s.encode("ascii", "ignore").translate(None, _NO_LETTERS))
         if high * 3 > plain and high * 3 > plain + sum(map(str.isalpha, re.findall("[\x80-\u024f]", s))) > 8:
             return True
-    return max(map(len, toks), default=0) > 60
+    return longest > 60 and max(map(len, toks), default=0) > 60
 
 
 def reads(s: str, toks: list[str]) -> bool:
@@ -168,7 +169,7 @@ def line_kinds(text: str, lang: str | None) -> list[tuple[str, str]]:
         kinds = [line_kind(x, lang) for x in block]
         if "code" in kinds and kinds.count("code") * 2 >= sum(not _COMMENT.match(x) for x in block):
             kinds = ["code" if _COMMENT.match(x) else k for x, k in zip(block, kinds)]  # remarks between lines of code
-        if len(block) > 1:
+        if len(block) > 1 and kinds.count("text") < len(block):
             # wrapped or broken text: few lines end a sentence or start anew, and the joined block reads as text
             loose = [k in ("text", "bare", "foreign") or k in ("items", "fragment") and not _BULLET.match(x) for x, k in zip(block, kinds)]
             joined = " ".join(x for x, ok in zip(block, loose) if ok)
@@ -257,7 +258,7 @@ def repetition(toks: list[str], exact: bool = True) -> tuple[float, float]:
         single = Counter(toks)
         total = sum(map(len, toks))
         # an n-gram covers at most n times what the commonest of its words covers; n-grams are at least as many as words
-        few = 3 * max(c * len(w) for w, c in single.items()) <= MAX_TOP_NGRAM * total
+        few = 3 * max(map(mul, single.values(), map(len, single))) <= MAX_TOP_NGRAM * total
         if few and len(single) - 3 > (1 - MAX_REPEATED) * len(toks):
             return 0.0, 0.0
     return max(ngram_coverage(toks, 2), ngram_coverage(toks, 3)), repeated_share(toks)
@@ -286,7 +287,10 @@ def judge(text: str, table: np.ndarray | None, exact: bool = False) -> tuple[dic
 
 def kind_of(body: str | None, table: np.ndarray | None) -> tuple[str, str | None]:
     """Kind and language of one body, without the statistics that the rules don't need."""
-    text = tk.clean(body or "")
+    return kind_of_clean(tk.clean(body or ""), table)
+
+
+def kind_of_clean(text: str, table: np.ndarray | None) -> tuple[str, str | None]:
     if not text.strip():
         return "empty", None
     s, _, _ = judge(text, table)
@@ -370,9 +374,10 @@ def evidence(df: DataFrame, key: str, text: str) -> DataFrame:
         for b in batches:
             kinds, pairs = [], []
             for t in b.column(1).to_pylist():
-                kind, lang = kind_of(t, None)
+                t = tk.clean(t or "")
+                kind, lang = kind_of_clean(t, None)
                 kinds.append(kind)
-                pairs.append(tk.class_pairs(tk.clean(t), lang) + tk.LANGUAGES.index(lang) * k2 if lang else None)
+                pairs.append(tk.class_pairs(t, lang) + tk.LANGUAGES.index(lang) * k2 if lang else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds, pa.string()), pa.array(pairs, pa.list_(pa.int32()))], ["k", "kind", "pairs"])
 
     out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {df.schema[key].dataType.simpleString()}, kind string, pairs array<int>")
