@@ -172,7 +172,7 @@ def test_residue_held_out(spark):
     hide = (F.col("label") >= 0) & F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", "f"), F.lit(5)) == 0)
     m = residue.fit(residue.cut(rows.withColumn("label", F.when(hide, -1).otherwise(F.col("label")))))
     held = rows.where(hide & (F.col("kind").bitwiseAND(F.lit(residue.SIGNS | residue.PLACED)) != 0)).toPandas()
-    b = pa.RecordBatch.from_arrays([pa.array(held[c].tolist(), t) for c, t in zip(residue._NAMES[:6], (*residue._TYPES, pa.list_(pa.int32())))], residue._NAMES[:6])
+    b = pa.RecordBatch.from_arrays([pa.array([x if x == x else None for x in held[c].tolist()] if c != "f" else list(map(bytes, held.f)), t) for c, t in zip(residue._NAMES[:6], (*residue._TYPES, pa.binary()))], residue._NAMES[:6])
     yes = m.posterior(b, False)[0] > 0.5
     true = held.label.to_numpy() == 1
     assert (yes & true).sum() >= 0.9 * true.sum() > 0 and (yes & true).sum() >= 0.9 * yes.sum()
