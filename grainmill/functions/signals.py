@@ -26,12 +26,6 @@ QURATER = tuple(f"qurater_{i}" for i in range(4))
 ATOMIC = tuple(c for f in FIELDS for c in (QURATER if f == "qurater" else (f,)))
 
 
-def softmax(a: Column) -> Column:
-    """Softmax of an array, shifted by its maximum; NULL for NULL."""
-    e = F.transform(a, lambda v: F.exp(v - F.array_max(a)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, x: s + x))
-
-
 def finite(c: Column) -> Column:
     d = c.cast("double")
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
@@ -120,3 +114,4 @@ def sql_scalar(f: str) -> dict[str, str]:
 
 
 SQL_SCALARS = ", ".join(f"{e} AS {n}" for f in FIELDS for n, e in sql_scalar(f).items())
+SQL_ORDINALS = ", ".join(f"CASE WHEN len({f}) = 6 AND len(list_filter({f}, lambda x: isfinite(x))) = 6 THEN (list_position({f}, list_max({f})) - 1) / 5::DOUBLE END AS o_{f}" for f in ORDINAL)

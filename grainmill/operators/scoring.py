@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.functions.signals import FIELDS, QURATER
+from grainmill.functions.signals import FIELDS, ORDINAL, QURATER
 from grainmill.operators.order import quantiles
 
 # Thresholds, the pairs of fields that may conflict, and the scenarios.
@@ -125,22 +125,30 @@ def diagnostics(z: list[Column], weights: np.ndarray, high: float = HIGH, low: f
 
 
 def scores(df: DataFrame, weights: np.ndarray, critic_weights: np.ndarray, keep: list[str], eta: float = ETA, primary: str = "Q_base") -> DataFrame:
-    """``keep`` and all score columns from the z_* columns. A projection."""
+    """``keep`` and all score columns from the z_* columns and the alternative ordinals o_* (NULL where a rating has none). A projection."""
     if primary not in ("Q_base", "Q_rule"):
         raise ValueError("the primary score is Q_base or Q_rule")
     z = [F.col(f"z_{f}") for f in FIELDS]
     n = len(FIELDS)
     pairs = edges(list(PAIRS), list(FIELDS))
+    rule = lambda cols, w, e: dot(cols, w) - penalty(cols, pairs, interaction(w, pairs, e))
+    weak = downweighted(weights)
+    ordinal = [F.coalesce(f"o_{f}", f"z_{f}") if f in ORDINAL else F.col(f"z_{f}") for f in FIELDS]
     base = dot(z, weights)
-    pen = penalty(z, pairs, interaction(weights, pairs, eta))
-    weak = np.array([w * (0.25 if f in DOWNWEIGHTED else 1) for f, w in zip(FIELDS, weights)])
-    out = {"q_base": base, "q_rule": base - pen, "penalty": pen, **diagnostics(z, weights)}
-    out |= {"q_equal": dot(z, np.full(n, 1 / n)), "q_critic": dot(z, critic_weights), "q_relevance_downweighted": dot(z, weak / weak.sum())}
-    out |= {f"q_eta_{e:g}".replace(".", "_"): base - penalty(z, pairs, interaction(weights, pairs, e)) for e in ETAS}
+    out = {"q_base": base, "q_rule": rule(z, weights, eta), "penalty": penalty(z, pairs, interaction(weights, pairs, eta)), **diagnostics(z, weights)}
+    out |= {"q_equal": dot(z, np.full(n, 1 / n)), "q_critic": dot(z, critic_weights), "q_huber": huber_center(F.array(*z), n)}
+    out |= {"q_relevance_downweighted": rule(z, weak, eta), "q_argmax": rule(ordinal, weights, eta)}
+    out |= {f"q_eta_{e:g}".replace(".", "_"): rule(z, weights, e) for e in ETAS}
     out["q_primary"] = out["q_base" if primary == "Q_base" else "q_rule"]
     return df.select(*keep, *[c.alias(k) for k, c in out.items()])
 
 
+def downweighted(weights: np.ndarray) -> np.ndarray:
+    """Weights with the relevance and style fields at a quarter, summing to 1 again; the pair penalties follow from them."""
+    w = np.array([x * (0.25 if f in DOWNWEIGHTED else 1) for f, x in zip(FIELDS, weights)])
+    return w / w.sum()
+
+
 def outliers(df: DataFrame, domain: str, value: str, reference: Column, unique: str, floor: float = MAD_FLOOR, limit: float = 3.0) -> DataFrame:
     """Adds r = (value - median) / max(1.4826 * MAD, floor) of the reference rows of the domain, and whether r > limit.
 

@@ -6,15 +6,16 @@ reads no data but the row, so it is also safe on streams.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainmill.functions.signals import ATOMIC, FIELDS, QURATER
-from grainmill.operators.order import weighted_quantiles
-from grainmill.sources.shared import cut
+from grainmill.operators.brackets import search
 
 # The kind of utility of each field and its parameters.
 SPECS: dict[str, dict] = {
@@ -85,33 +86,48 @@ class Fitted:
     unavailable: set[str] = field(default_factory=set)
 
 
+MAX_DOMAINS = 2000  #: domains of the reference; each has a median per column on the driver
+
+
 def fit(reference: DataFrame, domain: str, unique: str, specs: dict[str, dict] | None = None) -> Fitted:
-    """Global (domain-balanced) and per-domain medians, and the empirical bounds, from weighted quantiles of all columns in one pass.
+    """Global (domain-balanced) and per-domain medians, and the empirical bounds, from weighted quantiles of all columns by bisection over the wide rows.
 
-    Columns without any value get median 0, bounds (0, 0) and are unavailable. Driver-held: 25 columns times the domains.
+    Columns without any value get median 0, bounds (0, 0) and are unavailable. Driver-held: 25 columns times the domains, which are at most MAX_DOMAINS.
     """
-    rows = cut(balanced_weights(reference, domain).select(F.coalesce(F.col(domain), F.lit("")).alias("d"), F.col(unique).alias("k"), "w", *ATOMIC))
-    probs = sorted({0.5, *REFERENCE_QUANTILES, *(q for s in (specs or SPECS).values() for q in s.get("quantiles", ()))})
-    logs = [c for c in ATOMIC if spec_of(c, specs).get("log1p")]
-    wide = rows.select("*", *[F.log1p(F.greatest(c, F.lit(0.0))).alias(f"log1p {c}") for c in logs])
-    long = unpivot(wide, ["d", "k", "w"], [*ATOMIC, *[f"log1p {c}" for c in logs]]).where("x IS NOT NULL")
-    # every value counts in its column over all domains, by weight, and in its domain's column, evenly: one pass for both
-    both = long.selectExpr("column", "x", "k", "explode(array(named_struct('whole', true, 'g', '*', 'w', w), named_struct('whole', false, 'g', d, 'w', 1D))) AS s").selectExpr("s.whole", "s.g", "s.w", "column", "x", "k")
-    found: dict[tuple[str, float], float] = {}
-    by: dict[str, dict[str, float]] = {}
-    for r in weighted_quantiles(both, ["whole", "g", "column"], "x", "w", "k", probs).collect():
-        if r.whole:
-            found[r.column, r.p] = r.value
-        elif r.p == 0.5 and not r.column.startswith("log1p "):
-            by.setdefault(r.g, {})[r.column] = r.value
-    medians = {c: found.get((c, 0.5), 0.0) for c in ATOMIC}
-    bounds = {}
-    for c in ATOMIC:
-        s = spec_of(c, specs)
-        name = f"log1p {c}" if s.get("log1p") else c
-        q = s.get("quantiles", REFERENCE_QUANTILES)
-        bounds[c] = s.get("bounds") or tuple(found.get((name, p), 0.0) for p in q)
-    return Fitted(medians, by, bounds, {c for c in ATOMIC if (c, 0.5) not in found})
+    sizes = sorted(((r.d or "", r.n) for r in reference.groupBy(F.coalesce(F.col(domain), F.lit("")).alias("d")).agg(F.count("*").alias("n")).limit(MAX_DOMAINS + 1).collect()))
+    if len(sizes) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
+    spark = reference.sparkSession
+    table = spark.createDataFrame([(d, i, 1 / (len(sizes) * float(n))) for i, (d, n) in enumerate(sizes)], "_d string, g int, w double")
+    rows = reference.join(F.broadcast(table), F.coalesce(F.col(domain), F.lit("")) == F.col("_d")).select("g", F.col(unique).alias("k"), "w", *ATOMIC)
+    probs = {c: (0.5,) if "bounds" in spec_of(c, specs) else (0.5, *spec_of(c, specs).get("quantiles", REFERENCE_QUANTILES)) for c in ATOMIC}
+    wanted = [(-1, i, p) for i, c in enumerate(ATOMIC) for p in probs[c]] + [(g, i, 0.5) for g in range(len(sizes)) for i in range(len(ATOMIC))]
+    found = search(rows, list(ATOMIC), wanted)
+    medians, bounds, by = {}, {}, {}
+    for i, c in enumerate(ATOMIC):
+        spec = spec_of(c, specs)
+        scale = (lambda x: float(np.log1p(max(x, 0.0)))) if spec.get("log1p") else lambda x: x
+        at = lambda p, scale=lambda x: x, i=i: found[-1, i, p].value(scale) if (-1, i, p) in found else 0.0
+        medians[c] = at(0.5)
+        bounds[c] = spec.get("bounds") or tuple(at(p, scale) for p in spec.get("quantiles", REFERENCE_QUANTILES))
+        for g, (d, _) in enumerate(sizes):
+            if (g, i, 0.5) in found:
+                by.setdefault(d, {})[c] = found[g, i, 0.5].value()
+    return Fitted(medians, by, bounds, {c for i, c in enumerate(ATOMIC) if (-1, i, 0.5) not in found})
+
+
+def save(fitted: Fitted, spark: SparkSession, path: str) -> None:
+    """Writes what was fitted as JSON, on any file system that the session knows; an existing path is an error."""
+    text = json.dumps(asdict(fitted) | {"unavailable": sorted(fitted.unavailable)}, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
+def load(spark: SparkSession, path: str) -> Fitted:
+    d = json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    missing = set(ATOMIC) - set(d["medians"]) | set(ATOMIC) - set(d["bounds"])
+    if missing:
+        raise ValueError(f"no fit of {sorted(missing)}")
+    return Fitted(d["medians"], d["domain_medians"], {c: tuple(b) for c, b in d["bounds"].items()}, set(d["unavailable"]))
 
 
 def with_medians(df: DataFrame, domain: str, fitted: Fitted) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainmill.functions.signals import ATOMIC, FIELDS, decode
+from grainmill.functions.signals import ATOMIC, FIELDS, ORDINAL, SQL_ORDINALS, decode
 from grainmill.operators import identity, scoring
 from grainmill.operators.order import quantiles
 from grainmill.operators.utility import balanced_weights, dictionary, fit, unpivot
@@ -94,13 +94,15 @@ def critic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
-    u = cut(parts.utilities(spark, sf_dir))
+    u = parts.utilities(spark, sf_dir)
     critic = scoring.critic(balanced_weights(u.where("a1"), "domain"), [f"z_{f}" for f in FIELDS], "w")
     return scoring.scores(u, scoring.shrink(critic, 0.0), critic, keep)
 
 
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_scored(spark, sf_dir, ["row_key", "valid_coverage"]))
+    """All scores and scenario scores of every record, its diagnostics, and whether its dispersion stands out in its domain."""
+    s = cut(_scored(spark, sf_dir, ["row_key", "valid_coverage", "domain", "a1"]))
+    return rounded(scoring.outliers(s, "domain", "dispersion", F.col("a1"), "row_key").drop("domain", "a1"), 5)
 
 
 def huber_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,12 +156,16 @@ _MEAN = "(" + " + ".join(Z) + ") / 22"
 _PAIRS = scoring.edges(list(scoring.PAIRS), list(FIELDS))
 
 
-def _penalty_sql(eta: float) -> str:
-    theta = scoring.interaction(UNIFORM, _PAIRS, eta)
-    return " + ".join(f"{float(t)!r}::DOUBLE * abs({Z[a]} - {Z[b]})" for (a, b), t in zip(_PAIRS, theta))
+_ALT = [f"coalesce(o_{f}, z_{f})" if f in ORDINAL else f"z_{f}" for f in FIELDS]
+_WEAK = scoring.downweighted(UNIFORM)
+
+
+def _penalty_sql(eta: float, z: list[str] = Z, weights: np.ndarray = UNIFORM) -> str:
+    """Reference formula: for each pair eta times the lesser of its two weights, each divided among the pairs of its field, times the difference."""
+    degree = [sum(i in p for p in _PAIRS) for i in range(len(FIELDS))]
+    return " + ".join(f"{eta * min(float(weights[a]) / degree[a], float(weights[b]) / degree[b])!r}::DOUBLE * abs({z[a]} - {z[b]})" for a, b in _PAIRS)
 
 
-_WEAK = np.array([0.25 if f in scoring.DOWNWEIGHTED else 1.0 for f in FIELDS])
 _CRITIC = f"""ref2 AS (SELECT *, 1::DOUBLE / ((SELECT count(DISTINCT coalesce(domain, '')) FROM z WHERE a1) * count(*) OVER (PARTITION BY domain)) AS w FROM z WHERE a1),
 zl AS (SELECT row_key, w, unnest([{', '.join(repr(f) for f in FIELDS)}]) AS field, unnest([{', '.join(Z)}]) AS v FROM ref2),
 mu AS (SELECT field, sum(w * v) / sum(w) AS m FROM zl GROUP BY field),
@@ -172,13 +178,17 @@ cw2 AS (SELECT field, i / sum(i) OVER () AS weight FROM inf)"""
 _QC = " + ".join(f"z_{f} * (SELECT weight FROM cw2 WHERE field = '{f}')" for f in FIELDS)
 _H = " + ".join(f"greatest({c} - 0.75, 0)" for c in Z)
 _L = " + ".join(f"greatest(0.25 - {c}, 0)" for c in Z)
-_SCORED = f"""s AS (SELECT row_key, domain, membership, a1, words, valid_coverage, {_MEAN} AS q_base, {_penalty_sql(0.25)} AS penalty,
+_HUBER = f"""hv AS (SELECT row_key, [{', '.join(Z)}] AS v FROM z),
+hs AS (SELECT row_key, v, list_aggregate(v, 'median') AS m, 0 AS k FROM hv UNION ALL
+  SELECT row_key, v, list_sum(list_transform(v, lambda x: x * least(1, 0.15::DOUBLE / greatest(abs(x - m), 1e-12)))) / list_sum(list_transform(v, lambda x: least(1, 0.15::DOUBLE / greatest(abs(x - m), 1e-12)))), k + 1 FROM hs WHERE k < 30),
+hb AS (SELECT row_key, m AS q_huber FROM hs WHERE k = 30)"""
+_SCORED = f"""s AS (SELECT z.row_key, domain, membership, a1, words, valid_coverage, {_MEAN} AS q_base, {_penalty_sql(0.25)} AS penalty,
   sqrt(greatest(({' + '.join(f'{c} * {c}' for c in Z)}) / 22 - power({_MEAN}, 2), 0)) AS dispersion, (({_H}) / 0.25) * (({_L}) / 0.25) / 231 AS conflict_intensity,
-  ({_H}) > 0 AND ({_L}) > 0 AS has_high_low_difference, {_QC} AS q_critic, ({' + '.join(f'{c} * {float(w)}' for c, w in zip(Z, _WEAK))}) / {float(_WEAK.sum())} AS q_relevance_downweighted,
-  {', '.join(f'{_MEAN} - ({_penalty_sql(e)}) AS q_eta_{e:g}'.replace('q_eta_0.', 'q_eta_0_') for e in scoring.ETAS)} FROM z),
+  ({_H}) > 0 AND ({_L}) > 0 AS has_high_low_difference, {_QC} AS q_critic, q_huber, ({' + '.join(f'{c} * {float(w)!r}::DOUBLE' for c, w in zip(Z, _WEAK))}) - ({_penalty_sql(0.25, weights=_WEAK)}) AS q_relevance_downweighted,
+  ({' + '.join(_ALT)}) / 22 - ({_penalty_sql(0.25, _ALT)}) AS q_argmax, {', '.join(f'{_MEAN} - ({_penalty_sql(e)}) AS q_eta_{e:g}'.replace('q_eta_0.', 'q_eta_0_') for e in scoring.ETAS)} FROM z JOIN hb ON hb.row_key = z.row_key),
 sc AS (SELECT *, q_base - penalty AS q_rule, q_base AS q_equal, q_base AS q_primary FROM s)"""
-_ALL = f"WITH {parts.UTILITIES}, {_CRITIC}, {_SCORED}"
-_SCORE_NAMES = ["q_base", "q_rule", "penalty", "dispersion", "conflict_intensity", "q_equal", "q_critic", "q_relevance_downweighted", "q_eta_0", "q_eta_0_25", "q_eta_0_5", "q_eta_1", "q_primary", "valid_coverage"]
+_ALL = f"WITH RECURSIVE {parts.UTILITIES}, {_CRITIC}, {_HUBER}, {_SCORED}"
+_SCORE_NAMES = ["q_base", "q_rule", "penalty", "dispersion", "conflict_intensity", "q_equal", "q_critic", "q_huber", "q_relevance_downweighted", "q_argmax", "q_eta_0", "q_eta_0_25", "q_eta_0_5", "q_eta_1", "q_primary", "valid_coverage"]
 _Q_NAMES = [c for c in _SCORE_NAMES if c.startswith("q_")]
 _SUMMARY = f"""{_ALL}, d AS (SELECT m.dataset, coalesce(domain, '(none)') AS dom, sc.*, CASE WHEN words > 0 THEN words END AS wd FROM sc, {parts.MASKS}),
 qq AS (SELECT dataset, dom, quantile_cont(q_primary, 0.05) AS a, quantile_cont(q_primary, 0.95) AS b FROM d GROUP BY 1, 2),
@@ -189,11 +199,8 @@ sm AS (SELECT d.dataset, d.dom AS domain, count(*) AS n_unique, round(avg(q_base
   FROM d JOIN qq ON qq.dataset = d.dataset AND qq.dom = d.dom GROUP BY 1, 2)"""
 
 
-def _huber_sql(steps: int = 30) -> str:
-    q = f"WITH RECURSIVE {parts.UTILITIES}, a AS (SELECT row_key, [{', '.join(Z)}] AS v FROM z), h AS (SELECT row_key, v, list_median(v) AS m, 0 AS k FROM a UNION ALL SELECT row_key, v, list_sum(list_transform(v, lambda x: x * least(1, 0.15::DOUBLE / greatest(abs(x - m), 1e-12)))) / list_sum(list_transform(v, lambda x: least(1, 0.15::DOUBLE / greatest(abs(x - m), 1e-12)))), k + 1 FROM h WHERE k < {steps})"
-    return q.replace("list_median(v)", "list_aggregate(v, 'median')") + " SELECT row_key, round(m, 5) AS q_huber FROM h WHERE k = 30"
-
-
+_MAD = """md AS (SELECT domain, quantile_cont(dispersion, 0.5) AS m FROM sc WHERE a1 GROUP BY domain),
+ma AS (SELECT md.domain, any_value(m) AS m, greatest(1.4826 * quantile_cont(abs(dispersion - m), 0.5), 0.005) AS s FROM sc JOIN md ON md.domain IS NOT DISTINCT FROM sc.domain WHERE a1 GROUP BY md.domain)"""
 _ISSUE_SQL = []
 for _f in FIELDS:
     from grainmill.functions.signals import LENGTHS, PERCENT
@@ -204,9 +211,8 @@ for _f in FIELDS:
         _extra = f"WHEN {_f} NOT BETWEEN 0 AND 100 THEN '{_f}:percent_range'" if _f in PERCENT else f"WHEN {_f} < 0 THEN '{_f}:negative_statistic'" if _f.startswith("rps_") else ""
         _ISSUE_SQL.append(f"CASE WHEN {_f} IS NULL THEN '{_f}:type' WHEN NOT isfinite({_f}) THEN '{_f}:nonfinite' {_extra} END")
 _ISSUES = "list_filter([" + ", ".join(_ISSUE_SQL) + "], lambda x: x IS NOT NULL)"
-_ORD = ", ".join(f"CASE WHEN len({f}) = 6 AND len(list_filter({f}, lambda x: isfinite(x))) = 6 THEN round((list_position({f}, list_max({f})) - 1) / 5::DOUBLE, 6) END AS o_{f}" for f in FIELDS if f.startswith("modernbert"))
 ORACLE = {
-    "decode_signals": f"WITH d AS (SELECT row_key, {parts.SQL_SCALARS} FROM q1), o AS (SELECT row_key, {_ORD} FROM q1) SELECT d.row_key, {', '.join(f'round({c}, 6) + 0 AS {c}' for c in ATOMIC)}, o.* EXCLUDE (row_key) FROM d JOIN o ON o.row_key = d.row_key",
+    "decode_signals": f"WITH d AS (SELECT row_key, {parts.SQL_SCALARS} FROM q1), o AS (SELECT row_key, {SQL_ORDINALS} FROM q1) SELECT d.row_key, {', '.join(f'round({c}, 6) + 0 AS {c}' for c in ATOMIC)}, {', '.join(f'round({o}, 6) AS {o}' for o in parts.ORDINALS)} FROM d JOIN o ON o.row_key = d.row_key",
     "decode_issues": f"SELECT source_label, row_key, id, unnest({_ISSUES}) AS issue FROM q1",
     "dedup_first_seen": f"WITH {parts.RECORDS} SELECT r.row_key, one.source_label, r.domain, r.id, r.membership FROM r JOIN one ON one.row_key = r.row_key",
     "source_audit": f"""WITH {parts.Q1}, p AS (SELECT source_label, rec, count(*) AS n, sum((len({_ISSUES}) > 0)::INT) AS bad FROM q1x GROUP BY 1, 2), f AS (SELECT rec, min(source_label) AS fl FROM q1x GROUP BY 1)
@@ -224,10 +230,10 @@ SELECT domain, n, round(n * w, 9) AS total, round(w, 9) AS w, round(1 / sum(n *
     "utility_apply": f"WITH {parts.UTILITIES} SELECT row_key, {', '.join(f'round({c}, 6) AS {c}' for c in Z)}, round(valid_coverage, 6) AS valid_coverage FROM z",
     "utility_audit": f"WITH {parts.UTILITIES}, l2 AS (SELECT unnest([{', '.join(repr(c) for c in ATOMIC)}]) AS c, unnest([{', '.join('u_' + c for c in ATOMIC)}]) AS v FROM u) SELECT c AS \"column\", round(avg(v), 5) AS mean, round(stddev_pop(v), 5) AS sd, round(avg((v = 0)::INT), 5) AS at_zero, round(avg((v = 1)::INT), 5) AS at_one FROM l2 GROUP BY c",
     "critic_weights": f"WITH {parts.UTILITIES}, {_CRITIC} SELECT field, round(weight, 6) AS weight, round(0.5 / 22 + 0.5 * weight, 6) AS half_shrunk FROM cw2",
-    "quality_scores": f"{_ALL} SELECT row_key, {', '.join(f'round({c}, 6) AS {c}' for c in _SCORE_NAMES)}, has_high_low_difference FROM sc",
-    "huber_scores": _huber_sql(),
-    "mad_outliers": f"""{_ALL}, md AS (SELECT domain, quantile_cont(dispersion, 0.5) AS m FROM sc WHERE a1 GROUP BY domain),
-ma AS (SELECT md.domain, any_value(m) AS m, greatest(1.4826 * quantile_cont(abs(dispersion - m), 0.5), 0.005) AS s FROM sc JOIN md ON md.domain IS NOT DISTINCT FROM sc.domain WHERE a1 GROUP BY md.domain)
+    "quality_scores": f"""{_ALL}, {_MAD} SELECT row_key, {', '.join(f'round({c}, 5) AS {c}' for c in _SCORE_NAMES)}, has_high_low_difference,
+round((dispersion - m) / s, 5) AS within_domain_r, coalesce((dispersion - m) / s > 3, false) AS within_domain_outlier FROM sc LEFT JOIN ma ON ma.domain IS NOT DISTINCT FROM sc.domain""",
+    "huber_scores": f"WITH RECURSIVE {parts.UTILITIES}, {_HUBER} SELECT row_key, round(q_huber, 5) AS q_huber FROM hb",
+    "mad_outliers": f"""{_ALL}, {_MAD}
 SELECT row_key, round((dispersion - m) / s, 4) AS within_domain_r, coalesce((dispersion - m) / s > 3, false) AS within_domain_outlier FROM sc LEFT JOIN ma ON ma.domain IS NOT DISTINCT FROM sc.domain""",
     "domain_summary": f"{_SUMMARY} SELECT * FROM sm",
     "scenario_means": f"{_ALL}, d AS (SELECT m.dataset, coalesce(domain, '(none)') AS domain, unnest([{', '.join(repr(c) for c in _Q_NAMES)}]) AS scenario, unnest([{', '.join(_Q_NAMES)}]) AS v FROM sc, {parts.MASKS}) SELECT dataset, domain, scenario, round(avg(v), 5) AS mean FROM d GROUP BY 1, 2, 3",
