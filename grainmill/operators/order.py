@@ -1,13 +1,18 @@
 """Order statistics over all rows, without a window that holds a whole group.
 
 ``running`` range-partitions the rows by (group, order) in one shuffle, sums within partitions, and adds the totals of the partitions
-before: a table of one row per partition and group. A group with a third of all rows is spread like any other. Ranks, quantiles,
-weighted quantiles, top fractions and distribution distances all build on it. Order keys must end in a unique column, so that results
-don't depend on the partitioning.
+before: a table of one row per partition and group. A group with a third of all rows is spread like any other, and so are the rows of one value:
+ranks of ties come from the partitions' own counts, only values at the partitions' borders are put together. Quantiles, weighted quantiles, top
+fractions and distribution distances all build on it. Order keys must end in a unique column, so that results don't depend on the partitioning.
+
+Tables of one row per group or partition are joined without a hint: the optimizer broadcasts them as long as they are small.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,23 +33,49 @@ def running(df: DataFrame, group: list[str], order: list[Column], value: Column
     on = F.col("_p") == F.col("_q")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"_k{i}"))
-    joined = placed.withColumn("_c", F.sum("_v").over(local)).join(F.broadcast(offsets), on)
+    joined = placed.withColumn("_c", F.sum("_v").over(local)).join(offsets, on)
     return joined.withColumn(name, F.col("_c") + F.col("_o")).drop("_v", "_p", "_c", "_o", "_q", *[f"_k{i}" for i in range(len(group))])
 
 
 def _attach(df: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
     """``df`` with its group's row of ``totals``; without groups that is one row, whose values become literals."""
     if group:
-        return df.join(F.broadcast(totals), group)
+        return df.join(totals, group)
     row = totals.first()
     return df.select("*", *[F.lit(row[c] if row else None).cast(t).alias(c) for c, t in totals.dtypes])
 
 
 def average_rank(df: DataFrame, group: list[str], value: str, unique: str, name: str = "rank") -> DataFrame:
-    """Rank from 1 by ascending ``value``, ties sharing their mean; NULL values take no part and are dropped."""
-    r = cut(running(df.where(F.col(value).isNotNull()), group, [F.col(value), F.col(unique)], name="_r"))
-    ties = r.groupBy(*group, value).agg(((F.min("_r") + F.max("_r")) / F.lit(2.0)).alias(name))
-    return r.drop("_r").join(ties, [*group, value]) if group else r.drop("_r").join(ties, value)
+    """Rank from 1 by ascending ``value``, ties sharing their mean; NULL values take no part and are dropped.
+
+    Rows of one value may fill any number of partitions: each counts its own, and what is joined is one row per partition for values at its borders.
+    """
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = [F.col(g) for g in group]
+    placed = cut(df.where(F.col(value).isNotNull()).repartitionByRange(parts, *keys, F.col(value), F.col(unique)).withColumn("_p", F.spark_partition_id()))
+    inside = Window.partitionBy("_p", *group)
+    same = Window.partitionBy("_p", *group, value)
+    ranked = placed.withColumn("_i", F.row_number().over(inside.orderBy(value, unique))).withColumn("_first", F.min("_i").over(same)).withColumn("_ties", F.count("*").over(same)).withColumn("_rows", F.count("*").over(inside))
+    local = cut(ranked.drop("_i").withColumn("_edge", (F.col("_first") == 1) | (F.col("_first") + F.col("_ties") > F.col("_rows"))))
+    k = [f"_k{i}" for i in range(len(group))]
+    named = [F.col(g).alias(x) for g, x in zip(group, k)]
+    totals = local.groupBy(*named, F.col("_p").alias("_q")).agg(F.max("_rows").alias("_t"))
+    before = Window.partitionBy(*k).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = totals.select(*k, "_q", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+    here = F.col("_p") == F.col("_q")
+    for g, x in zip(group, k):
+        here = here & F.col(g).eqNullSafe(F.col(x))
+    with_offset = local.join(offsets, here).drop("_q", *k)
+    # a border value may go on in other partitions
+    ends = local.where("_edge").groupBy(*named, F.col(value).alias("_v"), F.col("_p").alias("_q")).agg(F.max("_first").alias("_f"), F.max("_ties").alias("_n"))
+    on = [x.eqNullSafe(y) for x, y in zip([ends[c] for c in (*k, "_q")], [offsets[c] for c in (*k, "_q")])]
+    joint = ends.join(offsets, reduce(and_, on)).groupBy(*[ends[c] for c in k], "_v").agg(F.min(F.col("_o") + F.col("_f")).alias("_start"), F.sum("_n").alias("_all"))
+    tied = F.col("_edge") & (F.col(value) == F.col("_v"))
+    for g, x in zip(group, k):
+        tied = tied & F.col(g).eqNullSafe(F.col(x))
+    out = with_offset.join(F.broadcast(joint) if not group else joint, tied, "left")  # without groups, at most two values per partition
+    rank = F.coalesce("_start", F.col("_o") + F.col("_first")) + (F.coalesce("_all", "_ties") - 1) / F.lit(2.0)
+    return out.withColumn(name, rank).drop("_p", "_first", "_ties", "_rows", "_edge", "_o", "_v", "_start", "_all", *k)
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float], unique: str) -> DataFrame:
@@ -55,7 +86,7 @@ def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float], u
     at = (F.col("n") - 1) * F.col("_pr")
     want = grid.select(*group, "n", "_i", (at - F.floor(at)).alias("_f"), F.explode(F.array(F.floor(at), F.ceil(at))).alias("_at"))
     want = want.withColumn("_r", F.col("_at") + 1).groupBy(*group, "n", "_i", "_f", "_r").agg(F.max("_at").alias("_at"))
-    hits = r.join(F.broadcast(want), [*group, "_r"])
+    hits = r.join(want, [*group, "_r"])
     one = hits.groupBy(*group, "n", "_i", "_f").agg(F.min(value).alias("a"), F.max(value).alias("b"))
     return one.groupBy(*group, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", (F.col("a") + (F.col("b") - F.col("a")) * F.col("_f")).alias("v")))), lambda x: x["v"]).alias("q"))
 

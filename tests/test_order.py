@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -69,3 +71,18 @@ def test_step_up(spark):
     df = spark.createDataFrame([(0.01, 1), (0.04, 2), (0.03, 3), (0.9, 4)], "p double, k long")
     got = [r.q for r in order.bh_adjust(df, [], "p", "k").orderBy("p").collect()]
     assert np.allclose(got, [0.04, 4 / 75, 4 / 75, 0.9])
+
+
+def test_ranks_of_a_hot_value(spark):
+    """One value holds 40 % of the rows of a group that holds most rows; ranks are those of a plain sort, NULL groups included."""
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.8 else rng.choice(["a", None]), 7.0 if rng.random() < 0.4 else float(rng.randint(0, 30)), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, x double, k long")
+    got = {r.k: r["rank"] for r in order.average_rank(df, ["g"], "x", "k").collect()}
+    for g in ("hot", "a", None):
+        mine = [(x, k) for h, x, k in rows if h == g]
+        want = pd.Series([x for x, _ in mine]).rank()
+        assert all(got[k] == w for (_, k), w in zip(mine, want))
+    whole = {r.k: r["rank"] for r in order.average_rank(df, [], "x", "k").collect()}
+    assert all(whole[k] == w for k, w in enumerate(pd.Series([x for _, x, _ in rows]).rank()))
+    assert order.average_rank(df.limit(0), ["g"], "x", "k").count() == 0
