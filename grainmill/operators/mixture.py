@@ -153,7 +153,9 @@ def folds(groups: np.ndarray, count: int, seed: int) -> np.ndarray:
     return np.array([place[int(g)] for g in groups])
 
 
-GRID = [("linear_ridge", {"lam": lam}) for lam in (1e-6, 1e-4, 1e-2)] + [("quadratic_ridge", {"lam": lam, "ratio": r}) for lam in (1e-6, 1e-4, 1e-2) for r in (1.0, 10.0)] + [("rbf_kernel_ridge", {"gamma": g, "lam": lam}) for g in (0.25, 1.0, 4.0) for lam in (1e-4, 1e-2)]
+# The grids of the three families.
+LAMBDAS, RATIOS, GAMMAS = (1e-8, 1e-6, 1e-4, 1e-2, 1e-1, 1.0), (1.0, 10.0, 100.0), (0.25, 1.0, 4.0)
+GRID = [("linear_ridge", {"lam": lam}) for lam in LAMBDAS] + [("quadratic_ridge", {"lam": lam, "ratio": r}) for r in RATIOS for lam in LAMBDAS] + [("rbf_kernel_ridge", {"gamma": g, "lam": lam}) for g in GAMMAS for lam in LAMBDAS]
 
 
 def cross_validate(spark, p: np.ndarray, y: np.ndarray, threshold: float = 0.01, count: int = 5, seed: int = 20260924) -> DataFrame:
@@ -176,7 +178,7 @@ def cross_validate(spark, p: np.ndarray, y: np.ndarray, threshold: float = 0.01,
     grid = spark.createDataFrame([(k, f, str(sorted(x.items()))) for k, (f, x) in enumerate(GRID)], "k int, family string, params string")
     from pyspark.sql import Window
 
-    scored = grid.join(grid.select("k").repartition(min(len(GRID), 8), "k").mapInArrow(run, "k int, cv_mse double"), "k")
+    scored = grid.join(grid.select("k").repartition(len(GRID), "k").mapInArrow(run, "k int, cv_mse double"), "k")
     return scored.withColumn("best", F.row_number().over(Window.partitionBy("family").orderBy("cv_mse", "k")) == 1).drop("k")
 
 

@@ -57,13 +57,18 @@ def correlation(total: float, sums: np.ndarray, gram: np.ndarray) -> tuple[np.nd
 
 def critic(df: DataFrame, columns: list[str], weight: str | None = None) -> np.ndarray:
     """CRITIC weights: standard deviation times the sum of (1 - correlation), normalised; uniform if nothing varies or there are no rows."""
-    total, sums, gram = moments(df, columns, weight)
+    return critic_of(*moments(df, columns, weight))
+
+
+def critic_of(total: float, sums: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The weights from moments."""
+    k = len(sums)
     if total <= 0:
-        return np.full(len(columns), 1 / len(columns))
+        return np.full(k, 1 / k)
     sd, r = correlation(total, sums, gram)
     np.fill_diagonal(r, 1)
     info = sd * (1 - r).sum(1)
-    return info / info.sum() if info.sum() > 0 else np.full(len(columns), 1 / len(columns))
+    return info / info.sum() if info.sum() > 0 else np.full(k, 1 / k)
 
 
 def shrink(weights: np.ndarray, xi: float) -> np.ndarray:

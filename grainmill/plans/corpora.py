@@ -14,7 +14,7 @@ from grainmill.plans.quality import rounded
 from grainmill.sources.shared import cut
 from grainmill.sources.tables import domain_of, table
 
-PER_DOMAIN = 20
+PER_DOMAIN = 64
 LIGHT = list(text.SQL_LIGHT)
 
 

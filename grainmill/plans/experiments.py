@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.functions.signals import FIELDS, QURATER
 from grainmill.operators import conflict, identity, scoring
 from grainmill.operators.order import ks_distance, pearson, quantiles, spearman, top_fraction, weighted_quantiles
+from grainmill.operators.resample import mean_intervals, stratified_moments
 from grainmill.operators.utility import balanced_weights
 from grainmill.plans import parts
 from grainmill.plans.quality import _ALL, Z, _scored, rounded
 from grainmill.sources.shared import cut
 
-KNOTS = 101
+KNOTS = 501
+BOOTSTRAPS = 100
 TOP = 0.2
 
 
@@ -64,19 +68,28 @@ def _rank_map(rows: DataFrame, column: str) -> list[tuple[float, float]]:
     return [(r.value, r.p) for r in knots]
 
 
-def interpolate(x, knots: list[tuple[float, float]]):
-    """Piecewise linear, 0 below the first knot and 1 above the last; JVM-side by a search over the literal knots."""
-    arr = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(p).alias("p")) for v, p in knots])
-    k = F.size(F.filter(arr, lambda a: a["v"] <= x))
-    lo, hi = F.element_at(arr, F.greatest(k, F.lit(1))), F.element_at(arr, F.least(k + 1, F.lit(len(knots))))
-    return F.when(x < knots[0][0], 0.0).when(x > knots[-1][0], 1.0).when(x == knots[-1][0], knots[-1][1]).otherwise(lo["p"] + (hi["p"] - lo["p"]) * (x - lo["v"]) / (hi["v"] - lo["v"]))
+def percentile_of(df: DataFrame, keys: list[str], maps: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """``keys`` and the percentile of each mapped column: piecewise linear between its knots, 0 below the first and 1 above the last, NULL for NULL."""
+    table = {c: tuple(map(np.array, zip(*knots))) for c, knots in maps.items()}
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = []
+            for i, (x, p) in enumerate(table.values()):
+                v = b.column(n + i).to_numpy(zero_copy_only=False)
+                cols.append(pa.array(np.interp(v, x, p, 0.0, 1.0), pa.float64(), mask=np.isnan(v)))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *cols], [*keys, *table])
+
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), *(f"`{c}` double" for c in table)])
+    return df.select(*keys, *table).mapInArrow(run, schema)
 
 
 def rank_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile of dsir_wiki in the reference, for every record that has the value."""
-    rows = cut(parts.records(spark, sf_dir).select("row_key", "domain", "a1", "dsir_wiki"))
-    knots = _rank_map(rows, "dsir_wiki")
-    return rounded(rows.where("dsir_wiki IS NOT NULL").select("row_key", interpolate(F.col("dsir_wiki"), knots).alias("percentile")), 5)
+    """Percentile of the three relevance values in the reference, for every record that has the value."""
+    rows, _ = parts.fitted_records(spark, sf_dir)
+    got = percentile_of(rows, ["row_key"], {c: _rank_map(rows, c) for c in scoring.DSIR})
+    return rounded(got.unpivot("row_key", list(scoring.DSIR), "field", "percentile").where("percentile IS NOT NULL"), 5)
 
 
 def scheme_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,34 +177,46 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame([(a, b, float(r[i, j])) for i, a in enumerate(FIELDS) for j, b in enumerate(FIELDS) if i < j], "field_a string, field_b string, r double"), 5)
 
 
+FACTOR_ROWS = 250  #: records per domain, the same for every domain
+MAX_FACTOR_DOMAINS = 200
+
+
 def factor_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Oblique factor pattern of the reference utilities; the correlation comes from one moment pass over all reference records, domains balanced."""
-    ref = balanced_weights(parts.utilities(spark, sf_dir).where("a1"), "domain")
-    total, sums, gram = scoring.moments(ref, Z, "w")
-    sd, r = scoring.correlation(total, sums, gram)
-    live = np.flatnonzero(sd > 1e-10)
-    sub = r[np.ix_(live, live)].copy()
-    np.fill_diagonal(sub, 1)
-    count, values, bar = conflict.parallel_count(sub, 2000, 50, 8, 20260923)
+    """Oblique factor pattern of the reference utilities, on the same number of records of each domain, those of the least hash.
+
+    The sample is the method's own: at most FACTOR_ROWS a domain, which the driver holds for the shuffles of the parallel analysis.
+    """
+    u = parts.utilities(spark, sf_dir).where("a1").withColumn("domain", F.coalesce("domain", F.lit("(none)")))
+    sizes = u.groupBy("domain").agg(F.count("*").alias("n")).limit(MAX_FACTOR_DOMAINS + 1).collect()
+    if len(sizes) > MAX_FACTOR_DOMAINS:
+        raise ValueError(f"more than {MAX_FACTOR_DOMAINS} domains")
+    per = min([FACTOR_ROWS, *(r.n for r in sizes)])
+    x = conflict.least_hash(u, "domain", F.col("row_key").cast("string"), per, "row_key").select("row_key", *Z).orderBy("row_key").toPandas()[Z].to_numpy(float) if sizes else np.zeros((0, len(Z)))
+    live = np.flatnonzero(x.std(0) > 1e-10) if len(x) > 2 else np.zeros(0, int)
     rows = []
-    if count:
-        pattern, _ = conflict.promax(conflict.principal_axes(sub, count)[0])
-        rows = [(FIELDS[i], f, float(pattern[k, f - 1])) for k, i in enumerate(live) for f in range(1, count + 1)]
+    if len(live) > 1:
+        count, _, _ = conflict.parallel_count(x[:, live], 100, 8, 20260923)
+        if count:
+            pattern, _ = conflict.promax(conflict.principal_axes(np.corrcoef(x[:, live], rowvar=False), count)[0])
+            rows = [(FIELDS[i], f, float(pattern[k, f - 1])) for k, i in enumerate(live) for f in range(1, count + 1)]
     return rounded(spark.createDataFrame(rows, "field string, factor int, loading double"), 4)
 
 
 def critic_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile intervals of the criterion weights: Poisson resampling by hash, one moment pass per repeat over a cut table."""
-    u = cut(balanced_weights(parts.utilities(spark, sf_dir).where("a1").select("row_key", "domain", *Z), "domain"))
-    got = []
-    for rep in range(10):
-        x = (F.xxhash64(F.lit(rep), "row_key").bitwiseAND((1 << 52) - 1).cast("double") / float(1 << 52))
-        n = F.when(x < 0.36787944, 0).when(x < 0.73575888, 1).when(x < 0.91969860, 2).when(x < 0.98101184, 3).when(x < 0.99634015, 4).otherwise(5)
-        got.append(scoring.critic(u.withColumn("_pw", F.col("w") * n), Z, "_pw"))
-    q = np.quantile(np.array(got), [0.025, 0.5, 0.975], axis=0)
+    """Percentile intervals of the criterion weights over BOOTSTRAPS resamples within domains, all from one moment pass."""
+    u = balanced_weights(parts.utilities(spark, sf_dir).where("a1").select("row_key", "domain", *Z), "domain")
+    total, sums, gram = stratified_moments(u, Z, "domain", "w", "row_key", BOOTSTRAPS, 20260923)
+    q = np.quantile([scoring.critic_of(t, s, g) for t, s, g in zip(total, sums, gram)], [0.025, 0.5, 0.975], axis=0)
     return rounded(spark.createDataFrame([(f, *map(float, q[:, i])) for i, f in enumerate(FIELDS)], "field string, low double, median double, high double"))
 
 
+def domain_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap interval of the mean primary score per source set and domain, 200 resamples."""
+    s = _scored(spark, sf_dir, ["row_key", "domain", "membership"])
+    rows = s.select("row_key", F.coalesce("domain", F.lit("(none)")).alias("domain"), F.explode(identity.masks(F.col("membership"))).alias("dataset"), "q_primary")
+    return rounded(mean_intervals(rows, ["dataset", "domain"], "q_primary", "row_key", 200, 20260923), 5)
+
+
 _LATEST = """lt AS (SELECT uid, lower(trim(domain)) AS d0, * EXCLUDE (uid, domain) FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY scored_at DESC) AS rn FROM sample_scores) WHERE rn = 1),
 s AS (SELECT uid, coalesce(nullif(d0, ''), '(none)') AS domain, CASE WHEN NOT isnan(q_base) THEN q_base END AS q_base, CASE WHEN NOT isnan(q_rule) THEN q_rule END AS q_rule, CASE WHEN NOT isnan(q_equal) THEN q_equal END AS q_equal,
   CASE WHEN NOT isnan(q_critic) THEN q_critic END AS q_critic, is_a1_reference AS a1 FROM lt)"""
@@ -203,6 +228,17 @@ def _rank_sql(src: str, g: str, a: str, b: str, cols: str) -> str:
     return f"SELECT {cols}, count(*) AS n, CASE WHEN stddev_pop(ra) > 1e-12 AND stddev_pop(rb) > 1e-12 THEN corr(ra, rb) END AS rho FROM (SELECT *, {r(a)} AS ra, {r(b)} AS rb FROM {src}) GROUP BY {cols}"
 
 
+def _rank_knots() -> str:
+    """kn(field, v, p, v2, p2): the knots of the three maps with the next ones; ends(field, lo, hi)."""
+    long = " UNION ALL ".join(f"SELECT row_key, domain, '{c}' AS field, {c} AS x FROM r WHERE a1" for c in scoring.DSIR)
+    return f"""ra AS (SELECT row_key, field, x, 1::DOUBLE / ((SELECT count(DISTINCT coalesce(domain, '')) FROM r WHERE a1) * count(*) OVER (PARTITION BY field, domain)) AS w FROM ({long})),
+rc AS (SELECT field, x, (sum(w) OVER (PARTITION BY field ORDER BY x, row_key ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY field) AS pos, row_number() OVER (PARTITION BY field ORDER BY x, row_key) AS k FROM ra WHERE x IS NOT NULL),
+rn AS (SELECT *, lead(pos) OVER (PARTITION BY field ORDER BY k) AS pos2, lead(x) OVER (PARTITION BY field ORDER BY k) AS x2 FROM rc), rg AS (SELECT unnest(range(0, {KNOTS})) / {KNOTS - 1}::DOUBLE AS p),
+rq AS (SELECT field, p, CASE WHEN k = 1 AND pos > p THEN x WHEN pos2 IS NULL THEN x ELSE x + (x2 - x) * (p - pos) / (pos2 - pos) END AS v FROM rn JOIN rg ON (pos <= p AND (pos2 > p OR pos2 IS NULL)) OR (k = 1 AND pos > p)),
+kn AS (SELECT field, v, avg(p) AS p, lead(v) OVER (PARTITION BY field ORDER BY v) AS v2, lead(avg(p)) OVER (PARTITION BY field ORDER BY v) AS p2 FROM rq GROUP BY field, v), ends AS (SELECT field, min(v) AS lo, max(v) AS hi FROM kn GROUP BY 1)"""
+
+
+_PERCENTILE = "CASE WHEN x.v < ends.lo THEN 0 WHEN x.v > ends.hi THEN 1 ELSE coalesce(kn.p + (kn.p2 - kn.p) * (x.v - kn.v) / (kn.v2 - kn.v), kn.p) END"
 _A22 = "(" + " + ".join(f"z_{f}" for f in FIELDS) + ") / 22"
 _SINGLE = [f for f in FIELDS if f not in ("qurater", *scoring.DSIR)]
 _DS = "(u_dsir_books + u_dsir_wiki + u_dsir_math) / 3"
@@ -222,13 +258,7 @@ SELECT domain, count(*) AS n, sum(a::INT)::BIGINT AS top, sum((a AND b)::INT)::B
 sum(a::INT) OVER (PARTITION BY domain ORDER BY x) AS ca, sum((NOT a)::INT) OVER (PARTITION BY domain ORDER BY x) AS cb, sum(a::INT) OVER (PARTITION BY domain) AS na, sum((NOT a)::INT) OVER (PARTITION BY domain) AS nb FROM v)
 SELECT domain, na::BIGINT AS n_a, nb::BIGINT AS n_b, round(max(abs(ca / nullif(na, 0)::DOUBLE - cb / nullif(nb, 0)::DOUBLE)), 6) AS ks FROM g GROUP BY domain, na, nb""",
     "score_quantiles": f"WITH {_LATEST} SELECT domain, count(q_equal) AS n, {', '.join(f'round(quantile_cont(q_equal, {p / 100}), 6) AS p{p}' for p in (5, 10, 50, 90, 95))} FROM s WHERE q_equal IS NOT NULL GROUP BY domain",
-    "rank_map": f"""WITH {parts.RECORDS}, a AS (SELECT row_key, dsir_wiki AS x, 1::DOUBLE / ((SELECT count(DISTINCT coalesce(domain, '')) FROM r WHERE a1) * count(*) OVER (PARTITION BY domain)) AS w, dsir_wiki FROM r WHERE a1),
-c AS (SELECT x, (sum(w) OVER (ORDER BY x, row_key ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER () AS pos, row_number() OVER (ORDER BY x, row_key) AS k FROM a WHERE x IS NOT NULL),
-n AS (SELECT *, lead(pos) OVER (ORDER BY k) AS pos2, lead(x) OVER (ORDER BY k) AS x2 FROM c), g AS (SELECT unnest(range(0, {KNOTS})) / {KNOTS - 1}::DOUBLE AS p),
-qk AS (SELECT p, CASE WHEN k = 1 AND pos > p THEN x WHEN pos2 IS NULL THEN x ELSE x + (x2 - x) * (p - pos) / (pos2 - pos) END AS v FROM n JOIN g ON (pos <= p AND (pos2 > p OR pos2 IS NULL)) OR (k = 1 AND pos > p)),
-kn AS (SELECT v, avg(p) AS p, lead(v) OVER (ORDER BY v) AS v2, lead(avg(p)) OVER (ORDER BY v) AS p2 FROM qk GROUP BY v)
-SELECT row_key, round(CASE WHEN r.dsir_wiki < (SELECT min(v) FROM kn) THEN 0 WHEN r.dsir_wiki > (SELECT max(v) FROM kn) THEN 1 ELSE coalesce(kn.p + (kn.p2 - kn.p) * (r.dsir_wiki - kn.v) / (kn.v2 - kn.v), kn.p) END, 5) AS percentile
-FROM r LEFT JOIN kn ON r.dsir_wiki >= kn.v AND (r.dsir_wiki < kn.v2 OR kn.v2 IS NULL) WHERE r.dsir_wiki IS NOT NULL""",
+    "rank_map": f"WITH {parts.RECORDS}, {_rank_knots()}, x AS (" + " UNION ALL ".join(f"SELECT row_key, '{c}' AS field, {c} AS v FROM r WHERE {c} IS NOT NULL" for c in scoring.DSIR) + f") SELECT row_key, x.field, round({_PERCENTILE}, 5) AS percentile FROM x JOIN ends ON ends.field = x.field LEFT JOIN kn ON kn.field = x.field AND x.v >= kn.v AND (x.v < kn.v2 OR kn.v2 IS NULL)",
     "scheme_comparison": f"""WITH {parts.UTILITIES}, {_INNER}, qs AS (SELECT row_key, coalesce(domain, '(none)') AS domain, round({_A22}, 12) AS a,
 round(({' + '.join(f'z_{f}' for f in _SINGLE)} + u_qurater_0 + u_qurater_1 + u_qurater_2 + u_qurater_3 + {_DS}) / 23, 12) AS b23,
 round(({' + '.join(f'z_{f}' for f in _SINGLE)} + {' + '.join(f'u_qurater_{i} * (SELECT w FROM iq WHERE f = {i})' for i in range(4))} + {_DS}) / 20, 12) AS b20 FROM z),
@@ -255,4 +285,4 @@ SELECT high_field, low_field, n::BIGINT AS n, count, round(count / n, 5) AS rate
     "correlation_matrix": f"""WITH {parts.UTILITIES}, l3 AS (SELECT row_key, unnest(range(22)) AS k, unnest([{', '.join(repr(f) for f in FIELDS)}]) AS f, unnest([{', '.join(Z)}]) AS v FROM z WHERE a1)
 SELECT a.f AS field_a, b.f AS field_b, round(CASE WHEN stddev_pop(a.v) > 1e-9 AND stddev_pop(b.v) > 1e-9 THEN covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) ELSE 0 END, 5) AS r FROM l3 a JOIN l3 b ON a.row_key = b.row_key AND a.k < b.k GROUP BY 1, 2""",
 }
-QUERIES = {f.__name__: f for f in (spearman_by_domain, top_fraction_overlap, ks_by_domain, score_quantiles, rank_map, scheme_comparison, extension_stability, group_redundancy, baseline_comparison, length_strata, conflict_pairs, conflict_pairs_datasets, bh_values, permutation_pairs, correlation_matrix, factor_analysis, critic_bootstrap)}
+QUERIES = {f.__name__: f for f in (spearman_by_domain, top_fraction_overlap, ks_by_domain, score_quantiles, rank_map, scheme_comparison, extension_stability, group_redundancy, baseline_comparison, length_strata, conflict_pairs, conflict_pairs_datasets, bh_values, permutation_pairs, correlation_matrix, factor_analysis, critic_bootstrap, domain_intervals)}

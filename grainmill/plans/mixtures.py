@@ -15,13 +15,16 @@ from grainmill.sources.tables import table
 # The coefficients that the effect queries use in place of a fitted model, so that SQL can follow.
 BETA = (1.2, 0.8, 1.5, 1.1, 0.9, 0.3, -0.2, 0.1, 0.25, -0.15, 0.05, 0.2, -0.1, 0.15, -0.05)
 DELTA = 0.05
+MAX_DOMAINS = 100  #: columns of a recipe; more are an error
 QUALITY = (0.2, 0.8, 0.5, 0.6, 0.4)
 
 
 def recipes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """index, p (shares in order of the type's name), y (mean values of the first three types); users without all three are left out."""
     e = table(spark, sf_dir, "events", "user_id", "event_type", "value").where("user_id IS NOT NULL AND event_type IS NOT NULL")
-    names = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(100).collect()]
+    names = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(MAX_DOMAINS + 1).collect()]
+    if len(names) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains in the recipes")
     per = e.groupBy("user_id").agg(*[F.sum((F.col("event_type") == n).cast("double")).alias(f"n{i}") for i, n in enumerate(names)], *[F.avg(F.when(F.col("event_type") == n, F.col("value"))).alias(f"y{i}") for i, n in enumerate(names[:3])])
     total = sum((F.col(f"n{i}") for i in range(len(names))), F.lit(0.0))
     return per.dropna().select(F.col("user_id").alias("index"), F.array(*[F.col(f"n{i}") / total for i in range(len(names))]).alias("p"), F.array(*[F.col(f"y{i}") for i in range(3)]).alias("y")), names
@@ -187,7 +190,7 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     (p, y), (hp, hy) = mixture.collect(train, "p", "y"), mixture.collect(held, "p", "y")
     a, b = (((hy - m.predict(hp)) ** 2).mean(1) for m in (mixture.Ridge(p, y, 0.01), mixture.Kernel(p, y, 0.25, 1e-4)))
     rng = np.random.default_rng(20260924)
-    d = [float(np.sqrt(a[i].mean()) - np.sqrt(b[i].mean())) for i in rng.integers(0, len(a), (500, len(a)))]
+    d = [float(np.sqrt(a[i].mean()) - np.sqrt(b[i].mean())) for i in rng.integers(0, len(a), (2000, len(a)))]
     return rounded(spark.createDataFrame([(len(a), *map(float, np.quantile(d, [0.025, 0.5, 0.975])))], "n long, low double, median double, high double"))
 
 

@@ -61,7 +61,9 @@ def adjusted_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = ranks.groupBy("row_key").pivot("column", Z).agg(F.first(F.col("r") / max(n, 1)))
     m = u.agg(F.avg("length").alias("m"), F.stddev_pop("length").alias("s")).first()
     centred = (F.col("length") - (m.m or 0.0)) / max(m.s or 0.0, 1e-12)
-    domains = [r[0] for r in u.select("domain").distinct().orderBy("domain").limit(MAX_FOLDS).collect()]
+    domains = [r[0] for r in u.select("domain").distinct().orderBy("domain").limit(MAX_FOLDS + 1).collect()]
+    if len(domains) > MAX_FOLDS:
+        raise ValueError(f"more than {MAX_FOLDS} domains")
     design = u.select("row_key", centred.alias("l"), (centred * centred).alias("l2"), *[(F.col("domain") == d).cast("double").alias(f"d{i}") for i, d in enumerate(domains[1:])])
     names = [c for c in design.columns if c != "row_key"]
     total, sums, gram = scoring.moments(wide.join(design, "row_key"), [*Z, *names])
