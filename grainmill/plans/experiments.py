@@ -92,22 +92,6 @@ def rank_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(got.unpivot("row_key", list(scoring.DSIR), "field", "percentile").where("percentile IS NOT NULL"), 5)
 
 
-def scheme_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three groupings of the atomic utilities into concepts, equally weighted, against the first: rank correlation, top overlap, mean difference."""
-    u = parts.utilities(spark, sf_dir)
-    ref = balanced_weights(u.where("a1"), "domain")
-    inner = scoring.critic(ref, [f"u_{q}" for q in QURATER], "w")
-    scheme = scoring.schemes(inner)
-    q = u.select("row_key", F.coalesce("domain", F.lit("(none)")).alias("domain"), *[scoring.dot([c for c in scoring.concept_columns(s)], np.full(len(s), 1 / len(s))).alias(n) for n, s in scheme.items()])
-    base, *others = scheme
-    long = cut(q.select("row_key", "domain", base, F.explode(F.array(*[F.struct(F.lit(o).alias("scheme"), F.col(o).alias("q")) for o in others])).alias("x")).select("row_key", "domain", F.round(base, 12).alias("a"), "x.scheme", F.round("x.q", 12).alias("b")))
-    g = ["scheme", "domain"]
-    rho = spearman(long, g, "a", "b", "row_key")
-    top = top_fraction(top_fraction(long, g, "a", "row_key", TOP, "ta"), g, "b", "row_key", TOP, "tb")
-    over = top.groupBy(*g).agg((F.sum((F.col("ta") & F.col("tb")).cast("long")) / F.sum(F.col("ta").cast("long"))).alias("overlap"), F.avg(F.col("b") - F.col("a")).alias("mean_difference"))
-    return rounded(rho.join(over, g), 4)
-
-
 def extension_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean shift and distribution distance of the new records of the extensions against the reference."""
     labels = F.split("membership", ";")
@@ -239,16 +223,8 @@ kn AS (SELECT field, v, avg(p) AS p, lead(v) OVER (PARTITION BY field ORDER BY v
 
 
 _PERCENTILE = "CASE WHEN x.v < ends.lo THEN 0 WHEN x.v > ends.hi THEN 1 ELSE coalesce(kn.p + (kn.p2 - kn.p) * (x.v - kn.v) / (kn.v2 - kn.v), kn.p) END"
-_A22 = "(" + " + ".join(f"z_{f}" for f in FIELDS) + ") / 22"
-_SINGLE = [f for f in FIELDS if f not in ("qurater", *scoring.DSIR)]
-_DS = "(u_dsir_books + u_dsir_wiki + u_dsir_math) / 3"
 _STRATA = f"""lb AS (SELECT quantile_cont(ln(1 + greatest(coalesce(words, 0), 0)), [0.2, 0.4, 0.6, 0.8]) AS b FROM z WHERE a1),
 st AS (SELECT z.*, coalesce(domain, '(none)') || ':' || len(list_filter(b, lambda x: x <= ln(1 + greatest(coalesce(words, 0), 0)))) AS stratum FROM z, lb)"""
-_INNER = f"""refi AS (SELECT row_key, 1::DOUBLE / ((SELECT count(DISTINCT coalesce(domain, '')) FROM u WHERE a1) * count(*) OVER (PARTITION BY domain)) AS w, {', '.join('u_' + q for q in QURATER)} FROM u WHERE a1),
-il AS (SELECT row_key, w, unnest([0, 1, 2, 3]) AS f, unnest([{', '.join('u_' + q for q in QURATER)}]) AS v FROM refi), im AS (SELECT f, sum(w * v) / sum(w) AS m FROM il GROUP BY f),
-ic AS (SELECT a.f AS fa, b.f AS fb, sum(a.w * (a.v - ma.m) * (b.v - mb.m)) / sum(a.w) AS c FROM il a JOIN il b ON a.row_key = b.row_key JOIN im ma ON ma.f = a.f JOIN im mb ON mb.f = b.f GROUP BY 1, 2),
-iw AS (SELECT ic.fa AS f, sqrt(any_value(x.c)) * sum(1 - CASE WHEN ic.fa = ic.fb THEN 1 ELSE ic.c / sqrt(x.c * y.c) END) AS i FROM ic JOIN ic x ON x.fa = ic.fa AND x.fb = ic.fa JOIN ic y ON y.fa = ic.fb AND y.fb = ic.fb GROUP BY 1),
-iq AS (SELECT f, i / sum(i) OVER () AS w FROM iw)"""
 ORACLE = {
     "spearman_by_domain": f"WITH {_LATEST}, b AS (SELECT * FROM s WHERE q_base IS NOT NULL AND q_rule IS NOT NULL), r AS ({_rank_sql('b', 'domain', 'q_base', 'q_rule', 'domain')}) SELECT domain, n, round(rho, 6) AS rho FROM r",
     "top_fraction_overlap": f"""WITH {_LATEST}, b AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY q_base DESC, uid) <= greatest(1, ceil(round(count(*) OVER (PARTITION BY domain) * 0.2::DOUBLE, 9))) AS a,
@@ -259,13 +235,6 @@ sum(a::INT) OVER (PARTITION BY domain ORDER BY x) AS ca, sum((NOT a)::INT) OVER
 SELECT domain, na::BIGINT AS n_a, nb::BIGINT AS n_b, round(max(abs(ca / nullif(na, 0)::DOUBLE - cb / nullif(nb, 0)::DOUBLE)), 6) AS ks FROM g GROUP BY domain, na, nb""",
     "score_quantiles": f"WITH {_LATEST} SELECT domain, count(q_equal) AS n, {', '.join(f'round(quantile_cont(q_equal, {p / 100}), 6) AS p{p}' for p in (5, 10, 50, 90, 95))} FROM s WHERE q_equal IS NOT NULL GROUP BY domain",
     "rank_map": f"WITH {parts.RECORDS}, {_rank_knots()}, x AS (" + " UNION ALL ".join(f"SELECT row_key, '{c}' AS field, {c} AS v FROM r WHERE {c} IS NOT NULL" for c in scoring.DSIR) + f") SELECT row_key, x.field, round({_PERCENTILE}, 5) AS percentile FROM x JOIN ends ON ends.field = x.field LEFT JOIN kn ON kn.field = x.field AND x.v >= kn.v AND (x.v < kn.v2 OR kn.v2 IS NULL)",
-    "scheme_comparison": f"""WITH {parts.UTILITIES}, {_INNER}, qs AS (SELECT row_key, coalesce(domain, '(none)') AS domain, round({_A22}, 12) AS a,
-round(({' + '.join(f'z_{f}' for f in _SINGLE)} + u_qurater_0 + u_qurater_1 + u_qurater_2 + u_qurater_3 + {_DS}) / 23, 12) AS b23,
-round(({' + '.join(f'z_{f}' for f in _SINGLE)} + {' + '.join(f'u_qurater_{i} * (SELECT w FROM iq WHERE f = {i})' for i in range(4))} + {_DS}) / 20, 12) AS b20 FROM z),
-lg AS (SELECT row_key, domain, a, 'B23_flat' AS scheme, b23 AS b FROM qs UNION ALL SELECT row_key, domain, a, 'B20_hierarchical', b20 FROM qs),
-rk AS ({_rank_sql('lg', 'scheme, domain', 'a', 'b', 'scheme, domain')}), tp AS (SELECT *, row_number() OVER (PARTITION BY scheme, domain ORDER BY a DESC, row_key) <= greatest(1, ceil(round(count(*) OVER (PARTITION BY scheme, domain) * 0.2::DOUBLE, 9))) AS ta,
-row_number() OVER (PARTITION BY scheme, domain ORDER BY b DESC, row_key) <= greatest(1, ceil(round(count(*) OVER (PARTITION BY scheme, domain) * 0.2::DOUBLE, 9))) AS tb FROM lg)
-SELECT rk.scheme, rk.domain, rk.n, round(any_value(rk.rho), 4) AS rho, round(sum((ta AND tb)::INT) / sum(ta::INT), 4) AS overlap, round(avg(b - a), 4) AS mean_difference FROM tp JOIN rk ON rk.scheme = tp.scheme AND rk.domain = tp.domain GROUP BY 1, 2, 3""",
     "extension_stability": f"""{_ALL}, e AS (SELECT domain, a1, round(q_primary, 9) AS x, q_primary AS q FROM sc WHERE domain IN ('arxiv', 'github') AND (a1 OR contains(membership, 'A2') OR contains(membership, 'A3'))),
 g AS (SELECT DISTINCT domain, x, sum(a1::INT) OVER (PARTITION BY domain ORDER BY x) AS ca, sum((NOT a1)::INT) OVER (PARTITION BY domain ORDER BY x) AS cb, sum(a1::INT) OVER (PARTITION BY domain) AS na, sum((NOT a1)::INT) OVER (PARTITION BY domain) AS nb FROM e),
 k AS (SELECT domain, na, nb, max(abs(ca / na::DOUBLE - cb / nb::DOUBLE)) AS ks FROM g GROUP BY 1, 2, 3), m AS (SELECT domain, avg(q) FILTER (WHERE NOT a1) - avg(q) FILTER (WHERE a1) AS s FROM e GROUP BY 1)
@@ -285,4 +254,4 @@ SELECT high_field, low_field, n::BIGINT AS n, count, round(count / n, 5) AS rate
     "correlation_matrix": f"""WITH {parts.UTILITIES}, l3 AS (SELECT row_key, unnest(range(22)) AS k, unnest([{', '.join(repr(f) for f in FIELDS)}]) AS f, unnest([{', '.join(Z)}]) AS v FROM z WHERE a1)
 SELECT a.f AS field_a, b.f AS field_b, round(CASE WHEN stddev_pop(a.v) > 1e-9 AND stddev_pop(b.v) > 1e-9 THEN covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) ELSE 0 END, 5) AS r FROM l3 a JOIN l3 b ON a.row_key = b.row_key AND a.k < b.k GROUP BY 1, 2""",
 }
-QUERIES = {f.__name__: f for f in (spearman_by_domain, top_fraction_overlap, ks_by_domain, score_quantiles, rank_map, scheme_comparison, extension_stability, group_redundancy, baseline_comparison, length_strata, conflict_pairs, conflict_pairs_datasets, bh_values, permutation_pairs, correlation_matrix, factor_analysis, critic_bootstrap, domain_intervals)}
+QUERIES = {f.__name__: f for f in (spearman_by_domain, top_fraction_overlap, ks_by_domain, score_quantiles, rank_map, extension_stability, group_redundancy, baseline_comparison, length_strata, conflict_pairs, conflict_pairs_datasets, bh_values, permutation_pairs, correlation_matrix, factor_analysis, critic_bootstrap, domain_intervals)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("quality", "experiments", "corpora", "mixtures", "streams", "refits")
+MODULES: tuple[str, ...] = ("quality", "experiments", "schemes", "corpora", "mixtures", "streams", "refits")
 FLAGSHIP = "domain_summary"
 
 
