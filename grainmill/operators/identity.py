@@ -65,3 +65,34 @@ def source_audit(df: DataFrame, invalid: Column) -> DataFrame:
         F.sum("rows").alias("records"), F.sum("bad").alias("records_with_issues"), F.sum(F.col("rows") - 1).alias("internal_duplicates"),
         F.sum((F.col("first_label") < F.col("source_label")).cast("long")).alias("seen_before"), F.count("*").alias("distinct_records"),
     )
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``left`` with the one row of ``right`` that has their keys, and a row that counts matched, ambiguous and missing ones.
+
+    Keys of several right rows are ambiguous, their left rows stay out, as do those without any; ``strict`` makes either an error. NULL keys match nothing.
+    """
+    tag = "_several"
+    per = right.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(tag), F.first(F.struct(*[c for c in right.columns if c not in keys])).alias("_row"))
+    j = left.join(per, keys, "left").withColumn(tag, F.coalesce(tag, F.lit(0)))
+    audit = j.agg(F.count("*").alias("rows"), F.count_if(F.col(tag) == 1).alias("matched"), F.count_if(F.col(tag) > 1).alias("ambiguous"), F.count_if(F.col(tag) == 0).alias("missing"))
+    if strict and (bad := audit.first()).matched < bad.rows:
+        raise ValueError(f"{bad.ambiguous} ambiguous and {bad.missing} missing rows")
+    return j.where(F.col(tag) == 1).select(*left.columns, "_row.*"), audit
+
+
+def content_conflicts(df: DataFrame, content_hash: str, strict: bool = False) -> DataFrame:
+    """uid, hashes: records whose rows carry several different non-empty contents. ``strict``: any of them is an error."""
+    h = F.when(F.col(content_hash) != "", F.col(content_hash))
+    bad = df.groupBy("uid").agg(F.min(h).alias("_a"), F.max(h).alias("_b")).where("_a <> _b").select("uid", F.array("_a", "_b").alias("hashes"))
+    if strict and (first := bad.first()):
+        raise ValueError(f"record {first.uid} has different contents")
+    return bad
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: distinct keys of either side only, and whether both sets are equal. NULLs equal NULLs."""
+    both = a.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    per = both.groupBy(*keys).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    n = per.agg(F.count_if(F.expr("_b = 0")).alias("only_left"), F.count_if(F.expr("_a = 0")).alias("only_right"))
+    return n.withColumn("equal", F.expr("only_left = 0 AND only_right = 0"))

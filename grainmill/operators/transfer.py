@@ -18,13 +18,6 @@ def profiles(df: DataFrame, domain: str, fields: list[str]) -> DataFrame:
     return df.groupBy(F.col(domain).alias("domain")).agg(F.count("*").alias("n"), *[x for f in fields for x in (F.avg(f).alias(f"{f}_mean"), F.stddev_pop(f).alias(f"{f}_sd"))])
 
 
-def profile_quantiles(df: DataFrame, domain: str, fields: list[str], unique: str) -> DataFrame:
-    """domain, field, p10, median, p90."""
-    long = df.unpivot([domain, unique], list(fields), "field", "x")
-    q = quantiles(long, [domain, "field"], "x", [0.1, 0.5, 0.9], unique)
-    return q.select(F.col(domain).alias("domain"), "field", *[F.col("q")[i].alias(n) for i, n in enumerate(("p10", "median", "p90"))])
-
-
 def distances(source: DataFrame, target: DataFrame, scales: dict[str, float], weights: dict[str, float] | None = None) -> DataFrame:
     """domain (of the target), quality_domain (of the source), parts and distance.
 
@@ -89,6 +82,14 @@ def calibration(df: DataFrame, group: list[str], rebuilt: str, official: str, lo
     return m.where(F.col("n") >= least).withColumn("slope", slope).select(*group, "n", "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"), F.lit(low).alias("low"), F.lit(high).alias("high"))
 
 
+def standardised(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds (value - mean) / population sd over all rows, 0 where the sd is at most 1e-10; NULL and NaN values are an error. One row of sums."""
+    s = df.agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), F.count_if(F.col(value).isNull() | F.isnan(value)).alias("bad")).first()
+    if s.bad:
+        raise ValueError(f"{s.bad} values of {value} are missing")
+    return df.withColumn(name, (F.col(value) - F.lit(s.m)) / F.lit(s.s) if (s.s or 0.0) > 1e-10 else F.lit(0.0))
+
+
 def bridge(recipes: DataFrame, known: DataFrame, scores: DataFrame, extension: DataFrame) -> DataFrame:
     """Per recipe: quality by mapped domains, and its bounds if unmapped domains were worst or best.
 

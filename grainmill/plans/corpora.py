@@ -58,18 +58,6 @@ def sample_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("source", "available", "selected", F.lit(PER_DOMAIN).alias("target"), (F.lit(PER_DOMAIN) - F.col("selected")).alias("shortfall"), F.when(F.col("selected") < PER_DOMAIN, "all").otherwise("hash").alias("mode"))
 
 
-def signal_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rebuilt text statistics of the A1 texts against the signals of their records: agreement per field."""
-    q = table(spark, sf_dir, "quality_reconstruction", "record_key", "corpus", "id", "_source_domain", "_source_path", "content").where("corpus = 'A1' AND content IS NOT NULL AND id IS NOT NULL")
-    q = q.select("record_key", "id", domain_of(F.col("_source_domain"), F.col("_source_path")).alias("domain"), "content")
-    rebuilt = text.add_statistics(q, "content")
-    percent = {c: (F.col(c) / 100 if "frac" in c or "ending" in c else F.col(c)) for c in text.STATISTICS}
-    off = parts.records(spark, sf_dir).where("a1").groupBy("domain", "id").agg(*[F.min(c).alias(f"o_{c}") for c in text.STATISTICS])
-    j = cut(rebuilt.select("record_key", "domain", "id", *[percent[c].alias(c) for c in text.STATISTICS]).join(off, ["domain", "id"]))
-    long = j.select("record_key", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"o_{c}").alias("official"), F.col(c).alias("rebuilt")) for c in text.STATISTICS])).alias("x")).select("record_key", "x.*")
-    return rounded(transfer.audit(cut(long), ["field"], "official", "rebuilt", "record_key"), 5)
-
-
 def proxy_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line from the equal-weight to the criterion-weight score per domain, as between a rebuilt and an official signal."""
     from grainmill.plans.experiments import _latest
@@ -182,4 +170,4 @@ p AS (SELECT recipe, source, target_share / sum(target_share) OVER (PARTITION BY
 SELECT recipe AS "index", round(sum(p * coalesce(q, 0)), 5) AS known_contribution, round(sum(CASE WHEN q IS NOT NULL THEN p ELSE 0 END), 5) AS mapped_mass, round(sum(p * coalesce(q, 0)) / nullif(sum(CASE WHEN q IS NOT NULL THEN p ELSE 0 END), 0), 5) AS on_mapped_mass,
 round(sum(p * coalesce(q, qm)), 5) AS filled, round(sum(p * coalesce(q_ext, q, qm)), 5) AS extension_filled, round(sum(p * coalesce(q, 0)), 5) AS lower, round(sum(p * coalesce(q, 0)) + 1 - sum(CASE WHEN q IS NOT NULL THEN p ELSE 0 END), 5) AS upper,
 round(sum(p * coalesce(low, 0)), 5) AS lower_ci, round(sum(p * coalesce(high, 0)) + 1 - sum(CASE WHEN q IS NOT NULL THEN p ELSE 0 END), 5) AS upper_ci FROM j GROUP BY 1"""
-QUERIES = {f.__name__: f for f in (text_signals, text_light, text_coverage, stable_hash_sample, sample_coverage, signal_audit, proxy_calibration, domain_profiles, similarity_weights, similarity_sensitivity, completed_map, anchor_validation, quality_bridge)}
+QUERIES = {f.__name__: f for f in (text_signals, text_light, text_coverage, stable_hash_sample, sample_coverage, proxy_calibration, domain_profiles, similarity_weights, similarity_sensitivity, completed_map, anchor_validation, quality_bridge)}

@@ -28,8 +28,8 @@ _kept: dict[tuple, object] = {}
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make):
-    """What ``make`` gives, once a session for the files of q1 as they are: a changed file makes it anew."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/q1.parquet")
+    """What ``make`` gives, once a session for the tables of ``sf_dir`` as they are: a changed file or folder makes it anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files = tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)))
     key = (spark.sparkContext.applicationId, name, files)
