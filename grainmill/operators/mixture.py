@@ -6,7 +6,7 @@ compares recipes in pairs run on the executors for any number of recipes, the pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,25 @@ BLOCK = 1024  #: recipes of a block, about
 BINS = 4096  #: intervals that a quantile's bracket is cut into in one pass
 
 
+def validated_pairs(recipes: DataFrame, losses: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """(index, p, y) of the recipes (index, p array) and losses (index, y array): indexes unique on either side and the same on both, shares finite, not negative and
+    summing to 1 within the tolerance, losses finite and positive, arrays of one length. Errors name up to ten bad indexes. Shares come out summing to 1."""
+    ok_sum = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    broken = lambda a, low: F.coalesce(F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | low(x)), F.lit(True))
+    left = recipes.groupBy("index").agg(F.count("*").alias("_n"), F.first("p").alias("p"))
+    right = losses.groupBy("index").agg(F.count("*").alias("_m"), F.first("y").alias("y"))
+    j = cut(left.join(right, "index", "full").withColumn("_s", ok_sum("p")))
+    sizes = j.agg(F.max(F.size("p")).alias("p"), F.max(F.size("y")).alias("y")).first()
+    tests = {
+        "NULL index": F.col("index").isNull(), "repeated index": (F.col("_n") > 1) | (F.col("_m") > 1), "index of one side only": F.col("_n").isNull() | F.col("_m").isNull(),
+        "invalid shares": broken("p", lambda x: x < 0) | (F.size("p") != sizes.p), "sums of shares": ~F.coalesce(F.abs(F.col("_s") - 1) <= tolerance, F.lit(False)), "invalid losses": broken("y", lambda x: x <= 0) | (F.size("y") != sizes.y),
+    }
+    for what, bad in tests.items():
+        if found := j.where(bad).orderBy("index").limit(10).collect():
+            raise ValueError(f"{what}: {[r['index'] for r in found]}")
+    return j.select("index", F.transform("p", lambda x: x / F.col("_s")).alias("p"), "y")
+
+
 def validate_pair(p: np.ndarray, y: np.ndarray, tolerance: float = 0.005) -> None:
     """Shares finite, non-negative and summing to 1 within the tolerance; losses finite and positive. Errors name the first bad rows."""
     bad = {"shares": ~np.isfinite(p).all(1) | (p < 0).any(1), "losses": ~np.isfinite(y).all(1) | (y <= 0).any(1), "sums": np.abs(p.sum(1) - 1) > tolerance}
@@ -91,6 +110,31 @@ class Ridge:
         return expand(p, self.quadratic) / self.scale @ self.beta
 
 
+def ridge_from_sums(gram_: np.ndarray, cross: np.ndarray, n: float, d: int, lam: float, ratio: float = 1.0, quadratic: bool = False) -> Ridge:
+    """The ridge of ``Ridge`` from sums of feature products and of features with outputs alone, so for any number of recipes."""
+    out = Ridge.__new__(Ridge)
+    out.quadratic = quadratic
+    out.scale = np.sqrt(np.diag(gram_) / max(n, 1))
+    out.scale[out.scale < 1e-12] = 1
+    pen = np.where(np.arange(len(gram_)) < d, 1.0, ratio)
+    out.beta = solve(gram_ / np.outer(out.scale, out.scale) + lam * n * np.diag(pen), cross / out.scale[:, None])
+    return out
+
+
+def fit_distributed(df: DataFrame, d: int, lam: float, ratio: float, quadratic: bool) -> Ridge:
+    """Ridge on recipes (p array, y array) of any number: one pass of partial sums."""
+    x = features(F.col("p"), d) if quadratic else F.col("p")
+    rows = gram(df.select(x.alias("x"), "y"), "x", "y").collect()  # features^2 numbers
+    k = max((r.i for r in rows), default=-1) + 1
+    g, c = np.zeros((k, k)), np.zeros((k, max((-r.j for r in rows), default=0)))
+    for r in rows:
+        if r.j >= 0:
+            g[r.i, r.j] = r.s
+        else:
+            c[r.i, -1 - r.j] = r.s
+    return ridge_from_sums(g, c, df.count(), d, lam, ratio, quadratic)
+
+
 def anchor_prior(q: np.ndarray, known: np.ndarray, strength: float) -> np.ndarray:
     """Penalty on what linear coefficients of known domains have beyond a line in quality; needs three differing anchors."""
     if known.sum() < 3 or np.std(q[known]) < 1e-12:
@@ -182,6 +226,102 @@ def cross_validate(spark, p: np.ndarray, y: np.ndarray, threshold: float = 0.01,
     return scored.withColumn("best", F.row_number().over(Window.partitionBy("family").orderBy("cv_mse", "k")) == 1).drop("k")
 
 
+# Models whose geometry or prior takes the domains' quality. The grid of their parameters.
+VARIANT_GRID = {"gamma": (0.25, 1.0), "lam": (1e-4, 1e-2), "alpha": (0.0, 0.5, 1.5), "ridge_lam": (1e-4, 1e-2), "ratio": (10.0, 100.0), "prior": (0.0, 1e-6, 1e-4, 1e-2)}
+VARIANTS = ("M1-RBF", "M2-RBF", "M3-RBF", "M123-RBF", "M1-Scheffe", "M3prior-Scheffe")
+
+
+def geometry(variant: str, p: np.ndarray, q: np.ndarray, alpha: float) -> np.ndarray:
+    """What the kernel compares: the shares alone (M1), with their mean quality (M2), with quality by domain (M3), or with both (M123)."""
+    extra = {"M1": [], "M2": [(p @ q)[:, None]], "M3": [p * q], "M123": [p * q, (p @ q)[:, None]]}
+    kind = variant.split("-")[0]
+    if kind not in extra or q.shape != (p.shape[1],):
+        raise ValueError(f"no geometry {variant} with {q.shape} qualities")
+    return np.hstack([p, *(alpha * x for x in extra[kind])])
+
+
+def parameters(variant: str, grid: dict = VARIANT_GRID) -> list[dict]:
+    if variant.endswith("Scheffe"):
+        return [{"lam": a, "ratio": r, "prior": s} for a in grid["ridge_lam"] for r in grid["ratio"] for s in (grid["prior"] if "prior" in variant else (0.0,))]
+    return [{"alpha": a, "gamma": g, "lam": x} for a in ((0.0,) if variant.startswith("M1-") else grid["alpha"]) for g in grid["gamma"] for x in grid["lam"]]
+
+
+class Variant:
+    """One of VARIANTS, fitted; ``known``: the domains whose quality the prior may use."""
+
+    def __init__(self, variant: str, p: np.ndarray, y: np.ndarray, q: np.ndarray, known: np.ndarray, params: dict):
+        self.variant, self.q, self.params = variant, q, params
+        if variant.endswith("Scheffe"):
+            extra = anchor_prior(q, known, params["prior"]) if params["prior"] else None
+            self.model = Ridge(p, y, params["lam"], params["ratio"], True, extra)
+        else:
+            self.model = Kernel(geometry(variant, p, q, params["alpha"]), y, params["gamma"], params["lam"])
+
+    def predict(self, p: np.ndarray) -> np.ndarray:
+        return self.model.predict(p if self.variant.endswith("Scheffe") else geometry(self.variant, p, self.q, self.params["alpha"]))
+
+
+def centred_ridge(p: np.ndarray, y: np.ndarray, lam: float, ratio: float = 1.0, quadratic: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ridge around the outputs' means, products penalised through their scale: (scale, coefficients, means)."""
+    x = expand(p, quadratic)
+    scale = np.sqrt((x * x).mean(0))
+    scale[scale < 1e-12] = 1
+    scale[p.shape[1] :] *= np.sqrt(ratio)
+    xs, mean = x / scale, y.mean(0)
+    return scale, solve(xs.T @ xs + lam * len(x) * np.eye(x.shape[1]), xs.T @ (y - mean)), mean
+
+
+def in_parallel(spark, shared_value, count: int, work: Callable[[object, int], list[float]], width: int) -> np.ndarray:
+    """Rows ``work(value, i)`` for i below ``count``, computed on the executors, which get the value by broadcast. For bounded numeric tasks."""
+    shared = spark.sparkContext.broadcast(shared_value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([list(map(float, work(shared.value, i))) for i in ids], pa.list_(pa.float64()))], ["i", "v"])
+
+    got = spark.range(count).repartition(count, "id").mapInArrow(run, "i bigint, v array<double>").collect()
+    out = np.full((count, width), np.nan)
+    for r in got:
+        out[r.i] = r.v
+    return out
+
+
+def rank_correlation(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Spearman with mean ranks for ties; None where one is constant."""
+    def rank(v):
+        order = np.argsort(v, kind="stable")
+        _, first, inverse, n = np.unique(v[order], return_index=True, return_inverse=True, return_counts=True)
+        out = np.empty(len(v))
+        out[order] = (first + (n - 1) / 2)[inverse]
+        return out
+
+    x, y = rank(np.asarray(a, float)), rank(np.asarray(b, float))
+    return float(np.corrcoef(x, y)[0, 1]) if x.std() > 1e-12 and y.std() > 1e-12 else None
+
+
+def measures(actual: np.ndarray, predicted: np.ndarray) -> dict:
+    """Errors over all outputs and of the mean loss, rank correlations, overlaps of the best k and the regret of picking them."""
+    error, ma, mp = actual - predicted, actual.mean(1), predicted.mean(1)
+    spread, macro_spread = ((actual - actual.mean(0)) ** 2).sum(), ((ma - ma.mean()) ** 2).sum()
+    rhos = [r for j in range(actual.shape[1]) if (r := rank_correlation(actual[:, j], predicted[:, j])) is not None]
+    out = {"n": len(ma), "rmse": np.sqrt((error**2).mean()), "mae": np.abs(error).mean(), "r2": 1 - (error**2).sum() / spread if spread else None, "macro_rmse": np.sqrt(((ma - mp) ** 2).mean())}
+    out |= {"macro_mae": np.abs(ma - mp).mean(), "macro_r2": 1 - ((ma - mp) ** 2).sum() / macro_spread if macro_spread else None, "macro_spearman": rank_correlation(ma, mp), "mean_output_spearman": np.mean(rhos) if rhos else None}
+    best, picked = np.argsort(ma, kind="stable"), np.argsort(mp, kind="stable")
+    for k in (1, 5, 10):
+        m = min(k, len(ma))
+        out |= {f"top{k}_overlap": len(set(picked[:m]) & set(best[:m])) / m, f"regret_at_{k}": ma[picked[:m]].min() - ma.min()}
+    out |= {"oracle_rank": int(np.flatnonzero(picked == best[0])[0]) + 1, "best_rank_of_ten": int(min(np.flatnonzero(np.isin(best, picked[:10])))) + 1}
+    return {k: v if v is None or isinstance(v, int) else float(v) for k, v in out.items()}
+
+
+def paired_interval(base: np.ndarray, other: np.ndarray, rng: np.random.Generator, repeats: int) -> tuple[float, float, float]:
+    """Gain in root mean squared error of ``other`` over ``base``, both errors of the same recipes, and its interval over resampled recipes."""
+    at = rng.integers(0, len(base), (repeats, len(base)))
+    low, high = np.quantile(np.sqrt(base[at].mean(1)) - np.sqrt(other[at].mean(1)), [0.025, 0.975])
+    return float(np.sqrt(base.mean()) - np.sqrt(other.mean())), float(low), float(high)
+
+
 def linear_prediction(x: Column, beta: list[float]) -> Column:
     """Dot product of an array column with literal coefficients."""
     return sum((F.get(x, F.lit(i)) * float(b) for i, b in enumerate(beta)), F.lit(0.0))
@@ -207,19 +347,24 @@ def _square(b: pa.RecordBatch, i: int) -> tuple[bool, np.ndarray, np.ndarray, np
     return b.column("block_a")[i].as_py() == b.column("block_b")[i].as_py(), ka, fa.reshape(len(ka), -1), kb, fb.reshape(len(kb), -1)
 
 
-def nearest(queries: DataFrame, train: DataFrame) -> DataFrame:
-    """index, nearest, l1, exact for recipes (index, p array): each square of blocks gives its least distances, of which the least counts."""
+def nearest(queries: DataFrame, train: DataFrame, other: bool = False) -> DataFrame:
+    """index, nearest, l1, exact for recipes (index, p array): each square of blocks gives its least distances, of which the least counts.
+
+    ``other``: a recipe isn't compared with the one of its own index.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 _, ka, at, kb, m = _square(b, i)
                 d = np.round(np.array([np.abs(m - x).sum(1) for x in at]), 12)  # equal distances tie towards the least index
+                if other:
+                    d[ka[:, None] == kb[None, :]] = np.inf
                 k = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([pa.array(ka), pa.array(kb[k]), pa.array(d[np.arange(len(at)), k])], ["index", "nearest", "l1"])
 
     found = squares(blocks(queries.select("index", "p")), blocks(train.select("index", "p"))).mapInArrow(run, "index bigint, nearest bigint, l1 double")
-    best = found.groupBy("index").agg(F.min(F.struct("l1", "nearest")).alias("r"))
+    best = found.where("l1 < double('infinity')").groupBy("index").agg(F.min(F.struct("l1", "nearest")).alias("r"))
     return best.select("index", "r.nearest", "r.l1", (F.col("r.l1") < 1e-12).alias("exact"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.operators import mixture
-from grainmill.operators.order import average_rank, pearson, quantiles, running
+from grainmill.operators.order import average_rank, pearson, quantiles
 from grainmill.plans.quality import rounded
 from grainmill.sources.shared import cut
 from grainmill.sources.tables import table
@@ -117,37 +117,6 @@ def replacement_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(e.groupBy("from_domain", "to_domain").agg(F.count("*").alias("n"), F.avg("effect").alias("mean_change"), F.avg("inside").alias("inside_share")))
 
 
-def combination_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Midpoint against the mean of the ends, for the pairs of neighbours in order of the index alone; all pairs are in the two queries below."""
-    r, names = recipes(spark, sf_dir)
-    d = len(names)
-    at = cut(running(r.select("index", "p"), [], [F.col("index")], name="_r"))  # each recipe is paired with the next
-    pairs = at.join(at.select((F.col("_r") - 1).alias("_r"), F.col("index").alias("other"), F.col("p").alias("q")), "_r").drop("_r")
-    value = lambda c: mixture.linear_prediction(mixture.features(c, d), list(BETA))
-    mid = F.zip_with("p", "q", lambda a, b: (a + b) / 2)
-    return rounded(pairs.select(F.col("index").alias("index_a"), F.col("other").alias("index_b"), (value(mid) - (value(F.col("p")) + value(F.col("q"))) / 2).alias("h")), 8)
-
-
-def _midpoint_gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """H of each recipe of ``p`` with each of ``q``: the prediction at the midpoint less the mean of those at the ends."""
-    beta = np.array(BETA)
-    ends = mixture.expand(q, True) @ beta
-    return np.array([mixture.expand((x + q) / 2, True) @ beta - (mixture.expand(x[None], True) @ beta + ends) / 2 for x in p])
-
-
-def combination_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, quantiles and range of H over all unordered pairs of recipes."""
-    s = mixture.pair_summary(mixture.blocks(recipes(spark, sf_dir)[0].select("index", "p")), _midpoint_gap, [0.1, 0.5, 0.9])
-    rows = [(s["pairs"], s["mean"], *s["q"], s["low"], s["high"])] if s else []
-    return rounded(spark.createDataFrame(rows, "n_pairs long, mean_h double, p10_h double, median_h double, p90_h double, min_h double, max_h double"), 8)
-
-
-def combination_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten lowest and the ten highest H of all unordered pairs of recipes."""
-    table = mixture.blocks(recipes(spark, sf_dir)[0].select("index", "p"))
-    return rounded(mixture.pair_extremes(table, _midpoint_gap, 10).withColumnRenamed("value", "h"), 8)
-
-
 def quality_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mass in known domains, mean quality, and the entropy of the shares, per recipe."""
     r, names = recipes(spark, sf_dir)
@@ -225,8 +194,7 @@ SELECT count(*) AS n, max("index") FILTER (WHERE kp = 1) AS selected, round(corr
     "replacement_effects": f"WITH {_R}, mx AS (SELECT {', '.join(f'max(p{i}) AS m{i}' for i in range(_D))} FROM rc), e AS (" + " UNION ALL ".join(
         f"SELECT {j} AS j, {i} AS i, ({_value([f'p{k} + {DELTA}' if k == i else f'p{k} - {DELTA}' if k == j else f'p{k}' for k in range(_D)])}) - ({_value(_P)}) AS e, (p{i} + {DELTA} <= m{i} + 1e-12)::INT AS o FROM rc, mx WHERE p{j} >= {DELTA}" for i in range(_D) for j in range(_D) if i != j
     ) + ") SELECT a.t AS from_domain, b.t AS to_domain, count(*) AS n, round(avg(e), 6) AS mean_change, round(avg(o), 6) AS inside_share FROM e JOIN ty a ON a.k = e.j JOIN ty b ON b.k = e.i GROUP BY 1, 2",
-    "combination_effects": f"WITH {_R}, n AS (SELECT *, lead(\"index\") OVER w AS other, {', '.join(f'lead(p{i}) OVER w AS q{i}' for i in range(_D))} FROM rc WINDOW w AS (ORDER BY \"index\")) SELECT \"index\" AS index_a, other AS index_b, round(({_value([f'(p{i} + q{i}) / 2' for i in range(_D)])}) - (({_value(_P)}) + ({_value([f'q{i}' for i in range(_D)])})) / 2, 8) + 0 AS h FROM n WHERE other IS NOT NULL",
     "quality_geometry": f"WITH {_R} SELECT \"index\", round({' + '.join(f'p{i} * {q}' for i, q in enumerate(QUALITY))}, 6) AS quality, round({' '.join(f'- p{i} * ln(greatest(p{i}, 1e-12))' for i in range(_D))}, 6) AS entropy, round(p0 + p1 + p2, 6) AS known_mass, round(p4 * {QUALITY[4]}, 6) AS tail FROM rc",
     "median_bandwidth": f"WITH {_R}, d AS (SELECT {' + '.join(f'power(a.p{i} - b.p{i}, 2)' for i in range(_D))} AS d FROM rc a JOIN rc b ON a.\"index\" < b.\"index\") SELECT count(*) AS pairs, round(quantile_cont(d, 0.5), 6) AS median, round(max(d), 6) AS largest FROM d",
 }
-QUERIES = {f.__name__: f for f in (pair_audit, domain_support, scheffe_features, gram_matrix, l1_nearest, extrapolation_ratios, near_duplicates, ranking_regret, replacement_effects, combination_effects, combination_summary, combination_extremes, quality_geometry, median_bandwidth, grid_cv, model_evaluation, paired_bootstrap)}
+QUERIES = {f.__name__: f for f in (pair_audit, domain_support, scheffe_features, gram_matrix, l1_nearest, extrapolation_ratios, near_duplicates, ranking_regret, replacement_effects, quality_geometry, median_bandwidth, grid_cv, model_evaluation, paired_bootstrap)}

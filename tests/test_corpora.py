@@ -131,9 +131,9 @@ def test_combinations_of_all_pairs(spark):
     f = lambda v: float(mixture.expand(v[None], True)[0] @ np.array(mixtures.BETA))
     h = {(index[i], index[j]): f((p[i] + p[j]) / 2) - (f(p[i]) + f(p[j])) / 2 for i in range(len(p)) for j in range(i + 1, len(p))}
     v = np.array(list(h.values()))
-    s = mixtures.combination_summary(spark, SF).first()
+    s = losses.combination_effects(spark, SF).first()
     assert s.n_pairs == len(p) * (len(p) - 1) // 2 and np.allclose(list(s)[1:], [v.mean(), *np.quantile(v, [0.1, 0.5, 0.9]), v.min(), v.max()], atol=1e-7)
-    got = mixtures.combination_extremes(spark, SF).collect()
+    got = losses.combination_extremes(spark, SF).collect()
     for end, want in (("lowest", np.sort(v)[:10]), ("highest", np.sort(v)[-10:])):
         rows = [r for r in got if r.end == end]
         assert np.allclose(sorted(r.h for r in rows), want, atol=1e-7) and all(abs(h[r.index_a, r.index_b] - r.h) < 1e-7 for r in rows)
