@@ -33,7 +33,7 @@ from grainmill.llm.common import read
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LEAF = 8192  #: characters of a leaf; texts up to this length are one leaf
+LEAF = 1024  #: characters of a leaf; texts up to this length are one leaf, longer ones are joined from several
 WINDOW = 64  #: characters of the first window; it doubles until the join is proven
 _REACH = 3  #: longest literal alternative of the pattern
 
