@@ -21,14 +21,15 @@ def register(name: str, scorer: Scorer, revision: str = "1") -> None:
     _registry[name] = (scorer, revision)
 
 
-def score_texts(df: DataFrame, key: str, text: str, name: str, cache: str, batch: int = 32) -> DataFrame:
-    """key, scores. NULL texts have NULL scores; equal texts are scored once. ``cache`` is a Parquet table that grows by the new texts."""
+def score_texts(df: DataFrame, key: str, text: str, name: str, cache: str, batch: int = 32, max_chars: int | None = None) -> DataFrame:
+    """key, scores. ``max_chars``: scorers that take no longer input get the text's first characters, which then are what is kept by. NULL texts have NULL scores; equal texts are scored once. ``cache`` is a Parquet table that grows by the new texts."""
     if name not in _registry:
         raise KeyError(f"no scorer named {name}")
     scorer, revision = _registry[name]
     spark = df.sparkSession
-    digest = F.sha2(F.concat_ws("|", F.lit(name), F.lit(revision), F.col(text)), 256)
-    rows = df.select(key, F.when(F.col(text).isNotNull(), digest).alias("h"), F.col(text).alias("t"))
+    given = F.substring(F.col(text), 1, max_chars) if max_chars else F.col(text)
+    digest = F.sha2(F.concat_ws("|", F.lit(name), F.lit(revision), given), 256)
+    rows = df.select(key, F.when(F.col(text).isNotNull(), digest).alias("h"), given.alias("t"))
     new = rows.where("h IS NOT NULL").groupBy("h").agg(F.min("t").alias("t"))
     try:
         new = new.join(spark.read.parquet(cache).select("h"), "h", "left_anti")

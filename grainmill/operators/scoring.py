@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.functions.signals import FIELDS, ORDINAL, QURATER
+from grainmill.functions.signals import FIELDS, QURATER
 from grainmill.operators.order import quantiles
 
 # Thresholds, the pairs of fields that may conflict, and the scenarios.
@@ -130,7 +130,7 @@ def diagnostics(z: list[Column], weights: np.ndarray, high: float = HIGH, low: f
 
 
 def scores(df: DataFrame, weights: np.ndarray, critic_weights: np.ndarray, keep: list[str], eta: float = ETA, primary: str = "Q_base") -> DataFrame:
-    """``keep`` and all score columns from the z_* columns and the alternative ordinals o_* (NULL where a rating has none). A projection."""
+    """``keep`` and all score columns from the z_* columns and the alternative ordinals o_*, where they are there (NULL where a rating has none). A projection."""
     if primary not in ("Q_base", "Q_rule"):
         raise ValueError("the primary score is Q_base or Q_rule")
     z = [F.col(f"z_{f}") for f in FIELDS]
@@ -138,7 +138,7 @@ def scores(df: DataFrame, weights: np.ndarray, critic_weights: np.ndarray, keep:
     pairs = edges(list(PAIRS), list(FIELDS))
     rule = lambda cols, w, e: dot(cols, w) - penalty(cols, pairs, interaction(w, pairs, e))
     weak = downweighted(weights)
-    ordinal = [F.coalesce(f"o_{f}", f"z_{f}") if f in ORDINAL else F.col(f"z_{f}") for f in FIELDS]
+    ordinal = [F.coalesce(f"o_{f}", f"z_{f}") if f"o_{f}" in df.columns else F.col(f"z_{f}") for f in FIELDS]
     base = dot(z, weights)
     out = {"q_base": base, "q_rule": rule(z, weights, eta), "penalty": penalty(z, pairs, interaction(weights, pairs, eta)), **diagnostics(z, weights)}
     out |= {"q_equal": dot(z, np.full(n, 1 / n)), "q_critic": dot(z, critic_weights), "q_huber": huber_center(F.array(*z), n)}

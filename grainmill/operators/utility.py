@@ -65,6 +65,20 @@ def validate(specs: dict[str, dict], qurater_weights: tuple[float, ...] = QURATE
         raise ValueError("four weights, none negative, must sum to 1")
 
 
+def validate_experiment(config: dict) -> None:
+    """Errors of a comparison of schemes: profiles, knots, shares and repeats out of range."""
+    if not config.get("profiles") or len(set(config["profiles"])) < len(config["profiles"]):
+        raise ValueError("profiles must be named, each once")
+    if config.get("knots", 2) < 2:
+        raise ValueError("a percentile map needs at least two knots")
+    if any(not 0 <= x <= 1 for x in (config.get("shrinkage", 1.0), *config.get("shrinkage_grid", ()))):
+        raise ValueError("shrinkage must be between 0 and 1")
+    if not 0 < config.get("fraction", 0.2) < 1:
+        raise ValueError("the selected fraction must lie between 0 and 1")
+    if not 0 <= config.get("repeats", 0) <= 1000:
+        raise ValueError("repeats must be between 0 and 1000")
+
+
 def balanced_weights(df: DataFrame, domain: str, name: str = "w") -> DataFrame:
     """Adds 1 / (number of domains * rows of the domain): every domain has the same total. NULL is a domain of its own."""
     sizes = df.groupBy(F.col(domain).alias("_d")).agg(F.count("*").alias("_n"))

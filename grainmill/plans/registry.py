@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("quality", "experiments", "schemes", "corpora", "bridge", "mixtures", "losses", "streams", "refits")
+MODULES: tuple[str, ...] = ("quality", "experiments", "schemes", "corpora", "bridge", "mixtures", "losses", "streams", "refits", "more")
 FLAGSHIP = "domain_summary"
 
 

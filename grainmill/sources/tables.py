@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import lzma
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.jsonl*") -> DataFrame:
+def labelled_files(spark: SparkSession, path: str, patterns: dict[str, str]) -> list[tuple[str, str]]:
+    """(label, file) in order of the labels and then of the files' names; a label without a file is an error."""
+    jvm = spark.sparkContext._jvm
+    out = []
+    for label, pattern in patterns.items():
+        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{pattern}")
+        found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+        names = sorted(str(f.getPath()) for f in found or [])
+        if not names:
+            raise FileNotFoundError(f"no file for {label}: {path}/{pattern}")
+        out += [(label, n) for n in names]
+    return out
+
+
+def read_labelled(spark: SparkSession, path: str, patterns: dict[str, str], schema: T.StructType) -> DataFrame:
+    """JSON lines of the labelled files, with ``source_label`` and ``source_order`` (place of the file in the order of all), ``file`` and ``line``."""
+    files = labelled_files(spark, path, patterns)
+    order = spark.createDataFrame([(label, i, name) for i, (label, name) in enumerate(files)], "source_label string, source_order int, _file string")
+    rows = read_jsonl(spark, [n for _, n in files], schema)
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")  # noqa: E731  file names come with and without their scheme
+    return rows.join(F.broadcast(order), plain(F.col("file")) == plain(F.col("_file"))).drop("_file")
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, pattern: str = "*.jsonl*") -> DataFrame:
     """JSON lines, xz-compressed or plain, with ``file`` and ``line`` (from 1), blank lines skipped.
 
-    Spark's JSON reader doesn't know xz, so files are read whole and decompressed in the executors, a file per task. A missing path or
+    Spark's JSON reader doesn't know xz, so a task gets a file's bytes and decompresses them line by line. A missing path or
     a line that isn't valid JSON is an error.
     """
     ship(spark)
@@ -37,10 +62,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, pattern: st
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for path, content in zip(b.path, b.content):
-            text = (lzma.decompress(content) if path.endswith(".xz") else content).decode("utf-8")
-            rows = [(path, i, x) for i, x in enumerate(text.split("\n"), 1) if x.strip()]
-            for at in range(0, len(rows), 20_000):
-                yield pd.DataFrame(rows[at : at + 20_000], columns=["file", "line", "raw"])
+            raw = lzma.open(io.BytesIO(content)) if path.endswith(".xz") else io.BytesIO(content)
+            numbered = ((path, i, x.decode("utf-8").removesuffix("\n")) for i, x in enumerate(raw, 1) if x.strip())
+            while rows := list(islice(numbered, 20_000)):
+                yield pd.DataFrame(rows, columns=["file", "line", "raw"])
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

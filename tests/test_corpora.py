@@ -123,7 +123,7 @@ def test_pairs_against_sql(spark, name):
 
 
 def test_combinations_of_all_pairs(spark):
-    from grainmill.plans import mixtures
+    from grainmill.plans import losses, mixtures
     from tests.conftest import SF
 
     p = np.array([r.p for r in mixtures.recipes(spark, SF)[0].orderBy("index").collect()])
@@ -183,3 +183,112 @@ def test_scorers_keep_results(spark, tmp_path):
         assert spark.read.parquet(cache).count() == 2
     with pytest.raises(KeyError):
         scorers.score_texts(df, "k", "t", "none", cache)
+
+
+def test_labelled_files_in_order(spark, tmp_path):
+    for name, rows in (("A2_x.jsonl", ['{"id": "c"}']), ("A1_b.jsonl.xz", ['{"id": "b"}', "", '{"id": "b2"}']), ("A1_a.jsonl", ['{"id": "a"}'])):
+        data = ("\n".join(rows) + "\n").encode()
+        (tmp_path / name).write_bytes(lzma.compress(data) if name.endswith("xz") else data)
+    schema = T.StructType([T.StructField("id", T.StringType())])
+    patterns = {"A1": "A1_*", "A2": "A2_*"}
+    got = [(r.source_label, r.source_order, r.line, r.id) for r in tables.read_labelled(spark, str(tmp_path), patterns, schema).orderBy("source_order", "line").collect()]
+    assert got == [("A1", 0, 1, "a"), ("A1", 1, 1, "b"), ("A1", 1, 3, "b2"), ("A2", 2, 1, "c")]
+    with pytest.raises(FileNotFoundError):
+        tables.labelled_files(spark, str(tmp_path), patterns | {"A3": "A3_*"})
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from grainmill import cli
+    from tests.conftest import SF
+
+    assert cli.main(["list"]) == [] and "quality:" in capsys.readouterr().out
+    assert cli.main(["mixtures", "--tables", SF, "--out", str(tmp_path), "--only", "pair_audit", "domain_support"], spark) == ["pair_audit", "domain_support"]
+    assert spark.read.csv(f"{tmp_path}/domain_support", header=True).count() == 5
+    assert all(r in registry.queries() for s in cli.STUDIES.values() for r in s)
+    for bad in (["quality"], ["mixtures", "--tables", "x", "--out", "y", "--only", "quality_scores"]):
+        with pytest.raises(SystemExit):
+            cli.main(bad, spark)
+
+
+def test_joins_and_key_sets(spark):
+    from grainmill.operators import identity
+    from grainmill.plans import schemes
+
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, None)], "k long, id string")
+    b = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("y", 3.0), (None, 4.0)], "id string, v double")
+    rows, audit = identity.join_unique(a, b, ["id"])
+    assert [(r.k, r.v) for r in rows.collect()] == [(1, 1.0)] and tuple(audit.first()) == (4, 1, 1, 2)
+    with pytest.raises(ValueError):
+        identity.join_unique(a, b, ["id"], strict=True)
+    assert tuple(identity.same_keys(a, b, ["id"]).first()) == (1, 0, False) and identity.same_keys(a, a, ["id"]).first().equal
+    c = spark.createDataFrame([("u", "h1"), ("u", "h2"), ("u", ""), ("v", "h1"), ("v", None)], "uid string, h string")
+    assert [r.uid for r in identity.content_conflicts(c, "h").collect()] == ["u"] and identity.content_conflicts(c.where("uid = 'v'"), "h", strict=True).count() == 0
+    with pytest.raises(ValueError):
+        identity.content_conflicts(c, "h", strict=True)
+    one = spark.createDataFrame([(1, 2.0), (2, 3.0)], "k long, v double")
+    assert schemes.merge_one_to_one(one, one.withColumnRenamed("v", "w"), "k").count() == 2
+    for bad in (one.limit(1), one.unionByName(one), one.withColumn("k", F.lit(None).cast("long"))):
+        with pytest.raises(ValueError):
+            schemes.merge_one_to_one(one, bad.withColumnRenamed("v", "w"), "k")
+    assert [r.z for r in transfer.standardised(one, "v", "z").orderBy("k").collect()] == [-1.0, 1.0] and transfer.standardised(one.limit(1), "v", "z").first().z == 0
+    with pytest.raises(ValueError):
+        transfer.standardised(one.withColumn("v", F.lit(None).cast("double")), "v", "z")
+
+
+def test_validated_pairs(spark):
+    p = spark.createDataFrame([(1, [0.5, 0.501]), (2, [1.0, 0.0])], "index long, p array<double>")
+    y = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "index long, y array<double>")
+    got = {r["index"]: r.p for r in mixture.validated_pairs(p, y).collect()}
+    assert sum(got[1]) == pytest.approx(1) and got[2] == [1.0, 0.0]
+    new = lambda rows, s: spark.createDataFrame(rows, s)
+    for bad_p, bad_y in (
+        (p.unionByName(p.limit(1)), y), (p.limit(1), y), (new([(1, [0.5, 0.6]), (2, [1.0, 0.0])], p.schema), y), (new([(1, [-0.1, 1.1]), (2, [1.0, 0.0])], p.schema), y),
+        (p, new([(1, [0.0]), (2, [2.0])], y.schema)), (p, new([(1, [float("nan")]), (2, [2.0])], y.schema)), (new([(1, [1.0]), (2, [1.0, 0.0])], p.schema), y), (new([(1, None), (2, [1.0, 0.0])], p.schema), y),
+    ):
+        with pytest.raises(ValueError):
+            mixture.validated_pairs(bad_p, bad_y)
+
+
+def test_ridge_from_sums_is_the_ridge(spark):
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet(np.ones(3), 60)
+    y = np.column_stack([p @ [1.0, 2.0, 3.0] + p[:, 0] * p[:, 1], p @ [2.0, 1.0, 1.0]])
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(p, y)], "p array<double>, y array<double>").repartition(4)
+    m = mixture.fit_distributed(df, 3, 0.01, 10.0, True)
+    assert np.allclose(m.predict(p), mixture.Ridge(p, y, 0.01, 10.0, True).predict(p), atol=1e-8)
+
+
+def test_variants_and_measures():
+    rng = np.random.default_rng(2)
+    p, q, known = rng.dirichlet(np.ones(4), 50), np.array([1.0, -1.0, 0.5, 0.0]), np.array([1, 1, 1, 0], bool)
+    y = np.column_stack([p @ [1.0, 2.0, 3.0, 4.0], p @ [2.0, 1.0, 1.0, 1.0]])
+    for v in mixture.VARIANTS:
+        assert np.abs(mixture.Variant(v, p, y, q, known, mixture.parameters(v)[0]).predict(p) - y).mean() < 0.2
+    assert np.allclose(mixture.geometry("M3-RBF", p, q, 2.0)[:, 4:], 2 * p * q) and mixture.geometry("M123-RBF", p, q, 1.0).shape == (50, 9)
+    same = mixture.Variant("M3prior-Scheffe", p, y, q, known, {"lam": 0.01, "ratio": 10.0, "prior": 0.0})
+    assert np.allclose(same.predict(p), mixture.Ridge(p, y, 0.01, 10.0, True).predict(p), atol=1e-10)
+    m = mixture.measures(y, y)
+    assert m["rmse"] == 0 and m["r2"] == 1 and m["top5_overlap"] == 1 and m["regret_at_1"] == 0 and m["oracle_rank"] == m["best_rank_of_ten"] == 1 and m["macro_spearman"] == pytest.approx(1)
+    assert mixture.rank_correlation(np.ones(5), np.arange(5)) is None
+    gain, low, high = mixture.paired_interval(np.full(9, 4.0), np.full(9, 1.0), rng, 50)
+    assert gain == low == high == 1
+
+
+def test_bootstraps(spark):
+    from grainmill.operators import resample
+
+    c = resample.draws(np.arange(20_000), 5, 1)
+    assert abs(c.mean() - 1) < 0.02 and abs(c.var() - 1) < 0.04 and abs(np.corrcoef(c.T)[0, 1]) < 0.03
+    rng = np.random.default_rng(3)
+    x = rng.normal(5, 2, 2000)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)] + [("b", 9000, 1.0), ("b", 9001, None)], "g string, k long, x double")
+    got = {r.g: r for r in resample.mean_intervals(df.repartition(5), ["g"], "x", "k", 200, 7).collect()}
+    assert got["a"].mean == pytest.approx(x.mean()) and got["a"].low < x.mean() < got["a"].high and (got["a"].high - got["a"].low) == pytest.approx(3.92 * 2 / np.sqrt(2000), rel=0.25)
+    assert got["b"].n == 1 and got["b"].low == got["b"].high == 1
+    again = {r.g: r for r in resample.mean_intervals(df.repartition(2), ["g"], "x", "k", 200, 7).collect()}
+    assert again["a"].low == pytest.approx(got["a"].low) and resample.mean_intervals(df.limit(0), ["g"], "x", "k", 10, 1).count() == 0
+    w = df.where("x IS NOT NULL").withColumn("w", F.lit(1.0)).withColumn("y", F.col("x") * 2)
+    total, sums, gram = resample.stratified_moments(w, ["x", "y"], "g", "w", "k", 30, 5)
+    assert np.allclose(total, 2001) and np.allclose(sums[:, 1], 2 * sums[:, 0]) and np.allclose(gram[:, 0, 1], 2 * gram[:, 0, 0])  # strata keep their size
+    m = resample.group_moments(df, "g", ["x"], "k", 20, 5)
+    assert m["a"][0] == pytest.approx([2000, x.sum(), (x * x).sum()]) and m["a"].shape == (21, 3)

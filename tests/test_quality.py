@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.functions.signals import ATOMIC, FIELDS, LENGTHS, decode
-from grainmill.operators import conflict, identity, scoring, utility
+from grainmill.operators import brackets, conflict, identity, scoring, utility
 from grainmill.plans import parts, registry
 from tests.conftest import SF
 from tests.oracle import check
@@ -76,6 +76,61 @@ def test_identity(spark):
     assert got == {"u": (5, "A1;A3"), "v": (1, "A2")}
 
 
+def test_relevance_argmax_and_huber(spark):
+    """Scenario scores of two records by plain arithmetic: the relevance score has its own weights in the pair penalties, too."""
+    rng = np.random.default_rng(4)
+    z = rng.random((2, 22))
+    rows = [(i, *map(float, z[i]), None if i else 0.4) for i in range(2)]
+    df = spark.createDataFrame(rows, "k int, " + ", ".join(f"z_{f} double" for f in FIELDS) + ", o_modernbert_reasoning double")
+    w = np.full(22, 1 / 22)
+    got = {r.k: r for r in scoring.scores(df, w, w, ["k"]).collect()}
+    at = {f: i for i, f in enumerate(FIELDS)}
+
+    def rule(v, w):
+        degree = {f: sum(f in p for p in scoring.PAIRS) for p in scoring.PAIRS for f in p}
+        return v @ w - sum(0.25 * min(w[at[a]] / degree[a], w[at[b]] / degree[b]) * abs(v[at[a]] - v[at[b]]) for a, b in scoring.PAIRS)
+
+    weak = np.array([x * (0.25 if f in scoring.DOWNWEIGHTED else 1) for f, x in zip(FIELDS, w)])
+    weak /= weak.sum()
+    for i in range(2):
+        alt = z[i].copy()
+        if i == 0:
+            alt[at["modernbert_reasoning"]] = 0.4
+        assert got[i].q_relevance_downweighted == pytest.approx(rule(z[i], weak)) and got[i].q_argmax == pytest.approx(rule(alt, w)) and got[i].q_rule == pytest.approx(rule(z[i], w))
+        m = np.median(z[i])
+        for _ in range(30):
+            u = np.minimum(1, 0.15 / np.maximum(np.abs(z[i] - m), 1e-12))
+            m = (u * z[i]).sum() / u.sum()
+        assert got[i].q_huber == pytest.approx(m)
+
+
+def test_bisected_quantiles_by_brute_force(spark):
+    """Ties across groups of different weights, NULLs, a group without values, a constant column."""
+    rng = np.random.default_rng(5)
+    rows = [(int(g), i, [0.1, 0.02, 0.3][g], float(rng.integers(0, 6)) if rng.random() < 0.8 else None, 4.0, float(rng.lognormal(0, 3))) for i, g in enumerate(rng.integers(0, 3, 500))] + [(3, 900, 1.0, None, None, None)]
+    df = spark.createDataFrame(rows, "g int, k long, w double, a double, b double, c double").repartition(5)
+    probs = (0.01, 0.05, 0.5, 0.95, 1.0)
+    wanted = [(g, c, p) for g in (-1, 0, 1, 2, 3) for c in range(3) for p in probs]
+    got = brackets.search(df, ["a", "b", "c"], wanted)
+    for g, c, p in wanted:
+        mine = sorted((r[3 + c], r[1], r[2] if g < 0 else 1.0) for r in rows if r[3 + c] is not None and g in (-1, r[0]))
+        if not mine:
+            assert (g, c, p) not in got
+            continue
+        w = np.array([m[2] for m in mine])
+        want = np.interp(p * w.sum(), np.cumsum(w) - w / 2, [m[0] for m in mine])
+        assert got[g, c, p].value() == pytest.approx(want, abs=1e-9), (g, c, p)
+    assert brackets.search(df.limit(0), ["a", "b", "c"], wanted) == {}
+
+
+def test_fitted_is_saved_and_loaded(spark, tmp_path):
+    rows, fitted = parts.fitted_records(spark, SF)
+    utility.save(fitted, spark, f"{tmp_path}/fit")
+    assert utility.load(spark, f"{tmp_path}/fit") == fitted
+    with pytest.raises(Exception):
+        utility.save(fitted, spark, f"{tmp_path}/fit")
+
+
 def test_factor_rotation():
     load = np.array([[0.8, 0.1], [0.7, 0.0], [0.1, 0.9], [0.0, 0.6]])
     turned = conflict.varimax(load)
