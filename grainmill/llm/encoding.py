@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,8 +152,19 @@ def _cut(codec: Codec, parts: list[list[int]], size: int, front: bool) -> list[l
 
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
-    """One codec per worker process and file."""
-    return Codec(path)
+    """One codec per worker process and file; where the node lacks the file, the copy that the driver sent."""
+    return Codec(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+_sent: set[tuple[str, str]] = set()
+
+
+def send(spark: SparkSession, path: str) -> None:
+    """Makes the driver's rank file (a few MB) available to all executors, once per application."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _sent:
+        spark.sparkContext.addFile(path)
+        _sent.add(key)
 
 
 def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -164,6 +176,7 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = DEFAULT_
             ids = pa.array([c.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], ["k", "ids"])
 
+    send(df.sparkSession, vocabulary)
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
@@ -178,6 +191,7 @@ def count_tokens(df: DataFrame, text: str, out: str = "n_tokens", vocabulary: st
             n = pa.array([len(c.encode(t)) for t in b.column(len(kept)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), n], [*kept, out])
 
+    send(df.sparkSession, vocabulary)
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"{out} bigint"])
     return df.select(*[F.col(f"`{c}`") for c in kept], F.col(text)).mapInArrow(run, schema)
 
@@ -190,6 +204,7 @@ def decode_column(df: DataFrame, key: str, ids: str, vocabulary: str = DEFAULT_V
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["k", "text"])
 
+    send(df.sparkSession, vocabulary)
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("k"), F.col(ids).alias("i")).mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)
 
@@ -211,6 +226,7 @@ def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             same = [c.decode(i) == (t or "") for i, t in zip(ids, texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, ids), pa.int64()), pa.array(same)], ["doc_id", "n_tokens", "same"])
 
+    send(spark, DEFAULT_VOCABULARY)
     return documents.mapInArrow(run, schema)
 
 
