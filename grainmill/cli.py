@@ -23,7 +23,7 @@ STUDIES: dict[str, tuple[str, ...]] = {
     "baseline": ("equal_baseline", "baseline_comparison"),
     "mixtures": ("pair_audit", "mixture_pairs", "domain_support", "pair_support", "grid_cv", "model_evaluation", "ranking_regret", "fitted_replacement", "fitted_combination", "combination_extremes", "extrapolation_ratios", "extrapolation_errors", "quality_bridge", "text_coverage"),
     "signals": ("sample_coverage", "signal_join_audit", "signal_audit", "signal_audit_by_domain", "accepted_signals", "profile_missingness", "text_signals"),
-    "transfer": ("domain_profiles", "similarity_weights", "similarity_sensitivity", "completed_map", "anchor_validation", "lodo_transfer", "proxy_calibration"),
+    "transfer": ("domain_profiles", "similarity_weights", "similarity_sensitivity", "completed_map", "anchor_validation", "lodo_transfer", "transfer_gate", "proxy_calibration"),
     "bridge": ("bridge_profiles", "bridge_weights", "bridge_sensitivity", "bridge_anchors", "bridge_gate", "bridge_domains", "direct_lodo", "direct_gate", "direct_domain_stats", "quality_routes"),
     "losses": ("variant_cv", "variant_metrics", "variant_output_metrics", "ranking_stability", "gain_intervals", "gain_decision", "placebo_quality", "alternative_refits", "recipe_coverage"),
     "design": ("design_audit", "centred_benchmark", "near_duplicates", "median_bandwidth"),

@@ -46,9 +46,31 @@ def _attach(df: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:
 
 
 def average_rank(df: DataFrame, group: list[str], value: str, unique: str, name: str = "rank") -> DataFrame:
-    """Rank from 1 by ascending ``value``, ties sharing their mean; NULL values take no part and are dropped.
+    """Rank from 1 by ascending ``value``, ties sharing their mean; NULL values take no part and are dropped."""
+    p = positions(df, group, value, unique)
+    return p.withColumn(name, tied_rank()).drop(*POSITIONS)
 
-    Rows of one value may fill any number of partitions: each counts its own, and what is joined is one row per partition for values at its borders.
+
+#: Columns that ``positions`` adds.
+POSITIONS = ("_row", "_start", "_all", "_size")
+
+
+def tied_rank() -> Column:
+    """Mean rank of the row's ties, from the columns of ``positions``."""
+    return F.col("_start") + (F.col("_all") - 1) / F.lit(2.0)
+
+
+def in_top(fraction: float) -> Column:
+    """Whether the row is among the ceil(n * fraction), at least one, largest; of ties the first by the unique column. From the columns of ``positions``."""
+    larger = F.col("_size") - F.col("_start") - F.col("_all") + 1
+    return larger + F.col("_row") - F.col("_start") + 1 <= F.greatest(F.lit(1), F.ceil(F.round(F.col("_size") * fraction, 9)))
+
+
+def positions(df: DataFrame, group: list[str], value: str, unique: str) -> DataFrame:
+    """Adds _row, the number from 1 by (value, unique) in the group, _start and _all, the first number and the size of the row's ties, and _size of the group.
+
+    NULL values are dropped. Rows of one value may fill any number of partitions: each counts its own, and what is joined is one row per partition for
+    values at its borders.
     """
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(g) for g in group]
@@ -56,12 +78,12 @@ def average_rank(df: DataFrame, group: list[str], value: str, unique: str, name:
     inside = Window.partitionBy("_p", *group)
     same = Window.partitionBy("_p", *group, value)
     ranked = placed.withColumn("_i", F.row_number().over(inside.orderBy(value, unique))).withColumn("_first", F.min("_i").over(same)).withColumn("_ties", F.count("*").over(same)).withColumn("_rows", F.count("*").over(inside))
-    local = cut(ranked.drop("_i").withColumn("_edge", (F.col("_first") == 1) | (F.col("_first") + F.col("_ties") > F.col("_rows"))))
+    local = cut(ranked.withColumn("_edge", (F.col("_first") == 1) | (F.col("_first") + F.col("_ties") > F.col("_rows"))))
     k = [f"_k{i}" for i in range(len(group))]
     named = [F.col(g).alias(x) for g, x in zip(group, k)]
     totals = local.groupBy(*named, F.col("_p").alias("_q")).agg(F.max("_rows").alias("_t"))
-    before = Window.partitionBy(*k).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = totals.select(*k, "_q", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+    whole = Window.partitionBy(*k)  # one row per partition
+    offsets = cut(totals.select(*k, "_q", F.coalesce(F.sum("_t").over(whole.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("_t").over(whole).alias("_size")))
     here = F.col("_p") == F.col("_q")
     for g, x in zip(group, k):
         here = here & F.col(g).eqNullSafe(F.col(x))
@@ -69,13 +91,13 @@ def average_rank(df: DataFrame, group: list[str], value: str, unique: str, name:
     # a border value may go on in other partitions
     ends = local.where("_edge").groupBy(*named, F.col(value).alias("_v"), F.col("_p").alias("_q")).agg(F.max("_first").alias("_f"), F.max("_ties").alias("_n"))
     on = [x.eqNullSafe(y) for x, y in zip([ends[c] for c in (*k, "_q")], [offsets[c] for c in (*k, "_q")])]
-    joint = ends.join(offsets, reduce(and_, on)).groupBy(*[ends[c] for c in k], "_v").agg(F.min(F.col("_o") + F.col("_f")).alias("_start"), F.sum("_n").alias("_all"))
+    joint = cut(ends.join(offsets, reduce(and_, on)).groupBy(*[ends[c] for c in k], "_v").agg(F.min(F.col("_o") + F.col("_f")).alias("_s"), F.sum("_n").alias("_m")))
     tied = F.col("_edge") & (F.col(value) == F.col("_v"))
     for g, x in zip(group, k):
         tied = tied & F.col(g).eqNullSafe(F.col(x))
     out = with_offset.join(F.broadcast(joint) if not group else joint, tied, "left")  # without groups, at most two values per partition
-    rank = F.coalesce("_start", F.col("_o") + F.col("_first")) + (F.coalesce("_all", "_ties") - 1) / F.lit(2.0)
-    return out.withColumn(name, rank).drop("_p", "_first", "_ties", "_rows", "_edge", "_o", "_v", "_start", "_all", *k)
+    out = out.withColumn("_row", F.col("_o") + F.col("_i")).withColumn("_start", F.coalesce("_s", F.col("_o") + F.col("_first"))).withColumn("_all", F.coalesce("_m", "_ties"))
+    return out.drop("_p", "_i", "_first", "_ties", "_rows", "_edge", "_o", "_v", "_s", "_m", *k)
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float], unique: str) -> DataFrame:

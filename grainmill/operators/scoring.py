@@ -106,17 +106,24 @@ def penalty(columns: list[Column], pairs: list[tuple[int, int]], theta: np.ndarr
     return sum((float(t) * F.abs(columns[a] - columns[b]) for (a, b), t in zip(pairs, theta)), F.lit(0.0))
 
 
-def huber_center(z: Column, n: int, delta: float = HUBER, steps: int = 30) -> Column:
-    """Huber location of an array of n numbers: reweighted means from the median, a fixed number of steps."""
-    s = F.array_sort(z)
-    median = (F.element_at(s, (n + 1) // 2) + F.element_at(s, n // 2 + 1)) / 2
+def with_huber(df: DataFrame, columns: list[str], name: str, delta: float = HUBER, steps: int = 30) -> DataFrame:
+    """``df`` without ``columns``, with their Huber location: reweighted means from the median, a fixed number of steps, as arithmetic on whole batches.
 
-    def step(m: Column, _: Column) -> Column:
-        w = lambda v: F.least(F.lit(1.0), F.lit(delta) / F.greatest(F.abs(v - m), F.lit(1e-12)))
-        acc = F.aggregate(z, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda t, v: F.struct((t["a"] + w(v) * v).alias("a"), (t["b"] + w(v)).alias("b")))
-        return acc["a"] / acc["b"]
+    Nested array functions would do the same in the JVM, but they are interpreted, a value at a time.
+    """
+    kept, k = [c for c in df.columns if c not in columns], len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = np.column_stack([b.column(len(kept) + i).to_numpy(zero_copy_only=False) for i in range(k)]) if b.num_rows else np.zeros((0, k))
+            m = np.median(z, axis=1, keepdims=True)
+            for _ in range(steps):
+                w = np.minimum(1.0, delta / np.maximum(np.abs(z - m), 1e-12))
+                m = (w * z).sum(1, keepdims=True) / w.sum(1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), pa.array(m[:, 0])], [*kept, name])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), median, step)
+    schema = ", ".join([*(f"`{x}` {df.schema[x].dataType.simpleString()}" for x in kept), f"`{name}` double"])
+    return df.select(*[F.col(f"`{x}`") for x in kept], *columns).mapInArrow(run, schema)
 
 
 def diagnostics(z: list[Column], weights: np.ndarray, high: float = HIGH, low: float = LOW) -> dict[str, Column]:
@@ -130,7 +137,7 @@ def diagnostics(z: list[Column], weights: np.ndarray, high: float = HIGH, low: f
 
 
 def scores(df: DataFrame, weights: np.ndarray, critic_weights: np.ndarray, keep: list[str], eta: float = ETA, primary: str = "Q_base") -> DataFrame:
-    """``keep`` and all score columns from the z_* columns and the alternative ordinals o_*, where they are there (NULL where a rating has none). A projection."""
+    """``keep`` and all score columns from the z_* columns and the alternative ordinals o_*, where they are there (NULL where a rating has none). A projection and a narrow pass for the robust centre."""
     if primary not in ("Q_base", "Q_rule"):
         raise ValueError("the primary score is Q_base or Q_rule")
     z = [F.col(f"z_{f}") for f in FIELDS]
@@ -141,11 +148,12 @@ def scores(df: DataFrame, weights: np.ndarray, critic_weights: np.ndarray, keep:
     ordinal = [F.coalesce(f"o_{f}", f"z_{f}") if f"o_{f}" in df.columns else F.col(f"z_{f}") for f in FIELDS]
     base = dot(z, weights)
     out = {"q_base": base, "q_rule": rule(z, weights, eta), "penalty": penalty(z, pairs, interaction(weights, pairs, eta)), **diagnostics(z, weights)}
-    out |= {"q_equal": dot(z, np.full(n, 1 / n)), "q_critic": dot(z, critic_weights), "q_huber": huber_center(F.array(*z), n)}
+    out |= {"q_equal": dot(z, np.full(n, 1 / n)), "q_critic": dot(z, critic_weights)}
     out |= {"q_relevance_downweighted": rule(z, weak, eta), "q_argmax": rule(ordinal, weights, eta)}
     out |= {f"q_eta_{e:g}".replace(".", "_"): rule(z, weights, e) for e in ETAS}
     out["q_primary"] = out["q_base" if primary == "Q_base" else "q_rule"]
-    return df.select(*keep, *[c.alias(k) for k, c in out.items()])
+    wide = df.select(*keep, *[c.alias(k) for k, c in out.items()], *[F.col(f"z_{f}").alias(f"_z{i}") for i, f in enumerate(FIELDS)])
+    return with_huber(wide, [f"_z{i}" for i in range(n)], "q_huber")
 
 
 def downweighted(weights: np.ndarray) -> np.ndarray:

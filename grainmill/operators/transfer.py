@@ -67,7 +67,7 @@ def audit(df: DataFrame, group: list[str], official: str, rebuilt: str, unique:
     q = quantiles(both, group, "a", [0.25, 0.75], unique).select(*group, (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
     err = F.abs(F.col("a") - F.col("b"))
     m = both.groupBy(*group).agg(F.count("*").alias("n"), pearson(F.col("a"), F.col("b")).alias("pearson"), F.avg(err).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg((err <= 1e-6).cast("double")).alias("exact_rate"))
-    j = m.join(F.broadcast(q), group).withColumn("mae_over_iqr", F.try_divide(F.col("mae"), F.when(F.col("iqr") > 0, F.col("iqr"))))
+    j = m.join(q, group).withColumn("mae_over_iqr", F.try_divide(F.col("mae"), F.when(F.col("iqr") > 0, F.col("iqr"))))
     ok = (F.col("n") >= 10) & (F.coalesce("pearson", F.lit(0.0)) >= least_r)
     if most_error is not None:
         ok = ok & (F.coalesce("mae_over_iqr", F.lit(1e9)) <= most_error)

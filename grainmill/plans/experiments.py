@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.signals import FIELDS, QURATER
 from grainmill.operators import conflict, identity, scoring
-from grainmill.operators.order import ks_distance, pearson, quantiles, spearman, top_fraction, weighted_quantiles
+from grainmill.operators.order import bh_adjust, ks_distance, pearson, quantiles, spearman, top_fraction, weighted_quantiles
 from grainmill.operators.resample import mean_intervals, stratified_moments
 from grainmill.operators.utility import balanced_weights
 from grainmill.plans import parts
@@ -143,11 +143,11 @@ def conflict_pairs_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bh_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Step-up values of a table of p values: per group of permilles, the retention shares as stand-ins for p."""
-    from grainmill.operators.order import bh_adjust
-
-    m = parts.table(spark, sf_dir, "mix_targets").select("recipe", "source", (F.col("target_share") / 4).alias("p"))
-    return rounded(bh_adjust(m, ["recipe"], "p", "source", "q"), 9)
+    """Step-up values of all conflict pairs of the reference: p bounded by expectation over squared deviation, as the count's variance is at most its expectation."""
+    t = conflict.pair_table(_strata(spark, sf_dir).where("a1"), Z, "stratum").withColumn("pair", F.concat_ws("|", "high_field", "low_field"))
+    gap = F.col("count") - F.col("expected")
+    t = t.select("pair", F.round(F.when(gap == 0, 1.0).otherwise(F.least(F.lit(1.0), F.try_divide("expected", gap * gap))), 9).alias("p"))
+    return rounded(bh_adjust(t, [], "p", "pair", "q"), 6)
 
 
 def permutation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +225,11 @@ kn AS (SELECT field, v, avg(p) AS p, lead(v) OVER (PARTITION BY field ORDER BY v
 _PERCENTILE = "CASE WHEN x.v < ends.lo THEN 0 WHEN x.v > ends.hi THEN 1 ELSE coalesce(kn.p + (kn.p2 - kn.p) * (x.v - kn.v) / (kn.v2 - kn.v), kn.p) END"
 _STRATA = f"""lb AS (SELECT quantile_cont(ln(1 + greatest(coalesce(words, 0), 0)), [0.2, 0.4, 0.6, 0.8]) AS b FROM z WHERE a1),
 st AS (SELECT z.*, coalesce(domain, '(none)') || ':' || len(list_filter(b, lambda x: x <= ln(1 + greatest(coalesce(words, 0), 0)))) AS stratum FROM z, lb)"""
+_PAIR_TABLE = f"""pl AS (SELECT row_key, stratum, unnest([{', '.join(repr(f) for f in FIELDS)}]) AS f, unnest([{', '.join(Z)}]) AS v FROM st WHERE a1),
+ns AS (SELECT stratum, count(*) AS n FROM st WHERE a1 GROUP BY 1), hs AS (SELECT stratum, f, sum((v > 0.75)::INT) AS h, sum((v < 0.25)::INT) AS l FROM pl GROUP BY 1, 2),
+ex AS (SELECT a.f AS high_field, b.f AS low_field, sum(a.h * b.l / ns.n::DOUBLE) AS e, sum(ns.n) AS n, sum(a.h) AS hn, sum(b.l) AS ln FROM hs a JOIN hs b ON a.stratum = b.stratum AND a.f <> b.f JOIN ns ON ns.stratum = a.stratum GROUP BY 1, 2),
+ob AS (SELECT a.f AS high_field, b.f AS low_field, count(*) AS c FROM pl a JOIN pl b ON a.row_key = b.row_key AND a.v > 0.75 AND b.v < 0.25 GROUP BY 1, 2),
+t AS (SELECT ex.*, coalesce(c, 0) AS count FROM ex LEFT JOIN ob ON ob.high_field = ex.high_field AND ob.low_field = ex.low_field)"""
 ORACLE = {
     "spearman_by_domain": f"WITH {_LATEST}, b AS (SELECT * FROM s WHERE q_base IS NOT NULL AND q_rule IS NOT NULL), r AS ({_rank_sql('b', 'domain', 'q_base', 'q_rule', 'domain')}) SELECT domain, n, round(rho, 6) AS rho FROM r",
     "top_fraction_overlap": f"""WITH {_LATEST}, b AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY q_base DESC, uid) <= greatest(1, ceil(round(count(*) OVER (PARTITION BY domain) * 0.2::DOUBLE, 9))) AS a,
@@ -244,13 +249,9 @@ SELECT k.domain, na::BIGINT AS n_a, nb::BIGINT AS n_b, round(ks, 5) AS ks, round
     ) + f"), r AS ({_rank_sql('p', 'field_a, field_b', 'x', 'y', 'field_a, field_b')}) SELECT field_a, field_b, n, round(rho, 6) AS rho FROM r",
     "baseline_comparison": f"WITH {_LATEST} SELECT domain, count(*) AS n, round(avg(q_equal), 6) AS equal_mean, round(avg(q_critic), 6) AS critic_mean, round(avg(abs(q_equal - q_critic)), 6) AS mean_abs_difference, round(CASE WHEN stddev_pop(q_equal) > 1e-12 AND stddev_pop(q_critic) > 1e-12 THEN corr(q_equal, q_critic) END, 6) AS pearson FROM s WHERE q_equal IS NOT NULL AND q_critic IS NOT NULL GROUP BY domain",
     "length_strata": f"WITH {parts.UTILITIES}, {_STRATA} SELECT stratum, count(*) AS n, sum(a1::INT)::BIGINT AS reference FROM st GROUP BY stratum",
-    "conflict_pairs": f"""WITH {parts.UTILITIES}, {_STRATA}, pl AS (SELECT row_key, stratum, unnest([{', '.join(repr(f) for f in FIELDS)}]) AS f, unnest([{', '.join(Z)}]) AS v FROM st WHERE a1),
-ns AS (SELECT stratum, count(*) AS n FROM st WHERE a1 GROUP BY 1), hs AS (SELECT stratum, f, sum((v > 0.75)::INT) AS h, sum((v < 0.25)::INT) AS l FROM pl GROUP BY 1, 2),
-ex AS (SELECT a.f AS high_field, b.f AS low_field, sum(a.h * b.l / ns.n::DOUBLE) AS e, sum(ns.n) AS n, sum(a.h) AS hn, sum(b.l) AS ln FROM hs a JOIN hs b ON a.stratum = b.stratum AND a.f <> b.f JOIN ns ON ns.stratum = a.stratum GROUP BY 1, 2),
-ob AS (SELECT a.f AS high_field, b.f AS low_field, count(*) AS c FROM pl a JOIN pl b ON a.row_key = b.row_key AND a.v > 0.75 AND b.v < 0.25 GROUP BY 1, 2),
-t AS (SELECT ex.*, coalesce(c, 0) AS count FROM ex LEFT JOIN ob ON ob.high_field = ex.high_field AND ob.low_field = ex.low_field)
+    "conflict_pairs": f"""WITH {parts.UTILITIES}, {_STRATA}, {_PAIR_TABLE}
 SELECT high_field, low_field, n::BIGINT AS n, count, round(count / n, 5) AS rate, round(e, 5) AS expected, round(count / CASE WHEN e > 0 THEN e END, 5) AS conditional_lift, round(count * n / nullif(hn * ln, 0)::DOUBLE, 5) AS unconditional_lift, round((count - e) / n, 5) + 0 AS excess_rate, e >= 5 AS adequate FROM t""",
-    "bh_values": "WITH r AS (SELECT recipe, source, target_share / 4 AS p, row_number() OVER (PARTITION BY recipe ORDER BY target_share, source) AS k, count(*) OVER (PARTITION BY recipe) AS m FROM mix_targets) SELECT recipe, source, round(p, 9) AS p, round(least(1, min(p * m / k) OVER (PARTITION BY recipe ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q FROM r",
+    "bh_values": f"WITH {parts.UTILITIES}, {_STRATA}, {_PAIR_TABLE}, pb AS (SELECT high_field || '|' || low_field AS pair, round(CASE WHEN count = e THEN 1 ELSE least(1, e / power(count - e, 2)) END, 9) AS p FROM t), rb AS (SELECT *, row_number() OVER (ORDER BY p, pair) AS k, count(*) OVER () AS m FROM pb) SELECT pair, round(p, 6) AS p, round(least(1, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM rb",
     "correlation_matrix": f"""WITH {parts.UTILITIES}, l3 AS (SELECT row_key, unnest(range(22)) AS k, unnest([{', '.join(repr(f) for f in FIELDS)}]) AS f, unnest([{', '.join(Z)}]) AS v FROM z WHERE a1)
 SELECT a.f AS field_a, b.f AS field_b, round(CASE WHEN stddev_pop(a.v) > 1e-9 AND stddev_pop(b.v) > 1e-9 THEN covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) ELSE 0 END, 5) AS r FROM l3 a JOIN l3 b ON a.row_key = b.row_key AND a.k < b.k GROUP BY 1, 2""",
 }

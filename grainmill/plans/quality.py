@@ -108,7 +108,7 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def huber_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust centre of each record's utilities; a fixed number of steps, the SQL takes as many."""
     u = parts.utilities(spark, sf_dir)
-    return rounded(u.select("row_key", scoring.huber_center(F.array(*[F.col(f"z_{f}") for f in FIELDS]), len(FIELDS)).alias("q_huber")), 5)
+    return rounded(scoring.with_huber(u.select("row_key", *Z), Z, "q_huber"), 5)
 
 
 def mad_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def domain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("domain", F.coalesce("domain", F.lit("(none)")))
     g = ["dataset", "domain"]
     q = quantiles(rows, g, "q_primary", [0.05, 0.1, 0.5, 0.9, 0.95], "row_key").withColumnRenamed("n", "n_unique")
-    j = rows.join(F.broadcast(q), g)
+    j = rows.join(q, g)
     inside = F.col("q_primary").between(F.col("q")[0], F.col("q")[4])
     out = j.groupBy(*g).agg(
         F.count("*").alias("n_unique"), F.avg("q_base").alias("q_base_mean"), F.avg("q_rule").alias("q_rule_mean"), F.avg("q_primary").alias("q_primary_mean"),

@@ -28,9 +28,14 @@ def _scheme_score(u: DataFrame, train) -> tuple[list[str], np.ndarray, dict]:
 
 
 def lodo_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of scores by text statistics alone, each domain held out in turn."""
+    return rounded(parts.kept(spark, sf_dir, "lodo", lambda: cut(_held_out(spark, sf_dir))))
+
+
+def _held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each reference domain held out in turn: everything is refitted on the others, then the held-out records are scored with all signals, with the
     text statistics only, and by the mean of the other domains' means. One refit per domain, at most MAX_FOLDS."""
-    rows = cut(parts.records(spark, sf_dir).where("a1 AND domain IS NOT NULL"))
+    rows = parts.fitted_records(spark, sf_dir)[0].where("a1 AND domain IS NOT NULL")
     domains = [r[0] for r in rows.select("domain").distinct().orderBy("domain").limit(MAX_FOLDS + 1).collect()]
     if len(domains) > MAX_FOLDS:
         raise ValueError(f"more than {MAX_FOLDS} domains")
@@ -46,11 +51,24 @@ def lodo_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
         mean = full.where(F.col("domain") != held).groupBy("domain").agg(F.avg("q").alias("m")).agg(F.avg("m")).first()[0]
         j = full.where(F.col("domain") == held).join(part, "row_key").withColumn("constant", F.lit(mean).cast("double"))
         err, base = F.col("q") - F.col("p"), F.col("q") - F.col("constant")
-        one = j.groupBy("domain").agg(F.count("*").alias("n"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(base * base)).alias("constant_rmse"), F.avg(F.abs(base)).alias("constant_mae"), F.avg("q").alias("actual_mean"), F.avg("p").alias("predicted_mean"))
+        one = j.groupBy("domain").agg(F.count("*").alias("n"), F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(base * base)).alias("constant_rmse"), F.avg(F.abs(base)).alias("constant_mae"), F.avg("q").alias("actual_mean"), F.avg("p").alias("predicted_mean"), F.first("constant").alias("constant"))
         out = one if out is None else out.unionByName(one)
     if out is None:
-        return spark.createDataFrame([], "domain string, n long, rmse double, mae double, constant_rmse double, constant_mae double, actual_mean double, predicted_mean double")
-    return rounded(out)
+        return spark.createDataFrame([], "domain string, n long, rmse double, mae double, constant_rmse double, constant_mae double, actual_mean double, predicted_mean double, constant double")
+    return out
+
+
+def transfer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether text statistics alone score held-out domains better than the mean of the others: errors of records and of domain means, and the worst domain."""
+    rows = lodo_transfer(spark, sf_dir).collect()  # a row per domain
+    schema = "domains int, rmse double, constant_rmse double, domain_mae double, constant_domain_mae double, worst_domain_error double, passes boolean"
+    if not rows:
+        return spark.createDataFrame([], schema)
+    off = np.array([abs(r.actual_mean - r.predicted_mean) for r in rows])
+    base = np.array([abs(r.actual_mean - r.constant) for r in rows])
+    rmse, constant = float(np.mean([r.rmse for r in rows])), float(np.mean([r.constant_rmse for r in rows]))
+    ok = rmse < constant and off.mean() <= 0.8 * base.mean() and off.max() <= 0.08
+    return rounded(spark.createDataFrame([(len(rows), rmse, constant, float(off.mean()), float(base.mean()), float(off.max()), bool(ok))], schema))
 
 
 def adjusted_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +96,4 @@ def adjusted_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE: dict[str, str] = {}
-QUERIES = {"lodo_transfer": lodo_transfer, "adjusted_correlation": adjusted_correlation}
+QUERIES = {"lodo_transfer": lodo_transfer, "transfer_gate": transfer_gate, "adjusted_correlation": adjusted_correlation}

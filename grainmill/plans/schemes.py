@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.signals import ATOMIC, FIELDS, QURATER
 from grainmill.operators import identity, scoring
-from grainmill.operators.order import ks_distance, quantiles, spearman, top_fraction
+from grainmill.operators.order import POSITIONS, in_top, ks_distance, pearson, positions, quantiles, tied_rank
 from grainmill.operators.resample import stratified_moments
 from grainmill.operators.utility import apply_utilities, balanced_weights, imputed, with_medians
 from grainmill.plans import parts
@@ -92,22 +92,28 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compare(long: DataFrame, group: list[str]) -> DataFrame:
-    """group, n, spearman, overlap of the top fifths, mean difference b - a and mean absolute difference, from rows (row_key, group, a, b)."""
-    long = cut(long.withColumns({c: F.round(c, 12) for c in ("a", "b")}))  # equal scores tie whatever the order of their sums
-    rho = spearman(long, group, "a", "b", "row_key").withColumnRenamed("rho", "spearman")
-    top = top_fraction(top_fraction(long, group, "a", "row_key", TOP, "_ta"), group, "b", "row_key", TOP, "_tb")
+    """group, n, spearman, overlap of the top fifths, mean difference b - a and mean absolute difference, from rows (row_key, group, a, b).
+
+    One ordering of the rows by either score gives its ranks and its top fifth.
+    """
+    long = long.withColumns({c: F.round(c, 12) for c in ("a", "b")})  # equal scores tie whatever the order of their sums
+    one = positions(long, group, "a", "row_key").withColumn("ra", tied_rank()).withColumn("ta", in_top(TOP)).drop(*POSITIONS)
+    both = positions(one, group, "b", "row_key").withColumn("rb", tied_rank()).withColumn("tb", in_top(TOP))
     gap = F.col("b") - F.col("a")
-    rest = top.groupBy(*group).agg((F.count_if(F.col("_ta") & F.col("_tb")) / F.count_if("_ta")).alias("overlap"), F.avg(gap).alias("mean_difference"), F.avg(F.abs(gap)).alias("mean_abs_difference"))
-    return rounded(rho.join(rest, group), 4)
+    out = both.groupBy(*group).agg(F.count("*").alias("n"), pearson(F.col("ra"), F.col("rb")).alias("spearman"), (F.count_if(F.col("ta") & F.col("tb")) / F.count_if("ta")).alias("overlap"), F.avg(gap).alias("mean_difference"), F.avg(F.abs(gap)).alias("mean_abs_difference"))
+    return rounded(out, 4)
 
 
-def _exploded(df: DataFrame) -> DataFrame:
-    return df.withColumn("dataset", F.explode(identity.masks(F.col("membership"))))
+def compare_items(df: DataFrame, ids: list[str], items: list[tuple[dict, object, object]]) -> DataFrame:
+    """``compare`` for several pairs of columns of one table (labels, a, b): rows carry the number of their pair, the labels come back at the end."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("_item"), F.col(a).alias("a"), F.col(b).alias("b")) for i, (_, a, b) in enumerate(items)])
+    out = compare(df.select("row_key", *ids, F.explode(pairs).alias("x")).select("row_key", *ids, "x.*"), ["_item", *ids])
+    labels = list(items[0][0])
+    return out.select(*[F.element_at(F.array(*[F.lit(x[0][k]) for x in items]), F.col("_item") + 1).alias(k) for k in labels], *[c for c in out.columns if c != "_item"])
 
 
-def _structs(items: list[tuple[dict[str, str], str, str]]):
-    """An array of (labels, a, b) to explode."""
-    return F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in labels.items()], F.col(a).alias("a"), F.col(b).alias("b")) for labels, a, b in items])).alias("x")
+def _exploded(df: DataFrame) -> DataFrame:
+    return df.withColumn("dataset", F.explode(identity.masks(F.col("membership"))))
 
 
 def scheme_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +159,7 @@ def scheme_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scheme_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other schemes against the first, by score and by rule score, per profile, source set and domain."""
     items = [({"profile": p, "scheme": s, "kind": k}, f"{k}_{i}_0", f"{k}_{i}_{j}") for i, p in enumerate(PROFILES) for j, s in enumerate(SCHEMES) if j for k in ("q", "rule")]
-    long = _exploded(scores(spark, sf_dir)).select("row_key", "dataset", "domain", _structs(items)).select("row_key", "dataset", "domain", "x.*")
-    return compare(long, ["profile", "scheme", "kind", "dataset", "domain"])
+    return compare_items(_exploded(scores(spark, sf_dir)), ["dataset", "domain"], items)
 
 
 def scheme_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,29 +175,28 @@ def scheme_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shrinkage_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference's scores with criterion weights shrunk towards even ones, against those without, per profile, scheme, shrinkage and domain."""
-    cols, items = [], []
+    cols, items, shrunk = [], [], []
     for i, (profile, model) in enumerate(fitted(spark, sf_dir).items()):
         u = [F.col(c) for c in atomic_names(profile)]
         for j, name in enumerate(SCHEMES):
             names, m, w = model["models"][name]
             cols += [scoring.dot(u, m @ w).alias(f"q_{i}_{j}"), scoring.dot(u, m.mean(1)).alias(f"e_{i}_{j}")]
-            items += [F.struct(F.lit(profile).alias("profile"), F.lit(name).alias("scheme"), F.lit(xi).alias("xi"), F.col(f"q_{i}_{j}").alias("a"), (F.col(f"q_{i}_{j}") * xi + F.col(f"e_{i}_{j}") * (1 - xi)).alias("b")) for xi in SHRINKAGE]
+            items += [({"profile": profile, "scheme": name, "xi": xi}, f"q_{i}_{j}", f"s_{i}_{j}_{k}") for k, xi in enumerate(SHRINKAGE)]
+            shrunk += [(F.col(f"q_{i}_{j}") * xi + F.col(f"e_{i}_{j}") * (1 - xi)).alias(f"s_{i}_{j}_{k}") for k, xi in enumerate(SHRINKAGE)]
     both = cut(profiled(spark, sf_dir).where("a1").select("row_key", "domain", *cols))  # fitted and even weights; all shrunk ones lie between
-    return compare(both.select("row_key", "domain", F.explode(F.array(*items)).alias("x")).select("row_key", "domain", "x.*"), ["profile", "scheme", "xi", "domain"])
+    return compare_items(both.select("*", *shrunk), ["domain"], items)
 
 
 def inner_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hierarchical scheme with even inner weights against the fitted ones, per profile, source set and domain."""
     items = [({"profile": p}, f"q_{i}_2", f"q_{i}_3") for i, p in enumerate(PROFILES)]
-    long = _exploded(scores(spark, sf_dir)).select("row_key", "dataset", "domain", _structs(items)).select("row_key", "dataset", "domain", "x.*")
-    return compare(long, ["profile", "dataset", "domain"])
+    return compare_items(_exploded(scores(spark, sf_dir)), ["dataset", "domain"], items)
 
 
 def normalisation_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores under the second normalisation against the first, per scheme, for the reference and the new records of the extensions."""
     items = [({"scheme": s}, f"q_0_{j}", f"q_1_{j}") for j, s in enumerate(SCHEMES)]
-    long = _exploded(scores(spark, sf_dir)).where(F.col("dataset").isin("A1", "A2_new", "A3_new"))
-    return compare(long.select("row_key", "dataset", "domain", _structs(items)).select("row_key", "dataset", "domain", "x.*"), ["scheme", "dataset", "domain"])
+    return compare_items(_exploded(scores(spark, sf_dir)).where(F.col("dataset").isin("A1", "A2_new", "A3_new")), ["dataset", "domain"], items)
 
 
 def equal_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +208,7 @@ def equal_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     equal = u.select("row_key", scoring.dot(z, even).alias("e_q"), (scoring.dot(z, even) - scoring.penalty(z, pairs, scoring.interaction(even, pairs, scoring.ETA))).alias("e_rule"))
     j = merge_one_to_one(s, equal, "row_key")
     items = [({"profile": p, "scheme": c, "kind": k}, f"e_{k}", f"{k}_{i}_{x}") for i, p in enumerate(PROFILES) for x, c in enumerate(SCHEMES) for k in ("q", "rule")]
-    return compare(_exploded(j).select("row_key", "dataset", "domain", _structs(items)).select("row_key", "dataset", "domain", "x.*"), ["profile", "scheme", "kind", "dataset", "domain"])
+    return compare_items(_exploded(j), ["dataset", "domain"], items)
 
 
 def merge_one_to_one(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
