@@ -255,4 +255,8 @@ SELECT high_field, low_field, n::BIGINT AS n, count, round(count / n, 5) AS rate
     "correlation_matrix": f"""WITH {parts.UTILITIES}, l3 AS (SELECT row_key, unnest(range(22)) AS k, unnest([{', '.join(repr(f) for f in FIELDS)}]) AS f, unnest([{', '.join(Z)}]) AS v FROM z WHERE a1)
 SELECT a.f AS field_a, b.f AS field_b, round(CASE WHEN stddev_pop(a.v) > 1e-9 AND stddev_pop(b.v) > 1e-9 THEN covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) ELSE 0 END, 5) AS r FROM l3 a JOIN l3 b ON a.row_key = b.row_key AND a.k < b.k GROUP BY 1, 2""",
 }
+_PAIR_COLUMNS = ORACLE["conflict_pairs"][ORACLE["conflict_pairs"].rindex("SELECT high_field") :]
+ORACLE["conflict_pairs_datasets"] = f"WITH {parts.UTILITIES}, {_STRATA} " + " UNION ALL ".join(
+    f"SELECT *, '{d}' AS dataset FROM (WITH {_PAIR_TABLE.replace('WHERE a1', 'WHERE ' + ('true' if d == 'union' else f'contains(membership, {d!r})'))} {_PAIR_COLUMNS})" for d in (*identity.LABELS, "union")
+)
 QUERIES = {f.__name__: f for f in (spearman_by_domain, top_fraction_overlap, ks_by_domain, score_quantiles, rank_map, extension_stability, group_redundancy, baseline_comparison, length_strata, conflict_pairs, conflict_pairs_datasets, bh_values, permutation_pairs, correlation_matrix, factor_analysis, critic_bootstrap, domain_intervals)}
