@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm import prose
 from grainmill.llm import textkit as tk
-from grainmill.llm.common import read
+from grainmill.llm.common import read, slices
 
 BANDS = ("elementary", "middle", "secondary", "advanced")
 MAX_RATED = 6000  #: rated records that the fit uses, those of the least hash
@@ -44,7 +44,7 @@ MIN_COUNT = 2  #: rarer features are no evidence
 UNMARKED = 12  #: words that count as a sentence in blocks without a sentence mark
 MIN_SENTENCES = 3
 GRADE_BANDS = (3.0, 7.0, 12.0)  #: level limits of the bands where there are no ratings
-CHUNK = 256  #: documents that are assessed at once
+CHUNK, CHUNK_BYTES = 256, 2_000_000  #: documents that are assessed at once, and bytes of their texts
 ESTIMATES = ("flesch_kincaid", "fog", "smog", "automated", "coleman_liau", "linsear")
 
 _MARK = re.compile(r"[.!?…。！？।]")
@@ -258,8 +258,7 @@ def reading_levels(records: DataFrame, model: BandModel | None, order: np.ndarra
         fitted, table = shared.value
         model = BandModel(*fitted) if fitted else None
         for whole in batches:
-            for at in range(0, whole.num_rows, CHUNK):
-                b = whole.slice(at, CHUNK)
+            for b in slices(whole, 1, CHUNK, CHUNK_BYTES):
                 m, names, share = assess(b.column(1).to_pylist(), model, table, only)
                 grades = [pa.array(x, pa.float64(), from_pandas=True) for x in (*m.grades.T, m.level)]  # NaN: no words, NULL
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.sentences), *grades, pa.array(names, pa.string()), pa.array(share, pa.float64())], ["record_key", "sentences", *ESTIMATES, "level", "band", "advanced_share"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm import prose, readability, registry, residue
 from grainmill.llm import textkit as tk
+from grainmill.llm.common import slices
 from tests.conftest import SF
 
 PROSE = "The committee met in the old hall on Monday. It was raining, and most of the members had walked there. They agreed that the road should be repaired before the winter."
@@ -146,6 +147,22 @@ def test_residue_of_nothing(spark):
     assert residue.decide(rows, residue.fit(rows)).count() == 0
 
 
+def test_slices():
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 5, None, "b" * 50, "c", "d", "e" * 9, ""])], ["k", "t"])
+    got = [s.column(0).to_pylist() for s in slices(b, 1, 3, 10)]
+    assert got == [[0, 1], [2], [3, 4], [5, 6]] and [s.num_rows for s in slices(b.slice(0, 0), 1, 3, 10)] == []
+
+
+def test_very_long_texts(spark):
+    """Texts of millions of characters pass whole, alone in their run, and aren't found for their length."""
+    long = PROSE + " " + "The quiet river carried the boats past the old mill and on to the sea. " * 40_000
+    df = spark.createDataFrame([(1, long, long), (2, FOUND[0], EASY)], "doc_id long, text string, content string").withColumn("record_key", F.col("doc_id"))
+    rows = residue.cut(residue.featurise(df))
+    assert {r.doc_id for r in residue.decide(rows, residue.fit(rows)).where("reason IS NOT NULL").collect()} <= {2}
+    levels = {r.record_key: r for r in readability.reading_levels(df, None, np.zeros((len(tk.LANGUAGES), tk.CLASSES, tk.CLASSES))).collect()}
+    assert levels[1].sentences == 40_003 and levels[2].sentences == 3
+
+
 def test_marks():
     assert residue.marks("Dear {{ name }}, see %ORDER_ID%", False) == ["bare", "bare"] and residue.marks("use `{{ x }}` here", False) == ["quoted"]
     assert residue.marks("the set $A_{{i}}$", False) == ["formula"] and residue.marks("x = ${y}", True) == ["code"] and residue.marks("plain", False) == []
