@@ -96,7 +96,7 @@ def critic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
     u = parts.utilities(spark, sf_dir)
     critic = scoring.critic(balanced_weights(u.where("a1"), "domain"), [f"z_{f}" for f in FIELDS], "w")
-    return scoring.scores(u, scoring.shrink(critic, 0.0), critic, keep)
+    return cut(scoring.scores(u, scoring.shrink(critic, 0.0), critic, keep))
 
 
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
