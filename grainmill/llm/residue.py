@@ -3,8 +3,9 @@
 Every document is cut into passages (sentences of a line, code fences apart) with hashed features: words, word pairs, the size of the document,
 and the marks in it by the way they stand: bare in prose, quoted, in code, in a formula. Patterns give signs: a placeholder, a filler, an error or
 script message. Few passages with signs are trusted: positive where the sign makes up a small document or placeholders stand bare more than once;
-negative where a passage with a sign asks, tells or explains, quotes the sign or is code. All others are unlabelled. Expectation-maximisation then
-fits the two classes over all passages of the corpus, unlabelled ones at a lower weight. Signs are no features of the classes: a passage is positive by its words and by how its marks stand.
+negative where a passage with a sign asks, tells or explains, quotes the sign or is code. All others are unlabelled. Those in documents
+of more than ``SMALL`` words without a single sign are negative at the start: in the first round alone, from the second on their posteriors count.
+Expectation-maximisation fits the two classes over all passages of the corpus, other unlabelled ones at a lower weight. Signs are no features of the classes: a passage is positive by its words and by how its marks stand.
 
 Record decisions come from the posteriors of all passages, the trusted ones included as if they had no label, with an exact check of what was found:
 
@@ -12,10 +13,10 @@ Record decisions come from the posteriors of all passages, the trusted ones incl
 * other positive passages make it found only where hardly anything else is left beside furniture (menus, site names, copyright lines) and noise
   (digits, repeated or foreign-script strings).
 
-Documents of more than ``SMALL`` words without a single sign are reliable negatives: the first pass adds up their features, and only the
-passages of the others are written and read in each round of the fit. A round sums at most 2^BITS rows of counts, whatever the corpus.
+The passages of all documents are written, read in each round of the fit and decided, with signs or without, whatever the size of the document.
+A round sums at most 2^(BITS + 1) + 3 rows of counts, whatever the corpus.
 
-NULL, empty and blank texts have no passages and are never found.
+NULL, empty and blank texts have no passages: they have a row without a score and are never found.
 """
 
 from __future__ import annotations
@@ -39,11 +40,11 @@ BITS = 16
 ROUNDS = 4
 SMOOTHING = 0.5
 MAX_RATIO = 8.0  #: of one feature's log likelihood
-SMALL = 60  #: words of content; a larger document without signs is a reliable negative
+SMALL = 60  #: words of content; the unlabelled passages of a larger document without signs start the fit as negatives
 FURNITURE_WORDS = 4  #: passages of so few words that aren't positive are furniture
 OTHER_WORDS = 10  #: words of other content beside a message
 OTHER_SHARE = 0.35
-UNLABELLED = 0.3  #: weight of passages without a label beside trusted ones, so that their number doesn't make the classes
+UNLABELLED = 0.3  #: weight of passages without a label or a start beside trusted ones, so that their number doesn't make the classes
 START = (0.05, 0.005, 0.5)  #: priors before the first round: passages of small and of larger documents, and those with a placeholder
 CHUNK, CHUNK_BYTES = 256, 2_000_000  #: documents whose features are made at once, and bytes of their texts
 NUMBERS = re.compile(r"\d[\d.,]*")
@@ -242,36 +243,27 @@ def letter_poor(p: str) -> bool:
     return letters * 2 < len(p.replace(" ", ""))
 
 
-_PASSAGE = "doc_id bigint, label int, small boolean, kind int, words int, f binary, n binary"  # f and n: 32-bit numbers
-_NAMES = ["doc_id", "label", "small", "kind", "words", "f", "n"]
+_PASSAGE = "doc_id bigint, label int, small boolean, kind int, words int, f binary"  # f: 32-bit numbers
+_NAMES = ["doc_id", "label", "small", "kind", "words", "f"]
 _TYPES = (pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32())
 _hashes = tk.Memo(lambda w: zlib.crc32(w.encode()))
 
 
 def featurise(documents: DataFrame) -> DataFrame:
-    """One row per passage: trusted label (1, 0, or -1 for none), size, kind and hashed features.
+    """One row per passage: trusted label (1, 0, -1 for none, -2 for none but negative at the start), size, kind and hashed features.
 
-    A row without doc_id holds the summed features of reliable negatives: f, their counts n, and the number of passages as ``words``. A task's
-    documents must have fewer than 2^31 passages with any one feature.
+    A document without passages has one row without features.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        negative, count = np.zeros(1 << BITS, np.int64), 0
         for whole in batches:
             for b in slices(whole, 1, CHUNK, CHUNK_BYTES):
-                rows, keep, extra, words = _rows(b.column(0).to_pylist(), b.column(1).to_pylist())
-                f, offsets = _features(extra, words, np.array([r[3] & PLACED > 0 for r in rows], bool))
-                keep = np.array(keep, bool)
-                sure = np.repeat(~keep, np.diff(offsets))
-                negative += np.bincount(f[sure], minlength=2 << BITS)[: 1 << BITS]  # none of them has a placeholder
-                count += int((~keep).sum())
-                kept = [r for r, k in zip(rows, keep) if k]
-                if kept:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*kept), _TYPES)), packed(f[~sure], np.diff(offsets)[keep]), pa.nulls(len(kept), pa.binary())], _NAMES)
-        if count:
-            seen = np.flatnonzero(negative)
-            one = [pa.array([x], t) for x, t in zip((None, 0, False, 0, count), _TYPES)]
-            yield pa.RecordBatch.from_arrays([*one, *(packed(x, np.array([len(x)])) for x in (seen, negative[seen]))], _NAMES)
+                rows, extra, words, blank = _rows(b.column(0).to_pylist(), b.column(1).to_pylist())
+                if rows:
+                    f, offsets = _features(extra, words, np.array([r[3] & PLACED > 0 for r in rows], bool))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)), packed(f, np.diff(offsets))], _NAMES)
+                if blank:
+                    yield pa.RecordBatch.from_arrays([pa.array(blank, pa.int64()), *(pa.array([x] * len(blank), t) for x, t in zip((-1, True, 0, 0, None), (*_TYPES[1:], pa.binary())))], _NAMES)
 
     return documents.select("doc_id", "text").mapInArrow(run, _PASSAGE)
 
@@ -292,11 +284,13 @@ def unpacked(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(flat.tobytes(), np.int32), np.diff(at) // 4
 
 
-def _rows(keys: list[int], texts: list[str | None]) -> tuple[list[tuple], list[bool], list[list[str]], list[list[str]]]:
-    """(doc_id, label, small, kind, words), whether the passage is kept, its other features and its words, for all passages of some documents."""
-    rows, keep, extra, words = [], [], [], []
+def _rows(keys: list[int], texts: list[str | None]) -> tuple[list[tuple], list[list[str]], list[list[str]], list[int]]:
+    """(doc_id, label, small, kind, words), the other features and the words of all passages of some documents, and the documents without any."""
+    rows, extra, words, blank = [], [], [], []
     for key, text in zip(keys, texts):
         parts = passages(text)
+        if not parts:
+            blank.append(key)
         sizes = [len(w) or len(tk.words(_MARK.sub(" ", p))) for p, _, _, w in parts]
         content = sum(n for n, (_, k, _, _) in zip(sizes, parts) if not k & NOISE and n > FURNITURE_WORDS or k & MESSAGE)
         small = content <= SMALL
@@ -309,11 +303,10 @@ def _rows(keys: list[int], texts: list[str | None]) -> tuple[list[tuple], list[b
             trusted = not kind & TALK and (kind & FILLER or kind & MARK and bare > 1 or kind & MESSAGE and small and not talk and message * 3 > content)
             # where a sign is asked about, explained or quoted, the rest of the document is content
             proper = kind & TALK or talk and not kind & SIGNS or not small and kind & MESSAGE or not kind & SIGNS and "d2" in names
-            rows.append((key, 1 if trusted else 0 if proper else -1, small, kind, n))
-            keep.append(small or signs)
+            rows.append((key, 1 if trusted else 0 if proper else -1 if small or signs else -2, small, kind, n))
             extra.append([*names, size])
             words.append(w)
-    return rows, keep, extra, words
+    return rows, extra, words, blank
 
 
 def _features(extra: list[list[str]], words: list[list[str]], placed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -363,21 +356,21 @@ def start() -> Classes:
 def fit(rows: DataFrame, rounds: int = ROUNDS) -> Classes:
     """Expectation-maximisation over all passages; every round sums at most 2^(BITS + 1) + 3 rows of expected counts."""
     model, size = start(), 2 << BITS
-    for _ in range(rounds):
+    for turn in range(rounds):
         shared = rows.sparkSession.sparkContext.broadcast((model.table, model.odds))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=turn == 0) -> Iterator[pa.RecordBatch]:
             m = Classes(*shared.value)
             pos, all_ = np.zeros(size + 3), np.zeros(size + 3)
             for b in batches:
-                summed = b.filter(pc.is_null(b.column(0)))
-                np.add.at(all_, unpacked(summed.column(5))[0], unpacked(summed.column(6))[0])
-                all_[size + 1] += pc.sum(summed.column(4)).as_py() or 0
-                b = b.filter(pc.is_valid(b.column(0)))
+                b = b.filter(pc.is_valid(b.column(5)))
                 if not b.num_rows:
                     continue
                 p, flat, owner = m.posterior(b, True)
-                weight, group = np.where(b.column(1).to_numpy() < 0, UNLABELLED, 1.0), m.groups(b)
+                label, group = b.column(1).to_numpy(), m.groups(b)
+                weight = np.where(label == -1, UNLABELLED, 1.0)
+                if first:
+                    p = np.where(label == -2, 0, p)
                 pos[:size] += np.bincount(flat, (p * weight)[owner], size)
                 all_[:size] += np.bincount(flat, weight[owner], size)
                 pos[size : size + 3] += np.bincount(group, p * weight, 3)
@@ -403,7 +396,7 @@ def fit(rows: DataFrame, rounds: int = ROUNDS) -> Classes:
 
 
 def decide(rows: DataFrame, model: Classes) -> DataFrame:
-    """One row per document that isn't a reliable negative: words by decision, and the reason if it is found."""
+    """One row per document: words by decision, and the reason if it is found."""
     shared = rows.sparkSession.sparkContext.broadcast((model.table, model.odds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,15 +404,16 @@ def decide(rows: DataFrame, model: Classes) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 p, _, _ = m.posterior(b, False)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(p)], ["doc_id", "small", "kind", "words", "p"])
+                nothing = pc.is_null(b.column(5)).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(4), pa.array(p, mask=nothing)], ["doc_id", "kind", "words", "p"])
 
-    scored = rows.where("doc_id IS NOT NULL").mapInArrow(run, "doc_id bigint, small boolean, kind int, words int, p double")
+    scored = rows.mapInArrow(run, "doc_id bigint, kind int, words int, p double")
     has = lambda bit: F.col("kind").bitwiseAND(F.lit(bit)) != 0
     yes = F.col("p") > 0.5
     message = yes & has(MESSAGE) | yes & ~has(MARK) & ~has(FILLER)
     other = ~yes & ~has(NOISE) & (F.col("words") > FURNITURE_WORDS)
     docs = scored.groupBy("doc_id").agg(
-        F.count_if(yes & has(MARK)).alias("placeholders"), F.count_if(yes & has(FILLER)).alias("fillers"), F.count_if(yes & (has(MESSAGE) | F.col("small") & ~has(NOISE) & ~has(TALK) & (F.col("words") > FURNITURE_WORDS))).alias("messages"),
+        F.count_if(yes & has(MARK)).alias("placeholders"), F.count_if(yes & has(FILLER)).alias("fillers"), F.count_if(yes & (has(MESSAGE) | ~has(NOISE) & ~has(TALK) & (F.col("words") > FURNITURE_WORDS))).alias("messages"),
         F.coalesce(F.sum(F.when(message, F.col("words"))), F.lit(0)).alias("message_words"), F.coalesce(F.sum(F.when(other, F.col("words"))), F.lit(0)).alias("other_words"), F.max("p").alias("score"),
     )
     alone = F.col("other_words") <= F.greatest(F.lit(OTHER_WORDS), F.col("message_words") * OTHER_SHARE)
@@ -437,7 +431,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that isn't a reliable negative, by what its passages are, and the reason if it is found."""
+    """Every document by what its passages are, and the reason if it is found."""
     out = _decisions(spark, sf_dir)
     return out.withColumn("score", F.round("score", 6))
 

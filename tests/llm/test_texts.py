@@ -141,6 +141,20 @@ def test_residue(spark):
     assert got == {i for i, t in enumerate(texts) if t in FOUND}
 
 
+def test_every_document_is_decided(spark):
+    """Large documents without signs are decided by the classes, too, and texts without passages have a row."""
+    page = "\n".join(f"The requested URL /a/b{i} was not on this server." for i in range(12))
+    texts = FOUND * 20 + NOT_FOUND * 20 + [page, PROSE + " " + HARD + EASY, " \n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = residue.cut(residue.featurise(df))
+    got = {r.doc_id: r for r in residue.decide(rows, residue.fit(rows)).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    failed, prose_, blank = (got[len(texts) - i] for i in (3, 2, 1))
+    assert failed.reason == "message" and failed.message_words > residue.SMALL
+    assert prose_.reason is None and prose_.other_words > residue.SMALL and prose_.score < 0.5
+    assert blank.reason is None and blank.score is None and blank.message_words == blank.other_words == 0
+
+
 def test_residue_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     rows = residue.featurise(df)
