@@ -18,6 +18,8 @@ from grainmill.sources.shared import cut
 MAX_RECIPES = 4096
 BLOCK = 1024  #: recipes of a block, about
 BINS = 4096  #: intervals that a quantile's bracket is cut into in one pass
+SCALE = BINS * (1 - 1e-12)  #: so that the greatest value falls into the last interval
+STRIP = 32  #: rows of a square of blocks that are handled at once
 
 
 def validated_pairs(recipes: DataFrame, losses: DataFrame, tolerance: float = 0.005) -> DataFrame:
@@ -417,52 +419,101 @@ def squared_pairs(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def pair_summary(table: DataFrame, value, probs: list[float]) -> dict | None:
-    """pairs, mean, min, max and interpolated quantiles of ``value(p, q)`` (a matrix) over all unordered pairs of recipes in ``table`` (blocks).
+    """``pair_summaries`` of one value."""
+    got = pair_summaries(table, lambda p, q: [lambda rows: value(p[rows], q)], probs)
+    return got[0] if got else None
 
-    Each pass counts all pairs in the brackets of the wanted ranks and narrows them BINS-fold, to less than 1e-13 of the values' range. None without a pair.
+
+def _bin(v: np.ndarray, low: float, scale: float, whole: bool) -> np.ndarray:
+    """The interval of each value, the same in every pass and never less for a greater value. ``whole``: the interval is the values' range, so none lies outside."""
+    i = ((v - low) * scale).astype(np.int32)
+    return i if whole else np.clip(i, 0, BINS - 1)
+
+
+def pair_summaries(table: DataFrame, values, probs: list[float]) -> list[dict]:
+    """pairs, mean, min, max and interpolated quantiles of each value over all unordered pairs of recipes in ``table`` (blocks).
+
+    ``values(p, q)`` gives a function per value, from a slice of the recipes ``p`` to the matrix of their values with all of ``q``. A pass counts the pairs of the intervals that hold the wanted ranks in BINS parts of each, until a part is less than 1e-13 of the values' range. All values
+    share the passes; nothing is sorted. Empty without a pair.
     """
     pairs = squares(table, table, True)
 
-    def values(batches):
+    def strips(batches):
+        """(number of the value, values) of some rows of a square at a time, which stay in the processor's cache."""
         for b in batches:
             for i in range(b.num_rows):
                 same, _, p, _, q = _square(b, i)
-                v = value(p, q)
-                yield v[np.triu_indices(len(p), 1)] if same else v.ravel()
+                of_rows = values(p, q)
+                for at in range(0, len(p), STRIP):
+                    keep = np.arange(len(q)) > np.arange(at, min(at + STRIP, len(p)))[:, None] if same else None
+                    for k, f in enumerate(of_rows):
+                        v = f(slice(at, at + STRIP))
+                        yield k, v[keep] if same else v.ravel()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(len(v), float(v.sum()), float(v.min()), float(v.max())) for v in values(batches) if len(v)]
-        yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))], ["n", "s", "low", "high"])
-
-    one = pairs.mapInArrow(first, "n bigint, s double, low double, high double").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high")).first()
-    if not one.n:
-        return None
-    at = [(one.n - 1) * p for p in probs]
-    brackets = {r: (one.low, one.high) for x in at for r in (int(np.floor(x)), int(np.ceil(x)))}
-    fine = max(1e-13 * (one.high - one.low), 1e-15 * max(abs(one.low), abs(one.high)))
-    while any(hi - lo > fine for lo, hi in brackets.values()):
-        spans = sorted(set(brackets.values()))
-        edges = [np.linspace(lo, hi, BINS + 1) for lo, hi in spans]
+        got: dict[int, list] = {}
+        for k, v in strips(batches):
+            if len(v):
+                n, s, low, high = got.get(k, (0, 0.0, np.inf, -np.inf))
+                got[k] = (n + len(v), s + float(v.sum()), min(low, float(v.min())), max(high, float(v.max())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), *[pa.array([g[k] for g in got.values()], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64()))]], ["k", "n", "s", "low", "high"])
+
+    rows = pairs.mapInArrow(first, "k bigint, n bigint, s double, low double, high double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("k").collect()  # a row per value
+    if not rows:
+        return []
+    at = [(rows[0].n - 1) * p for p in probs]
+    ranks = sorted({r for x in at for r in (int(np.floor(x)), int(np.ceil(x)))})
+    found: dict[tuple[int, int], float] = {}
+    todo = {}  # (value, rank) -> the rank inside of the interval, and the intervals that led there as (low, scale, number)
+    for one in rows:
+        for r in ranks:
+            if one.high > one.low:
+                todo[one.k, r] = (r, (), one.low, one.high)
+            else:
+                found[one.k, r] = one.low
+    fine = {one.k: max(1e-13 * (one.high - one.low), 1e-15 * max(abs(one.low), abs(one.high))) for one in rows}
+    tops = {one.k: (one.low, SCALE / (one.high - one.low)) for one in rows if one.high > one.low}
+    while todo:
+        spans = sorted({(k, path, low, SCALE / (high - low)) for (k, _), (_, path, low, high) in todo.items()})
+        of: dict[int, list[int]] = {}
+        for i, span in enumerate(spans):
+            of.setdefault(span[0], []).append(i)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(edges), BINS + 1), np.int64)  # noqa: B023  at or below each edge
-            for v in values(batches):
-                v = np.sort(v)
-                for k, e in enumerate(edges):  # noqa: B023
-                    total[k] += np.searchsorted(v, e, "right")
-            k, i = np.indices(total.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (k, i, total)], ["k", "i", "n"])
-
-        below = np.zeros((len(spans), BINS + 1), np.int64)
-        for r in pairs.mapInArrow(count, "k bigint, i bigint, n bigint").groupBy("k", "i").agg(F.sum("n").alias("n")).collect():
-            below[r.k, r.i] = r.n
-        for rank, span in brackets.items():
-            k = spans.index(span)
-            i = min(BINS, int(np.searchsorted(below[k], rank, "right")))  # the first edge with more than ``rank`` pairs at or below it
-            brackets[rank] = (float(edges[k][max(0, i - 1)]), float(edges[k][i])) if i else (span[0], span[0])
-    at_rank = {r: hi for r, (_, hi) in brackets.items()}
-    q = [float(at_rank[int(np.floor(x))] + (at_rank[int(np.ceil(x))] - at_rank[int(np.floor(x))]) * (x - np.floor(x))) for x in at]
-    return {"pairs": one.n, "mean": one.s / one.n, "low": one.low, "high": one.high, "q": q}
+            total = np.zeros((len(spans), BINS), np.int64)  # noqa: B023
+            for k, v in strips(batches):
+                top = _bin(v, *tops[k], True) if k in of else None  # noqa: B023
+                for i in of.get(k, ()):  # noqa: B023
+                    _, path, low, scale = spans[i]  # noqa: B023
+                    if not path:
+                        total[i] += np.bincount(top, minlength=BINS)
+                        continue
+                    x = v[np.flatnonzero(top == path[0][2])]
+                    for a, c, part in path[1:]:
+                        x = x[_bin(x, a, c, False) == part]
+                    if len(x):
+                        total[i] += np.bincount(_bin(x, low, scale, False), minlength=BINS)
+            k, i = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k, i, total[k, i])], ["k", "i", "n"])
+
+        inside = np.zeros((len(spans), BINS), np.int64)
+        for r in pairs.mapInArrow(count, "k bigint, i bigint, n bigint").groupBy("k", "i").agg(F.sum("n").alias("n")).collect():  # at most BINS rows a span
+            inside[r.k, r.i] = r.n
+        number, left = {span[:2]: i for i, span in enumerate(spans)}, {}
+        for (k, rank), (r, path, low, high) in todo.items():
+            upto = np.cumsum(inside[number[k, path]])
+            part, scale = int(np.searchsorted(upto, r, "right")), SCALE / (high - low)
+            a, b = low + part / scale, low + (part + 1) / scale
+            if b - a <= fine[k] or not a < b:
+                found[k, rank] = a
+            else:
+                left[k, rank] = (r - int(upto[part - 1] if part else 0), (*path, (low, scale, part)), a, b)
+        todo = left
+    out = []
+    for one in rows:
+        low, high = ([found[one.k, int(f(x))] for x in at] for f in (np.floor, np.ceil))
+        out.append({"pairs": one.n, "mean": one.s / one.n, "low": one.low, "high": one.high, "q": [float(a + (b - a) * (x - np.floor(x))) for a, b, x in zip(low, high, at)]})
+    return out
 
 
 def pair_extremes(table: DataFrame, value, count: int) -> DataFrame:

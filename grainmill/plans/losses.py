@@ -84,15 +84,28 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUMMARY = "n_pairs long, mean_h double, p10_h double, median_h double, p90_h double, min_h double, max_h double"
 
 
-def _summary_row(table: DataFrame, beta: np.ndarray) -> tuple | None:
-    s = mixture.pair_summary(table, _gap(beta), [0.1, 0.5, 0.9])
-    return (s["pairs"], s["mean"], *s["q"], s["low"], s["high"]) if s else None
+def _gaps(betas: np.ndarray):
+    """H as ``_gap`` for each column of coefficients: the linear terms cancel, so it is -1/4 of the product terms' form of the difference."""
+    i, j = np.triu_indices(_D, 1)
+    forms = np.zeros((betas.shape[1], _D, _D))
+    forms[:, i, j] = forms[:, j, i] = betas[_D:].T / 2
+
+    def of_rows(p: np.ndarray, q: np.ndarray, s: np.ndarray):
+        own = lambda x: (x @ s * x).sum(1) * -0.25
+        left = np.column_stack([p @ s * 0.5, own(p), np.ones(len(p))])
+        right = np.ascontiguousarray(np.column_stack([q, np.ones(len(q)), own(q)]).T)
+        return lambda rows: left[rows] @ right
+
+    return lambda p, q: [of_rows(p, q, s) for s in forms]
+
+
+def _summary_rows(table: DataFrame, betas: np.ndarray) -> list[tuple]:
+    return [(s["pairs"], s["mean"], *s["q"], s["low"], s["high"]) for s in mixture.pair_summaries(table, _gaps(betas), [0.1, 0.5, 0.9])]
 
 
 def combination_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, quantiles and range of H over all unordered pairs of recipes, under fixed coefficients."""
-    row = _summary_row(_blocks(spark, sf_dir), np.array(BETA))
-    return rounded(spark.createDataFrame([row] if row else [], _SUMMARY), 8)
+    return rounded(spark.createDataFrame(_summary_rows(_blocks(spark, sf_dir), np.array(BETA)[:, None]), _SUMMARY), 8)
 
 
 def combination_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +119,11 @@ def _ridge(spark: SparkSession, sf_dir: str) -> mixture.Ridge:
 
 def fitted_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary of H over all pairs of recipes under the fitted quadratic ridge, per output and for their mean."""
-    m, table, rows = _ridge(spark, sf_dir), _blocks(spark, sf_dir), []
+    m = _ridge(spark, sf_dir)
     outputs = m.beta / m.scale[:, None]
-    for name, beta in [*((str(k), outputs[:, k]) for k in range(outputs.shape[1])), ("macro_mean", outputs.mean(1))]:
-        row = _summary_row(table, beta)
-        rows += [(name, *row)] if row else []
-    return rounded(spark.createDataFrame(rows, "output string, " + _SUMMARY), 6)
+    names = [*map(str, range(outputs.shape[1])), "macro_mean"]
+    rows = _summary_rows(_blocks(spark, sf_dir), np.column_stack([outputs, outputs.mean(1)]))
+    return rounded(spark.createDataFrame([(name, *row) for name, row in zip(names, rows)], "output string, " + _SUMMARY), 6)
 
 
 def fitted_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,26 @@ def test_combinations_of_all_pairs(spark):
         assert np.allclose(sorted(r.h for r in rows), want, atol=1e-7) and all(abs(h[r.index_a, r.index_b] - r.h) < 1e-7 for r in rows)
 
 
+def test_summaries_share_their_passes(spark):
+    from grainmill.plans import losses
+
+    rng = np.random.default_rng(11)
+    p = rng.dirichlet(np.ones(5), 90)
+    p[60:] = p[:30]  # equal recipes, tied values
+    betas = np.column_stack([rng.normal(size=(15, 3)), np.zeros(15)])
+    table = mixture.blocks(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(p)], "index long, p array<double>"))
+    passes = []
+    squares, mixture.squares = mixture.squares, lambda *a: passes.append(mixture._square) or squares(*a)
+    try:
+        got = mixture.pair_summaries(table, losses._gaps(betas), [0.1, 0.5, 0.9])
+    finally:
+        mixture.squares = squares
+    assert len(got) == 4 and len(passes) == 1
+    for k, s in enumerate(got):
+        v = np.concatenate([r[i + 1 :] for i, r in enumerate(losses._gap(betas[:, k])(p, p))])
+        assert s["pairs"] == len(v) and np.allclose([s["mean"], *s["q"], s["low"], s["high"]], [v.mean(), *np.quantile(v, [0.1, 0.5, 0.9]), v.min(), v.max()], atol=1e-12)
+
+
 def test_gram(spark):
     x = np.arange(12.0).reshape(4, 3)
     df = spark.createDataFrame([(r.tolist(), [float(i)]) for i, r in enumerate(x)], "x array<double>, y array<double>").repartition(3)
