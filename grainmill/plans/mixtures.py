@@ -159,7 +159,7 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     (p, y), (hp, hy) = mixture.collect(train, "p", "y"), mixture.collect(held, "p", "y")
     a, b = (((hy - m.predict(hp)) ** 2).mean(1) for m in (mixture.Ridge(p, y, 0.01), mixture.Kernel(p, y, 0.25, 1e-4)))
     rng = np.random.default_rng(20260924)
-    d = [float(np.sqrt(a[i].mean()) - np.sqrt(b[i].mean())) for i in rng.integers(0, len(a), (2000, len(a)))]
+    d = [float(np.sqrt(a[i].mean()) - np.sqrt(b[i].mean())) for i in (rng.integers(0, len(a), len(a)) for _ in range(2000))]
     return rounded(spark.createDataFrame([(len(a), *map(float, np.quantile(d, [0.025, 0.5, 0.975])))], "n long, low double, median double, high double"))
 
 

@@ -188,7 +188,7 @@ def _closure(p, threshold):
     return label.tolist()
 
 
-@pytest.mark.parametrize("name", ["model_evaluation"])
+@pytest.mark.parametrize("name", ["model_evaluation", "paired_bootstrap"])
 def test_models_beyond_the_dense_limit(spark, name, monkeypatch, tmp_path):
     from grainmill.plans import parts
     from tests.conftest import SF
