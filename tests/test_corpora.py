@@ -188,11 +188,12 @@ def _closure(p, threshold):
     return label.tolist()
 
 
-@pytest.mark.parametrize("name", ["model_evaluation", "paired_bootstrap"])
+@pytest.mark.parametrize("name", ["model_evaluation", "paired_bootstrap", "variant_cv"])
 def test_models_beyond_the_dense_limit(spark, name, monkeypatch, tmp_path):
-    from grainmill.plans import parts
+    from grainmill.plans import bridge, parts
     from tests.conftest import SF
 
+    monkeypatch.setattr(bridge, "bridge_gate", lambda spark, sf_dir: spark.createDataFrame([(True,)], "passes boolean"))
     make, dense = registry.queries()[name], mixture.MAX_RECIPES
     monkeypatch.setattr(parts, "_kept", {})
     want = make(spark, SF).collect()
