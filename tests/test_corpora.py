@@ -188,7 +188,7 @@ def _closure(p, threshold):
     return label.tolist()
 
 
-@pytest.mark.parametrize("name", ["model_evaluation", "paired_bootstrap", "variant_cv", "alternative_refits", "centred_benchmark", "gain_decision", "grid_cv", "ranking_stability", "variant_metrics", "gain_intervals", "placebo_quality"])
+@pytest.mark.parametrize("name", ["model_evaluation", "paired_bootstrap", "variant_cv", "alternative_refits", "centred_benchmark", "gain_decision", "grid_cv", "ranking_stability", "variant_metrics", "gain_intervals", "placebo_quality", "variant_output_metrics"])
 def test_models_beyond_the_dense_limit(spark, name, monkeypatch, tmp_path):
     from grainmill.plans import bridge, parts
     from tests.conftest import SF
